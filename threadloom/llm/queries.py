@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat_format, url_filter
+from threadloom.llm import chat_format, line_dedup, minhash, packing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_digest(line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), window=4096, end_id=1)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -45,6 +58,16 @@ SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, CASE
 FROM h LEFT JOIN (SELECT * FROM fit WHERE k = 1) f ON h.page_id = f.page_id
 """
 
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM often)) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (key NOT IN (SELECT key FROM often)), '')) AS kept_sha256
+FROM k GROUP BY rid, doc_id
+"""
+
 OP8_SQL = rf"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -63,8 +86,14 @@ FROM o GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op8_chat_format": op8_chat_format}
+    return {
+        "op1_url_filter": op1_url_filter,
+        "op4_minhash_dedup": op4_minhash_dedup,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_chat_format": op8_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op5_line_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}
