@@ -13,6 +13,9 @@ _INV = pow(_P, -1, 1 << 64)
 _WIDE = tuple("\x1c\x1d\x1e\x1f\x85\xa0     　") + tuple(map(chr, range(0x2000, 0x200B)))
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
+#: Separators of a tokenisation that also drops ASCII punctuation.
+PUNCTUATED = _SPACE.copy()
+PUNCTUATED[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'")] = True
 _SEGMENT = 1 << 20
 _pow: dict[str, np.ndarray] = {}
 
@@ -46,13 +49,16 @@ def plain(text: str | None, lower: bool = True) -> bytes:
     return (t.lower() if lower else t).encode("utf-8", "surrogatepass")
 
 
-def word_hashes(texts: Iterable[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every white-space separated word of every text, in order; number of words of each text."""
+def word_hashes(texts: Iterable[str | None], lower: bool = True, space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hash of every word of every text, in order; number of words of each text; a hash array for each prefix length.
+
+    Words stand between the bytes that ``space`` marks. A prefix is so many bytes of a word, or the word if shorter.
+    """
     raw = [plain(t, lower) for t in texts]
     sizes = np.array([len(r) + 1 for r in raw], np.int64)
     data = b"\n".join(raw) + b"\n"
     ends_of = np.cumsum(sizes)
-    found, at, pos = [], [], 0
+    found, at, pos, more = [], [], 0, [[] for _ in prefixes]
     while pos < len(data):
         cut = pos + _SEGMENT
         if cut < len(data):  # cut behind the next white space, so that no word is divided
@@ -61,7 +67,7 @@ def word_hashes(texts: Iterable[str | None], lower: bool = True) -> tuple[np.nda
         buf = np.frombuffer(data, np.uint8, min(cut, len(data)) - pos, pos)
         inside = np.empty(len(buf) + 2, bool)
         inside[0] = inside[-1] = False
-        np.logical_not(_SPACE[buf], out=inside[1:-1])
+        np.logical_not(space[buf], out=inside[1:-1])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         s, e = edge[0::2], edge[1::2]
         p, q = _powers(len(buf) + 1)
@@ -69,12 +75,15 @@ def word_hashes(texts: Iterable[str | None], lower: bool = True) -> tuple[np.nda
         c[0] = 0
         np.cumsum((buf.astype(_U) + _U(1)) * p[:-1], out=c[1:])
         found.append(mix((c[e] - c[s]) * q[s] + (e - s).astype(_U)))
+        for out, m in zip(more, prefixes, strict=True):
+            to = np.minimum(e, s + m)
+            out.append(mix((c[to] - c[s]) * q[s] + _U(m << 32) + (to - s).astype(_U)))
         at.append(s + pos)
         pos = min(cut, len(data))
     words = np.concatenate(found) if found else np.empty(0, _U)
     starts = np.concatenate(at) if at else np.empty(0, np.int64)
     upto = np.searchsorted(starts, ends_of)
-    return words, np.diff(upto, prepend=0)
+    return words, np.diff(upto, prepend=0), *(np.concatenate(x) for x in more)
 
 
 def content_hashes(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
