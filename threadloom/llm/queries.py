@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat_format, line_dedup, minhash, packing, quality, toxicity, url_filter
+from threadloom.llm import chat_format, line_dedup, minhash, packing, piece_transducer, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_score", "accepted")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.digest_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -103,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
