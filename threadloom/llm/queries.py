@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat_format, line_dedup, minhash, packing, piece_transducer, quality, toxicity, url_filter
+from threadloom.llm import chat_format, line_dedup, minhash, packing, piece_transducer, quality, topk_search, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), k=20, query_modulus=20, scale=64.0)
+
+
 #: The control strings of the chat template, with the guards they may hold, for SQL engines without look-around.
 _CTRL = r"<~*\|im_(start|sep|part|end)\|>|<~*/?s>|\[~*/?INST\]|<~*</?SYS>>|<~*\|(endoftext|eot_id)\|>"
 
@@ -103,6 +107,18 @@ FROM o GROUP BY conv_id
 """
 
 
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -113,8 +129,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_toxicity": op7_toxicity,
         "op8_chat_format": op8_chat_format,
+        "op9_topk_search": op9_topk_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op5_line_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op5_line_dedup": OP5_SQL, "op8_chat_format": OP8_SQL, "op9_topk_search": OP9_SQL}
