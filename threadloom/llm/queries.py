@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat_format, line_dedup, minhash, packing, piece_transducer, quality, topk_search, toxicity, url_filter
+from threadloom.llm import chat_format, line_dedup, media, minhash, packing, piece_transducer, quality, topk_search, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_table(spark, sf_dir, "embeddings"), k=20, query_modulus=20, scale=64.0)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the tables hold no pictures, so each vector is drawn as one
+    return media.image_copies(media.draw_vectors(_table(spark, sf_dir, "embeddings")), corners=32)
+
+
 #: The control strings of the chat template, with the guards they may hold, for SQL engines without look-around.
 _CTRL = r"<~*\|im_(start|sep|part|end)\|>|<~*/?s>|\[~*/?INST\]|<~*</?SYS>>|<~*\|(endoftext|eot_id)\|>"
 
@@ -130,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_chat_format": op8_chat_format,
         "op9_topk_search": op9_topk_search,
+        "op10_media": op10_media,
     }
 
 
