@@ -89,13 +89,9 @@ per AS (
 tot AS (
   SELECT phrase, sum(pn) AS p_cnt, sum(ln) AS l_cnt, count(*) FILTER (len > 1024) AS oversize_hits, count(*) FILTER (len >= 921) AS near_limit_hits
   FROM per GROUP BY phrase HAVING sum(pn) >= 2 OR sum(ln) >= 2),
-sv AS (
-  SELECT per.phrase, count(*) AS saved FROM per JOIN tot ON tot.phrase = per.phrase JOIN scanned s ON s.seq = per.seq
-  WHERE per.len > 1024 AND len({sql_words('per.phrase')}) > 1
-    AND per.len - (len({sql_words('per.phrase')}) - 1) * greatest(1, (length(s.text) - length(replace(s.text, per.phrase, ''))) // length(per.phrase)) <= 1024 GROUP BY per.phrase),
 stats AS (
-  SELECT tot.phrase, CAST(p_cnt AS BIGINT) AS p_cnt, CAST(l_cnt AS BIGINT) AS l_cnt, oversize_hits, near_limit_hits, CAST(p_cnt + l_cnt AS BIGINT) AS cnt, coalesce(saved, 0) AS saved_samples
-  FROM tot LEFT JOIN sv ON sv.phrase = tot.phrase)"""
+  SELECT tot.phrase, CAST(p_cnt AS BIGINT) AS p_cnt, CAST(l_cnt AS BIGINT) AS l_cnt, oversize_hits, near_limit_hits, CAST(p_cnt + l_cnt AS BIGINT) AS cnt
+  FROM tot)"""
 _FACTOR = "CASE " + " ".join(f"WHEN regexp_matches(phrase, '{rx.replace(chr(39), chr(39) * 2)}') THEN CAST({f} AS DOUBLE) * CAST(1.2 AS DOUBLE)" for rx, f in CODE_PATTERNS) + " ELSE 1.0::DOUBLE END"
 _CURVE = f"""curve AS (
   SELECT step, CASE WHEN step < {PLAN.warmup_steps} THEN (step + 1)::DOUBLE / {PLAN.warmup_steps}
@@ -145,10 +141,10 @@ ORACLES: dict[str, str] = {
     "ngram_counts": f"WITH {_PHRASES} SELECT phrase, CAST(sum(n) AS BIGINT) AS cnt FROM ph GROUP BY phrase HAVING sum(n) >= 2",
     "code_lines": f"WITH {_SCAN}, {_LINES} SELECT phrase, CAST(sum(n) AS BIGINT) AS cnt FROM cl GROUP BY phrase HAVING sum(n) >= 2",
     "code_line_topk": f"WITH {_SCAN}, {_LINES} SELECT phrase, CAST(sum(n) AS BIGINT) AS cnt FROM cl GROUP BY phrase HAVING sum(n) >= 2 ORDER BY cnt DESC, length(phrase) DESC, phrase LIMIT 400",
-    "phrase_stats": f"WITH {_STATS} SELECT * FROM stats",
+    "phrase_hits": f"WITH {_STATS} SELECT * FROM stats",
     "phrase_scores": f"""WITH {_STATS}, s AS (
       SELECT *, CAST((len({sql_words('phrase')}) - 1) * (cnt - 1) AS DOUBLE) AS base FROM stats),
-      t AS (SELECT *, base + 4.0::DOUBLE * oversize_hits + 1.5::DOUBLE * near_limit_hits + 8.0::DOUBLE * saved_samples AS score FROM s),
+      t AS (SELECT *, base + 4.0::DOUBLE * oversize_hits + 1.5::DOUBLE * near_limit_hits AS score FROM s),
       top AS (SELECT * FROM t WHERE l_cnt >= 2 ORDER BY l_cnt DESC, length(phrase) DESC, phrase LIMIT 400)
       SELECT phrase, 'phrase' AS kind, score FROM t WHERE base > 0 AND p_cnt >= 2 UNION ALL SELECT phrase, 'code', score * 1.35::DOUBLE * ({_FACTOR}) FROM top WHERE base > 0""",
     "ngram_tokens": f"""WITH {_SCAN}, {_LINES}, top AS (SELECT phrase, sum(n) AS cnt FROM cl GROUP BY phrase HAVING sum(n) >= 2 ORDER BY cnt DESC, length(phrase) DESC, phrase LIMIT 400)

@@ -198,8 +198,15 @@ def phrase_stats(spark, d):
     return ngrams.phrase_stats(_mined(spark, d), MINED)
 
 
+UNTRACKED = ngrams.NgramConfig(use_ngrams=True, track_saved_samples=False)
+
+
+def phrase_hits(spark, d):
+    return ngrams.phrase_stats(_mined(spark, d), UNTRACKED).drop("saved_samples")
+
+
 def phrase_scores(spark, d):
-    return ngrams.scored(ngrams.phrase_stats(_mined(spark, d), MINED), MINED)
+    return ngrams.scored(ngrams.phrase_stats(_mined(spark, d), UNTRACKED), UNTRACKED)
 
 
 def ngram_select(spark, d):
@@ -361,14 +368,14 @@ def lora_targets(spark, d):
 
 def producer_counters(spark, d):
     got = _packed(spark, d)
-    return got.agg(F.count("*").alias("seen"), F.count_if("skipped is null").alias("tokenized"), F.count_if("skipped is not null").alias("skipped_n"))
+    return got.agg(F.count("*").alias("seen"), F.count_if(F.col("skipped").isNull()).alias("tokenized"), F.count_if(F.col("skipped").isNotNull()).alias("skipped_n"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_pack_lengths, plain_token_ids, column_scan_lengths, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
     training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, inference_prompts, pack_whole_turns,
     pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, rank_partition, padded_batches,
-    bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_scores, ngram_select, ngram_tokens,
+    bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, ngram_select, ngram_tokens,
     vocabulary_extension, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, token_throughput, epoch_tail,
     log_tail, log_since, ring_retention, visible_lines, status_last_non_null, ordered_dedup_union, latest_valid_model, runs_with_config,
     row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, final_states, lora_targets,
