@@ -243,7 +243,14 @@ def image_copies(
 
         return both.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
 
-    links = link_buckets(members, verify)
+    def payload(ids: DataFrame) -> DataFrame:
+        return ids.join(reps.groupBy("id").agg(F.min("features").alias("data")), "id").select("id", "data")
+
+    def within(key: int, data: list[bytes]):
+        feats = [_unpack(d) for d in data]
+        return lambda i, js: [j for j in js if consensus(*feats[i], *feats[j], most_bits, least_matches)]
+
+    links = link_buckets(members, verify, payload, within)
     again = x.join(same, "digest").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     classes = connected_components(links.unionByName(again), "a", "b")
     named = x.select("id", "n_points").join(classes, F.col("id") == F.col("node"), "left")

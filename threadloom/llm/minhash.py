@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import _words as W
-from threadloom.llm._store import connected_components, forget, written
+from threadloom.llm._store import connected_components, written
 
 _U = np.uint64
 #: Number of darts in a unit cell, by 16 bits of its hash: Poisson(1).
@@ -48,7 +48,7 @@ def dart_signatures(elements: np.ndarray, doc: np.ndarray, n_docs: int, k: int,
         mine = high[doc] > 0
         el, d, lim = elements[mine], doc[mine], limit[mine]
         slabs = np.ceil(high[d]).astype(np.int64)
-        for a, b in _blocks(slabs, 1 << 19):
+        for a, b in _blocks(slabs, 1 << 18):
             n = slabs[a:b]
             slab = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             cell = W.mix(np.repeat(el[a:b], n) + slab.astype(_U) * _U(0xE7037ED1A0B428DB))
@@ -93,7 +93,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return W.mix(acc + np.arange(bands, dtype=_U) * _U(0xD6E8FEB86659FD93))
 
 
-def _pieces(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _pieces(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     yield from _blocks(np.array([len(t or "") + 1 for t in texts], np.int64), most)
 
 
@@ -133,47 +133,102 @@ def _verifier(similarity: float, size: int):
     return run
 
 
-def link_buckets(members: DataFrame, verify) -> DataFrame:
+def link_buckets(members: DataFrame, verify, payload, within, block: int = 1024) -> DataFrame:
     """Links (``a``, ``b``) that join the ids of each class, from rows (``key``, ``id``) that share a bucket.
 
-    Every round compares each bucket's rows with a few of its own rows, the pivots; ``verify`` turns pairs (``a``,
-    ``b``) into those that are links. A pivot then leaves its bucket, and a bucket ends once all rows that are left
-    are of one class. So every pair of a bucket is compared or already known as one class, while a large group of
-    alike rows costs one comparison a row and bucket instead of all its pairs. Pivots of other classes than the
-    bucket's first come first, and their number grows fourfold each round.
+    First each bucket's rows are compared with one of them, its pivot: ``verify`` turns pairs (``a``, ``b``) into
+    those that are links. That settles buckets of two, and those whose rows are then of one class. Rows of the other
+    buckets get their data (``payload``: ids to ``id``, ``data``), and ``within`` compares rows of different classes in
+    blocks of about ``block`` rows of a bucket; of larger buckets each two blocks meet. It gives only links that
+    join two classes, so neither step makes more rows than a bucket has, and every pair of a bucket is either
+    compared or already known as one class.
     """
     keyed = members.select("key", "id").distinct()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    active = written(keyed.join(sizes, "key").withColumn("label", F.col("id")), "active")
-    links, seen, pivots = None, None, 1
-    while True:
-        order = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("id"))
-        state = active.groupBy("key").agg(F.min(order).alias("low"), F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1")
-        if pivots == 1:
-            chosen = state.select("key", F.col("low.id").alias("p"), F.lit(None).cast("long").alias("pl"))
-        else:
-            share = (F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) * F.col("n") < pivots
-            chosen = (
-                active.withColumn("h", F.xxhash64("id", "key")).join(state, "key")
-                .where((F.col("id") == F.col("low.id")) | share).select("key", F.col("id").alias("p"), F.col("label").alias("pl"))
-            )
-        met = active.join(chosen, "key").where((F.col("id") != F.col("p")) & (F.col("pl").isNull() | (F.col("pl") != F.col("label"))))
-        pairs = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(verify(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        classes = connected_components(links, "a", "b")
-        left = active.join(chosen.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti").drop("label")
-        left = left.join(classes, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-        mixed = left.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-        nxt = written(left.join(mixed, "key"), "active")
-        forget(active)
-        active, pivots = nxt, pivots * 4
-        if active.isEmpty():
-            return links
+    order = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("id"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("low")).where("n > 1").select("key", "n", F.col("low.id").alias("p"))
+    active = written(keyed.join(sizes, "key").where("id != p"), "active")
+    links = written(verify(written(active.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "pairs")), "links")
+    classes = connected_components(links, "a", "b")
+    open_rows = active.where("n > 2").join(classes, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
+    mixed = open_rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
+    rows = written(open_rows.join(mixed, "key"), "mixed")
+    if rows.isEmpty():
+        return links
+    data = payload(rows.select("id").distinct())
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", "id", "label", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    full = met.join(data, "id").select("key", "low", "high", "id", "label", "mine", "data")
+    more = written(full.groupBy("key", "low", "high").applyInArrow(_by_block(within), "a long, b long"), "links")
+    return links.unionByName(more)
+
+
+def _by_block(within):
+    """Compares the rows of a block, or of two blocks with each other, row by row against all later ones."""
+
+    def run(key, table):
+        low, high = key[1].as_py(), key[2].as_py()
+        ids, label, mine = (table.column(c).to_numpy().copy() for c in ("id", "label", "mine"))
+        linked_to = within(key[0].as_py(), table.column("data").to_pylist())
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            apart = label[i + 1 :] != label[i]
+            if low != high:
+                apart &= mine[i + 1 :] != mine[i]
+            js = i + 1 + np.flatnonzero(apart)
+            for j in linked_to(i, js) if len(js) else ():
+                if label[j] != label[i]:
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def _within(similarity: float, bands: int):
+    """Exact comparison of whole documents (band keys, then shingle elements) of one bucket.
+
+    Two documents are compared in the bucket of the first band that they share.
+    """
+
+    def prepare(key: int, data: list[bytes]):
+        keys = np.array([np.frombuffer(d, np.int64, bands) for d in data])
+        sets = [np.frombuffer(d, _U, -1, 8 * bands) for d in data]
+        sizes = np.array([len(x) for x in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.cumsum(sizes) - sizes
+        own = np.zeros(flat.max() + 1, np.int32)
+        band = int((keys[0] == key).argmax())
+
+        def linked_to(i: int, js: np.ndarray) -> np.ndarray:
+            js = js[(keys[js] == keys[i]).argmax(axis=1) == band]
+            js = js[np.minimum(sizes[js], sizes[i]) >= similarity * np.maximum(sizes[js], sizes[i]) - 1e-9]
+            if not len(js):
+                return js
+            spot = flat[first[i] : first[i] + sizes[i]]
+            own[spot] = 1
+            inter = np.add.reduceat(own[flat], first)[js]
+            own[spot] = 0
+            return js[inter >= similarity * (sizes[i] + sizes[js] - inter) - 1e-9]
+
+        return linked_to
+    return prepare
+
+
+def _to_cells(size: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            keys = batch.column("keys").to_pylist()
+            for a, b in _pieces(texts):
+                words, counts = W.word_hashes(texts[a:b])
+                el, doc = W.cells(*W.shingles(words, counts, size))
+                parts = np.split(el, np.cumsum(np.bincount(doc, minlength=b - a))[:-1])
+                out = [np.array(k, np.int64).tobytes() + x.tobytes() for k, x in zip(keys[a:b], parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(out, pa.binary())], ["id", "data"])
+    return run
 
 
 def near_duplicates(
@@ -196,18 +251,20 @@ def near_duplicates(
     reps = sk.join(same.where("n > 0").select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"]).select("id", "keys")
     members = reps.select(F.explode("keys").alias("key"), "id")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = written(ids, "ids")
+        needed = F.broadcast(ids) if ids.count() <= broadcast_ids else ids  # at most so many numbers of eight bytes
+        return cols.join(needed, "id").groupBy("id").agg(F.min("text").alias("text"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if pairs.count() * 2 <= broadcast_ids:  # at most so many numbers of eight bytes
-            needed = F.broadcast(needed)
-        texts = written(cols.join(needed, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
+        texts = written(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
         both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-        out = both.select("a", "b", "ta", "tb").mapInArrow(_verifier(similarity, shingle), "a long, b long")
-        out = written(out, "found")
-        forget(texts)
-        return out
+        return both.select("a", "b", "ta", "tb").mapInArrow(_verifier(similarity, shingle), "a long, b long")
+
+    def payload(ids: DataFrame) -> DataFrame:
+        return texts_of(ids).join(reps, "id").select("id", "text", "keys").mapInArrow(_to_cells(shingle), "id long, data binary")
 
-    links = link_buckets(members, verify)
+    links = link_buckets(members, verify, payload, _within(similarity, bands))
     again = sk.join(same, ["h1", "h2"]).where("id != rep").groupBy("id").agg(F.min("rep").alias("rep"))
     repeated = sk.groupBy("id").agg(F.count("*").alias("c"), F.min("h1").alias("x"), F.max("h1").alias("y")).where("c > 1 and x != y").select("id")
     links = links.unionByName(again.join(repeated, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
