@@ -191,7 +191,7 @@ def _pack(points: np.ndarray, codes: np.ndarray) -> bytes:
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = struct.unpack("<I", data[:4])[0]
-    return np.frombuffer(data, "<f4", 4 * n, 4).reshape(n, 4), np.frombuffer(data, np.uint8, n * _BITS // 8, 4 + 16 * n).reshape(n, -1)
+    return np.frombuffer(data, "<f4", 4 * n, 4).reshape(n, 4), np.frombuffer(data, np.uint8, n * _BITS // 8, 4 + 16 * n).reshape(n, _BITS // 8)
 
 
 def _describer(corners: int):
@@ -204,7 +204,7 @@ def _describer(corners: int):
                 points, codes = (np.zeros((0, 4)), np.zeros((0, 16), np.uint8)) if img is None else describe(img, corners)
                 packed.append(_pack(points, codes))
                 count.append(len(points))
-                parts = codes.reshape(len(codes), _CHUNKS, -1).astype(np.int64)
+                parts = codes.reshape(len(codes), _CHUNKS, 2).astype(np.int64)
                 chunk = parts[:, :, 0] << 8 | parts[:, :, 1]
                 # three neighbouring chunks of a code, and their place among the chunks, are one key of a Hamming table
                 key = (np.arange(_CHUNKS) << 48) + (chunk << 32) + (np.roll(chunk, -1, axis=1) << 16) + np.roll(chunk, -2, axis=1)
