@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -13,48 +14,110 @@ from pyspark.sql import functions as F
 
 from threadloom.llm._store import forget, written
 
-_MEMO_SIZE, _MEMO_CHARS = 200_000, 48
-_loaded: dict[str, tuple[object, dict[str, bytes]]] = {}
+_MEMO_SIZE, _MEMO_CHARS = 500_000, 48
+_loaded: dict[str, _Encoder] = {}
 _PIECE = "uid long, doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-def _tokenizer(path: str | None):
-    """Tokenizer of a file, with a bounded memory of what white-space free chunks encode to; one per Python worker."""
-    if path is None:
-        import public_tokenizers
+class _Encoder:
+    """A tokenizer file with a bounded memory of what white-space free chunks encode to.
 
-        path = public_tokenizers.path("word_bpe_49k.json")
-    if path not in _loaded:
+    The vocabulary's rules lower the case, drop white space and never join what stands on both sides of it, so
+    chunks between blanks and line ends are encoded once each and put together again. A chunk of Latin-1 letters is one
+    word to these rules, as is one with full stops or commas behind it without them; such words are encoded many
+    at once, and the tokenizer tells which ids are whose.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    return _loaded[path]
+        self.tok = Tokenizer.from_file(path)
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each whole text as little-endian unsigned 32-bit bytes."""
+        if len(self.memo) > _MEMO_SIZE:
+            self.old, self.memo = self.memo, {}
+        memo, out, later, new = self.memo, [], [], set()
+        for text in texts:
+            chunks = _parted(text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            try:
+                out.append(b"".join([memo[c] for c in chunks]))
+            except KeyError:
+                new.update(chunks)
+                later.append((len(out), chunks))
+                out.append(b"")
+        got = self._resolve(new.difference(memo))
+        memo.update(got)
+        for i, chunks in later:
+            out[i] = b"".join([memo[c] for c in chunks])
+        for c in [c for c in got if len(c) > _MEMO_CHARS]:
+            del memo[c]
+        return out
 
-def encode_chunks(texts: list[str | None], path: str | None = None) -> list[bytes]:
-    """Ids of each whole text as little-endian unsigned 32-bit bytes.
+    def _resolve(self, new: set[str]) -> dict[str, bytes]:
+        old, memo, words, rest, ends = self.old, self.memo, {}, [], []
+        got = {c: old[c] for c in new.intersection(old)}
+        for c in new.difference(got):
+            if c.isalpha() and c.islower() and _latin(c):
+                words[c] = None
+                continue
+            base = c.rstrip(".,")
+            if base.isalpha() and _latin(base):
+                base, end = base.lower(), c[len(base) :]
+                if base not in words:
+                    words[base] = memo.get(base) or old.get(base) or got.get(base)
+                ends.append((c, base, end))
+            else:
+                rest.append(c)
+        rest += sorted({e for _, _, e in ends if e and e not in memo and e not in got} - set(rest))
+        for c, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
+            got[c] = np.array(e.ids, "<u4").tobytes()
+        unknown = [w for w, b in words.items() if b is None]
+        for a in range(0, len(unknown), 5_000):
+            some = unknown[a : a + 5_000]
+            e = self.tok.encode(" ".join(some), add_special_tokens=False)
+            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            cut = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
+            raw = ids.tobytes()
+            words.update(zip(some, [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)], strict=True))
+        got.update(words)
+        for c, base, end in ends:
+            got[c] = words[base] + (memo.get(end) or got[end] if end else b"")
+        return got
 
-    The vocabulary's rules drop white space and never join what stands on both sides of it, so chunks between
-    blanks and line ends are encoded once each and put together again.
-    """
-    tok, memo = _tokenizer(path)
-    out = []
-    for text in texts:
-        chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            out.append(b"".join([memo[c] for c in chunks]))
-            continue
-        except KeyError:
-            pass
-        new = [c for c in set(chunks) if c not in memo]
-        if len(memo) + len(new) > _MEMO_SIZE:
-            memo.clear()
-            new = list(set(chunks))
-        got = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(new, add_special_tokens=False)), strict=True))
-        memo.update((c, b) for c, b in got.items() if len(c) <= _MEMO_CHARS)
-        out.append(b"".join([memo[c] if c in memo else got[c] for c in chunks]))
-    return out
+
+#: Latin-1 characters by kind: 1 for marks, 0 for letters, digits and white space.
+_MARKS = bytes(int(not (chr(i).isspace() and not 0x1C <= i <= 0x1F) and unicodedata.category(chr(i))[0] not in "LN") for i in range(256))
+
+
+def _parted(text: str) -> str:
+    try:
+        kinds = text.encode("latin-1").translate(_MARKS)
+    except UnicodeEncodeError:
+        return text
+    return text if b"\1\1" in kinds else text.lower().replace(",", " , ").replace(".", " . ")
+
+
+def _latin(word: str) -> bool:
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def encode_texts(texts: list[str | None], path: str | None = None) -> list[bytes]:
+    """Ids of each whole text as little-endian unsigned 32-bit bytes, by the tokenizer of a file; kept per process."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    if path not in _loaded:
+        _loaded[path] = _Encoder(path)
+    return _loaded[path].encode(texts)
 
 
 def _pieces(window: int, end_id: int, path: str | None, with_ids: bool):
@@ -71,7 +134,7 @@ def _pieces(window: int, end_id: int, path: str | None, with_ids: bool):
                     chars += len(texts[to] or "")
                     to += 1
                 row, piece, start, length, crc, parts = [], [], [], [], [], []
-                for i, raw in enumerate(encode_chunks(texts[at:to], path), at):
+                for i, raw in enumerate(encode_texts(texts[at:to], path), at):
                     raw += end
                     for k, a in enumerate(range(0, len(raw), 4 * window)):
                         part = raw[a : a + 4 * window]
