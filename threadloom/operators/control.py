@@ -108,3 +108,22 @@ def visible_lines(log: DataFrame) -> DataFrame:
 def lora_targets(modules: DataFrame, name: str = "module") -> DataFrame:
     """Distinct leaf names of modules, sorted."""
     return modules.select(F.element_at(F.split(F.col(name), r"\."), -1).alias("leaf")).where(norm_text(F.col("leaf")) != "").distinct().orderBy("leaf")
+
+
+def epoch_loss(losses: DataFrame) -> DataFrame:
+    """Mean loss of each epoch; an epoch without a counted batch has 0."""
+    got = losses.groupBy("epoch").agg(F.sum("loss").alias("s"), F.count("loss").alias("n"))
+    return got.select("epoch", (F.coalesce("s", F.lit(0.0)) / F.greatest(F.col("n"), F.lit(1))).alias("mean_loss"))
+
+
+def across_ranks(values: DataFrame, key: str = "step") -> DataFrame:
+    """What all ranks agree on for each step: the mean value, and whether any of them wants to stop."""
+    return values.groupBy(key).agg(F.avg("value").alias("mean_value"), F.bool_or("stop").alias("any_stop"))
+
+
+def decode_preview(batches: DataFrame, vocabulary: DataFrame, ids: str = "input_ids", mask: str = "attention_mask", key: str = "global_idx") -> DataFrame:
+    """Readable text of each sample of a batch: padding cut off by the mask, ids looked up, unknown ids as ``?``, words joined by blanks."""
+    real = batches.select(F.col(key).alias("k"), F.slice(F.col(ids), 1, F.aggregate(mask, F.lit(0), lambda a, x: a + x)).alias("x"))
+    each = real.select("k", F.posexplode("x").alias("pos", "id")).join(vocabulary.select("id", "word"), "id", "left")
+    words = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("word", F.lit("?")).alias("w")))), lambda s: s["w"])
+    return each.groupBy("k").agg(F.array_join(words, " ").alias("preview")).withColumnRenamed("k", key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from threadloom.functions.text import WS, sql_norm, sql_token, sql_words
 from threadloom.operators.ngrams import CODE_PATTERNS, CODE_SYMBOLS
+from threadloom.plans import harness
 from threadloom.plans.queries import PLAN, SHARD, WINDOW
 
 _DOCS = f"""docs AS (
@@ -181,5 +182,7 @@ ORACLES: dict[str, str] = {
     "final_states": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'stopped' WHEN o_custkey % 3 = 0 THEN 'finished' ELSE 'failed' END AS state, count(*) AS n FROM orders GROUP BY 1",
     "lora_targets": "SELECT DISTINCT list_last(string_split(replace(p_type, ' ', '.'), '.')) AS leaf FROM part",
     "producer_counters": f"{_PACK} SELECT count(*) AS seen, count(*) FILTER (reason = '') AS tokenized, count(*) FILTER (reason <> '') AS skipped_n FROM packed",
-}
-
+    "epoch_losses": "SELECT event_id % 10 AS epoch, round(coalesce(sum((user_id % 16)::DOUBLE / 8.0::DOUBLE) FILTER (event_id % 3 <> 0), 0) / greatest(1, count(*) FILTER (event_id % 3 <> 0)), 9) AS mean_loss FROM events GROUP BY 1",
+    "rank_reduction": "SELECT event_id // 4 AS step, avg((user_id % 64)::DOUBLE) AS mean_value, bool_or(user_id % 9 = 0) AS any_stop FROM events GROUP BY 1",
+    "decode_previews": f"SELECT conv_id * 1000 + turn AS global_idx, md5(array_to_string({sql_words('text')}, ' ')) AS preview_md5 FROM conversations WHERE len({sql_words('text')}) > 0",
+} | harness.ORACLES

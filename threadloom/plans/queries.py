@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as X
 from threadloom.operators import control, ngrams, samples, schedule, shards, threads
 from threadloom.operators.ordinal import with_ordinal
+from threadloom.plans import harness
 from threadloom.sources import tables as S
+from threadloom.sources.store import written
 
 WINDOW, SHARD, MINED = 1024, 200, ngrams.NgramConfig(use_ngrams=True)
 PLAN = schedule.LrPlan(base=2e-4, total_steps=200, warmup_steps=20, kind="cosine", floor=0.05)
@@ -211,17 +213,11 @@ def phrase_scores(spark, d):
 
 def ngram_select(spark, d):
     cfg = ngrams.NgramConfig(use_ngrams=True, max_n=5, top_k=60)
-    stats = S_written(ngrams.phrase_stats(ngrams.scan(_docs(spark, d), cfg), cfg))
+    stats = written(ngrams.phrase_stats(ngrams.scan(_docs(spark, d), cfg), cfg), "stats")
     chosen = ngrams.select_best(ngrams.scored(stats, cfg), cfg)
     return spark.createDataFrame([(i, p, k, s) for i, (p, k, s) in enumerate(chosen)], "rank int, phrase string, kind string, score double")
 
 
-def S_written(df):
-    from threadloom.sources.store import written
-
-    return written(df, "stats")
-
-
 def ngram_tokens(spark, d):
     top = code_line_topk(spark, d).withColumn("pos", F.col("cnt") * 1000)
     return ngrams.tokens_of(top).select("token", "phrase")
@@ -371,6 +367,23 @@ def producer_counters(spark, d):
     return got.agg(F.count("*").alias("seen"), F.count_if(F.col("skipped").isNull()).alias("tokenized"), F.count_if(F.col("skipped").isNotNull()).alias("skipped_n"))
 
 
+def epoch_losses(spark, d):
+    e = S.table(spark, d, "events").select((F.col("event_id") % 10).alias("epoch"), F.when(F.col("event_id") % 3 != 0, (F.col("user_id") % 16) / 8.0).alias("loss"))
+    return control.epoch_loss(e).select("epoch", F.round("mean_loss", 9).alias("mean_loss"))
+
+
+def rank_reduction(spark, d):
+    e = S.table(spark, d, "events").select(F.floor(F.col("event_id") / 4).alias("step"), (F.col("user_id") % 64).cast("double").alias("value"), (F.col("user_id") % 9 == 0).alias("stop"))
+    return control.across_ranks(e)
+
+
+def decode_previews(spark, d):
+    c = S.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("global_idx"), X.words(F.col("text")).alias("w"))
+    vocabulary = c.select(F.explode("w").alias("word")).distinct().select(X.token_id(F.col("word")).alias("id"), "word").groupBy("id").agg(F.min("word").alias("word"))
+    b = c.select("global_idx", F.concat(F.transform("w", X.token_id), F.array(F.lit(0))).alias("input_ids"), F.concat(F.transform("w", lambda x: F.lit(1)), F.array(F.lit(0))).alias("attention_mask"))
+    return control.decode_preview(b, vocabulary).select("global_idx", F.md5("preview").alias("preview_md5"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_pack_lengths, plain_token_ids, column_scan_lengths, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
     training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, inference_prompts, pack_whole_turns,
@@ -379,4 +392,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     vocabulary_extension, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, token_throughput, epoch_tail,
     log_tail, log_since, ring_retention, visible_lines, status_last_non_null, ordered_dedup_union, latest_valid_model, runs_with_config,
     row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, final_states, lora_targets,
-    producer_counters)}
+    producer_counters, epoch_losses, rank_reduction, decode_previews)} | harness.QUERIES
