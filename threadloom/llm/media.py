@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,7 +201,7 @@ def _describer(corners: int):
             digest, packed, keys, count = [], [], [], []
             for data in batch.column(1).to_pylist():
                 img = decode_image(data)
-                digest.append(None if img is None else zlib.crc32(data) << 31 | zlib.adler32(data) & 0x7FFFFFFF)
+                digest.append(None if img is None else int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True))
                 points, codes = (np.zeros((0, 4)), np.zeros((0, 16), np.uint8)) if img is None else describe(img, corners)
                 packed.append(_pack(points, codes))
                 count.append(len(points))
@@ -218,7 +219,7 @@ def image_copies(
 ) -> DataFrame:
     """``image_id, class_id, n_points``: class of copies of each image, named by its smallest id.
 
-    Images are linked if they are equal byte for byte, or if geometric consensus finds at least ``least_matches``
+    Images are linked if their bytes have one 64-bit hash, or if geometric consensus finds at least ``least_matches``
     descriptor matches (of at most ``most_bits`` unlike bits of 128) under one turn, scale and shift; classes are
     connected components. Candidates share 48 bits in a row, of eight such windows, of one descriptor at least: a
     match of up to two unlike bits always does, and an edited copy has dozens of matches. Null, broken or
