@@ -126,7 +126,7 @@ def describe(img: np.ndarray, corners: int = 60) -> tuple[np.ndarray, np.ndarray
     ``corners`` an image, the strongest; ``corners`` sets how finely an image is described. The patch around each is
     turned to its brightness centroid before pairs of places are compared.
     """
-    found = []
+    found, maps = [], []
     for scale in _SCALES:
         h, w = int(round(img.shape[0] * scale)), int(round(img.shape[1] * scale))
         if min(h, w) < 2 * _PATCH + 1:
@@ -145,20 +145,26 @@ def describe(img: np.ndarray, corners: int = 60) -> tuple[np.ndarray, np.ndarray
         peak[:m] = peak[-m:] = False
         peak[:, :m] = peak[:, -m:] = False
         y, x = np.nonzero(peak & (r > 1.0))
-        found += [(r[i, j], i, j, scale, s) for i, j in zip(y, x, strict=True)]
-    found.sort(key=lambda f: (-f[0], f[3], f[1], f[2]))
-    points, codes = [], []
-    for _, y, x, scale, s in found[:corners]:
-        ring = s[y + _RING[:, 0], x + _RING[:, 1]]
-        ring = ring - ring.mean()
-        angle = np.arctan2((ring * _RING[:, 0]).sum(), (ring * _RING[:, 1]).sum())
-        cos, sin = np.cos(angle), np.sin(angle)
-        ty = y + _TESTS[:, :, 1] * cos + _TESTS[:, :, 0] * sin
-        tx = x + _TESTS[:, :, 0] * cos - _TESTS[:, :, 1] * sin
+        found.append((r[y, x], y, x, np.full(len(y), scale), np.full(len(y), len(maps))))
+        maps.append(s)
+    if not found:
+        return np.zeros((0, 4), np.float32), np.zeros((0, _BITS // 8), np.uint8)
+    power, y, x, scale, which = (np.concatenate(c) for c in zip(*found, strict=True))
+    best = np.lexsort((x, y, scale, -power))[:corners]
+    points, codes = np.empty((len(best), 4), np.float32), np.empty((len(best), _BITS // 8), np.uint8)
+    for k, s in enumerate(maps):
+        mine = np.flatnonzero(which[best] == k)
+        cy, cx, own = y[best[mine]], x[best[mine]], scale[best[mine]]
+        ring = s[cy[:, None] + _RING[:, 0], cx[:, None] + _RING[:, 1]]
+        ring = ring - ring.mean(axis=1, keepdims=True)
+        angle = np.arctan2(ring @ _RING[:, 0], ring @ _RING[:, 1])
+        cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+        ty = cy[:, None, None] + _TESTS[:, :, 1] * cos + _TESTS[:, :, 0] * sin
+        tx = cx[:, None, None] + _TESTS[:, :, 0] * cos - _TESTS[:, :, 1] * sin
         v = s[np.clip(np.rint(ty).astype(int), 0, s.shape[0] - 1), np.clip(np.rint(tx).astype(int), 0, s.shape[1] - 1)]
-        codes.append(np.packbits(v[:, 0] < v[:, 1]))
-        points.append(((y + 0.5) / scale, (x + 0.5) / scale, scale, angle))
-    return np.array(points, np.float32).reshape(-1, 4), np.array(codes, np.uint8).reshape(-1, _BITS // 8)
+        codes[mine] = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1)
+        points[mine] = np.column_stack([(cy + 0.5) / own, (cx + 0.5) / own, own, angle])
+    return points, codes
 
 
 # -- matching -----------------------------------------------------------------
@@ -270,10 +276,15 @@ def heat_map(vector: list[float] | None, side: int = 64) -> bytes | None:
 
 
 def draw_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``image_id, image``: a heat map of each vector; null for vectors that are null, empty or not finite."""
+    """``image_id, image``: a heat map of each vector; null for vectors that are null, empty or not finite.
+
+    Drawing, and what follows in the same stage, takes far longer than reading a vector, so rows are dealt out evenly first.
+    """
+    tasks = max(4 * vectors.sparkSession.sparkContext.defaultParallelism, vectors.count() // 4096)
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([heat_map(v) for v in batch.column(1).to_pylist()], pa.binary())], ["image_id", "image"])
 
-    return vectors.select(F.col(vec_id).cast("long").alias("image_id"), F.col(embedding).alias("e")).mapInArrow(run, "image_id long, image binary")
+    rows = vectors.select(F.col(vec_id).cast("long").alias("image_id"), F.col(embedding).alias("e")).repartition(tasks)
+    return rows.mapInArrow(run, "image_id long, image binary")
