@@ -39,12 +39,21 @@ def running_min(curve: DataFrame, warmup_steps: int) -> DataFrame:
     return curve.withColumn("applied", F.when(after, low).otherwise(F.col("lr")))
 
 
-def extend_only(totals: DataFrame, order: str = "event", total: str = "total", done: str = "done") -> DataFrame:
-    """``planned``: estimates may only raise the planned total, and none does after the producer is done."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    frozen = F.coalesce(F.max(F.col(done).cast("int")).over(before), F.lit(0)) == 1
-    return totals.withColumn("_f", frozen).withColumn("planned", F.max(F.when(~F.col("_f"), F.col(total))).over(w)).drop("_f")
+def extend_only(totals: DataFrame, order: str = "event", total: str = "total", done: str = "done", width: int = 4096) -> DataFrame:
+    """``planned``: estimates may only raise the planned total, and none does after the producer is done.
+
+    ``order`` is a number; null sorts first. Maxima run inside ranges of ``width`` of it, and only the table of range
+    maxima, thousands of times smaller than the rows, meets in one window.
+    """
+    at = F.struct(F.col(order).isNotNull().alias("k"), F.col(order).alias("o"))
+    stop = totals.where(done).agg(F.min(at).alias("_stop"))
+    rows = totals.crossJoin(F.broadcast(stop)).withColumn("_t", F.when(F.col("_stop").isNull() | (at <= F.col("_stop")), F.col(total)))
+    rows = rows.withColumn("_r", F.floor(F.col(order) / width)).drop("_stop")
+    upto = Window.orderBy(F.col("_r").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_r").agg(F.max("_t").alias("_m")).select(F.col("_r").alias("_b"), F.max("_m").over(upto).alias("_before"))
+    inside = F.max("_t").over(Window.partitionBy("_r").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = rows.withColumn("_in", inside).join(before, F.col("_r").eqNullSafe(F.col("_b")))
+    return placed.withColumn("planned", F.greatest("_before", "_in")).drop("_t", "_r", "_b", "_in", "_before")
 
 
 def step_estimate(plans: DataFrame) -> DataFrame:

@@ -250,13 +250,13 @@ def step_estimate(spark, d):
 
 
 def projected_samples(spark, d):
-    e = S.table(spark, d, "events").where("event_id < 500").select("event_id", (F.col("user_id") % 50).alias("seen"), (F.col("user_id") % 45).alias("tokenized"), F.lit(1000).cast("long").alias("estimate"))
+    e = S.table(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("seen"), (F.col("user_id") % 45).alias("tokenized"), F.lit(1000).cast("long").alias("estimate"))
     got = schedule.projected(e.withColumn("total", F.when(F.col("event_id") % 7 == 0, F.col("event_id"))))
     return got.select("event_id", "projected", "source")
 
 
 def scheduler_extension(spark, d):
-    e = S.table(spark, d, "events").where("event_id < 400").select("event_id", F.col("user_id").alias("total"), (F.col("event_id") == 300).alias("done"))
+    e = S.table(spark, d, "events").select("event_id", F.col("user_id").alias("total"), (F.col("event_id") == 300).alias("done"))
     return schedule.extend_only(e, "event_id").select("event_id", "planned")
 
 
@@ -305,7 +305,7 @@ def ordered_dedup_union(spark, d):
 
 
 def latest_valid_model(spark, d):
-    o = S.table(spark, d, "orders").where("o_orderkey < 2000")
+    o = S.table(spark, d, "orders")
     files = o.select(F.concat(F.lit("models/m"), (F.col("o_custkey") % 50).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "/merged/config.json").when(F.col("o_orderkey") % 3 == 1, "/config.json").otherwise("/notes.txt")).alias("path"), F.col("o_orderkey").alias("mtime"))
     return control.latest_valid(files)
 
@@ -344,7 +344,7 @@ def stop_strings(spark, d):
 
 
 def usage_counts(spark, d):
-    c = S.table(spark, d, "conversations").select("conv_id", "turn", X.token_ids(F.col("text")).alias("p"), X.token_ids(F.substring("text", 1, 20)).alias("a"))
+    c = S.table(spark, d, "conversations").select("conv_id", "turn", X.token_ids(F.col("text")).alias("p"), X.token_ids(F.col("text")).alias("a"))
     return control.usage(c, "conv_id", "turn", "p", "a")
 
 
