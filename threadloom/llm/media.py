@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._store import connected_components, written
-from threadloom.llm.minhash import link_buckets
 
 _SCALES = (1.0, 0.75, 0.5625)
-_PATCH, _BITS, _CHUNKS = 12, 128, 8
+_PATCH, _BITS = 12, 128
 _rng = np.random.default_rng(20)
 #: Pairs of places in a patch whose brightness is compared, drawn from a fixed rule.
 _TESTS = np.clip(_rng.normal(0, 0.4, (_BITS, 2, 2)), -1, 1) * (_PATCH - 3)
@@ -170,6 +169,21 @@ def describe(img: np.ndarray, corners: int = 60) -> tuple[np.ndarray, np.ndarray
 # -- matching -----------------------------------------------------------------
 
 
+def _wide(codes: np.ndarray) -> np.ndarray:
+    """Codes as two 64-bit numbers each."""
+    return np.ascontiguousarray(codes).view(np.uint64)
+
+
+def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unlike bits of every wide code of ``a`` with every one of ``b``, a few rows at a time."""
+    out = np.empty((len(a), len(b)), np.uint8)
+    step = max(1, (1 << 18) // max(1, len(b)))
+    for k in range(0, len(a), step):
+        out[k : k + step] = np.bitwise_count(a[k : k + step, None, 0] ^ b[None, :, 0])
+        out[k : k + step] += np.bitwise_count(a[k : k + step, None, 1] ^ b[None, :, 1])
+    return out
+
+
 def consensus(pa_: np.ndarray, ca: np.ndarray, pb: np.ndarray, cb: np.ndarray, most_bits: int, least: int) -> bool:
     """Whether one similarity transform explains at least ``least`` descriptor matches, a quarter of all matches at least.
 
@@ -177,7 +191,7 @@ def consensus(pa_: np.ndarray, ca: np.ndarray, pb: np.ndarray, cb: np.ndarray, m
     """
     if not len(pa_) or not len(pb):
         return False
-    bits = np.bitwise_count(ca[:, None] ^ cb[None]).sum(axis=2)
+    bits = _unlike(_wide(ca), _wide(cb))
     best = bits.argmin(axis=1)
     ok = np.flatnonzero(bits[np.arange(len(ca)), best] <= most_bits)
     ok = ok[bits[:, best[ok]].argmin(axis=0) == ok]  # best in both directions
@@ -186,10 +200,13 @@ def consensus(pa_: np.ndarray, ca: np.ndarray, pb: np.ndarray, cb: np.ndarray, m
     a, b = pa_[ok].astype(np.float64), pb[best[ok]].astype(np.float64)
     za, zb = a[:, 1] + 1j * a[:, 0], b[:, 1] + 1j * b[:, 0]
     turn = np.exp(1j * (b[:, 3] - a[:, 3])) * (a[:, 2] / b[:, 2])
-    moved = (za[None] - za[:, None]) * turn[:, None] + zb[:, None]
-    reach = 3.0 + 0.08 * np.abs(za[None] - za[:, None])
-    inliers = (np.abs(moved - zb[None]) <= reach).sum(axis=1)
-    return bool(inliers.max() >= max(least, len(ok) / 4))
+    need, step = max(least, len(ok) / 4), max(1, (1 << 20) // len(ok))
+    for k in range(0, len(ok), step):
+        way = za[None] - za[k : k + step, None]
+        moved = way * turn[k : k + step, None] + zb[k : k + step, None]
+        if (np.abs(moved - zb[None]) <= 3.0 + 0.08 * np.abs(way)).sum(axis=1).max() >= need:
+            return True
+    return False
 
 
 def _pack(points: np.ndarray, codes: np.ndarray) -> bytes:
@@ -204,60 +221,78 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _describer(corners: int):
     def run(batches):
         for batch in batches:
-            digest, packed, keys, count = [], [], [], []
+            digest, packed, count = [], [], []
             for data in batch.column(1).to_pylist():
                 img = decode_image(data)
                 digest.append(None if img is None else int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True))
                 points, codes = (np.zeros((0, 4)), np.zeros((0, 16), np.uint8)) if img is None else describe(img, corners)
                 packed.append(_pack(points, codes))
                 count.append(len(points))
-                parts = codes.reshape(len(codes), _CHUNKS, 2).astype(np.int64)
-                chunk = parts[:, :, 0] << 8 | parts[:, :, 1]
-                # three neighbouring chunks of a code, and their place among the chunks, are one key of a Hamming table
-                key = (np.arange(_CHUNKS) << 48) + (chunk << 32) + (np.roll(chunk, -1, axis=1) << 16) + np.roll(chunk, -2, axis=1)
-                keys.append(np.unique(key).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(count, pa.int32())], ["id", "digest", "features", "keys", "n_points"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(packed, pa.binary()), pa.array(count, pa.int32())], ["id", "digest", "features", "n_points"])
+    return run
+
+
+def _by_block(most_bits: int, least: int, width: int = 1 << 15):
+    """Compares the pictures of a block, or of two blocks with each other; gives only links that join two classes.
+
+    A pair goes to ``consensus`` if at least ``least`` descriptors of one have any in the other within ``most_bits``,
+    which every link has.
+    """
+
+    def run(key, table):
+        low, high = key[0].as_py(), key[1].as_py()
+        order = np.lexsort((table.column("id").to_numpy(), table.column("mine").to_numpy()))
+        ids, mine = (table.column(c).to_numpy()[order] for c in ("id", "mine"))
+        data = table.column("data").to_pylist()
+        feats = [_unpack(data[i]) for i in order]
+        label, a, b = np.arange(len(ids)), [], []
+        first = np.concatenate([[0], np.cumsum([len(c) for _, c in feats])])
+        codes = _wide(np.concatenate([c for _, c in feats]))
+        middle = int(np.searchsorted(mine, high))
+        for i in range(len(ids) if low == high else middle):
+            own = codes[first[i] : first[i + 1]]
+            at = max(i + 1, middle)
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(first, first[at] + width, "right")) - 1)
+                bits = _unlike(own, codes[first[at] : first[to]])
+                near = (np.minimum.reduceat(bits, first[at:to] - first[at], axis=1) <= most_bits).sum(axis=0)
+                for j in at + np.flatnonzero(near >= least):
+                    if label[j] != label[i]:
+                        x, y = (i, j) if ids[i] < ids[j] else (j, i)
+                        if consensus(*feats[x], *feats[y], most_bits, least):
+                            a.append(ids[x])
+                            b.append(ids[y])
+                            label[label == label[j]] = label[i]
+                at = to
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
 def image_copies(
     images: DataFrame, image_id: str = "image_id", image: str = "image", corners: int = 60, most_bits: int = 20, least_matches: int = 6,
+    block_points: int = 1 << 16,
 ) -> DataFrame:
     """``image_id, class_id, n_points``: class of copies of each image, named by its smallest id.
 
     Images are linked if their bytes have one 64-bit hash, or if geometric consensus finds at least ``least_matches``
     descriptor matches (of at most ``most_bits`` unlike bits of 128) under one turn, scale and shift; classes are
-    connected components. Candidates share 48 bits in a row, of eight such windows, of one descriptor at least: a
-    match of up to two unlike bits always does, and an edited copy has dozens of matches. Null, broken or
+    connected components. No key of a few bits meets that rule, so every two images are compared, in blocks of about
+    ``block_points`` keypoints: the work grows with the square of the images. Null, broken or
     featureless images are only linked to equal ones, and null images stay alone. Rows with one id are one image; a row without id has
     no class. An empty table gives no row; other columns are ignored.
     """
     cols = images.select(F.col(image_id).alias("id"), F.col(image).alias("image"))
-    x = written(cols.mapInArrow(_describer(corners), "id long, digest long, features binary, keys array<long>, n_points int"), "images")
+    x = written(cols.mapInArrow(_describer(corners), "id long, digest long, features binary, n_points int"), "images")
     same = written(x.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")).where("rep is not null"), "same")
-    reps = x.join(same.select("digest", F.col("rep").alias("id")), ["digest", "id"])
-    members = reps.select(F.explode("keys").alias("key"), "id")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        feats = reps.groupBy("id").agg(F.min("features").alias("f"))
-        both = pairs.join(feats.withColumnsRenamed({"id": "a", "f": "fa"}), "a").join(feats.withColumnsRenamed({"id": "b", "f": "fb"}), "b")
-
-        def run(batches):
-            for batch in batches:
-                fa, fb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                ok = pa.array([consensus(*_unpack(p), *_unpack(q), most_bits, least_matches) for p, q in zip(fa, fb, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-        return both.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
-
-    def payload(ids: DataFrame) -> DataFrame:
-        return ids.join(reps.groupBy("id").agg(F.min("features").alias("data")), "id").select("id", "data")
-
-    def within(key: int, data: list[bytes]):
-        feats = [_unpack(d) for d in data]
-        return lambda i, js: [j for j in js if consensus(*feats[i], *feats[j], most_bits, least_matches)]
-
-    links = link_buckets(members, verify, payload, within)
+    reps = x.join(same.select("digest", F.col("rep").alias("id")), ["digest", "id"]).where(F.col("n_points") >= least_matches)
+    reps = reps.groupBy("id").agg(F.min(F.struct("features", "n_points")).alias("f")).select("id", "f.*")
+    blocks = -(-(reps.agg(F.sum("n_points")).first()[0] or 1) // block_points)
+    placed = reps.select("id", F.col("features").alias("data"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("mine"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select("id", "data", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    # as many partitions as pairs of blocks, since small inputs of much work would be merged
+    met = met.repartition(max(1, blocks * (blocks + 1) // 2), "low", "high")
+    links = written(met.groupBy("low", "high").applyInArrow(_by_block(most_bits, least_matches), "a long, b long"), "links")
     again = x.join(same, "digest").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     classes = connected_components(links.unionByName(again), "a", "b")
     named = x.select("id", "n_points").join(classes, F.col("id") == F.col("node"), "left")
