@@ -42,3 +42,23 @@ def test_links_are_those_of_all_pairs(spark, points):
     assert 12 < len(set(want.values())) + 12 < len(rows)
     got = {r["image_id"]: r["class_id"] for r in media.image_copies(frame(spark, rows), block_points=points).collect()}
     assert got == want
+
+
+def test_small_crops_and_thumbnails(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(3):
+        t = texture(rng, 256, 40)
+        t[:100, :100] = 128 + 0.3 * (t[:100, :100] - 128)  # a part that has none of the strongest corners
+        small = t[:255, :255].reshape(85, 3, 85, 3).mean(axis=(1, 3))
+        smaller = t.reshape(64, 4, 64, 4).mean(axis=(1, 3))
+        rows += [(10 * k + i, pgm(x)) for i, x in enumerate((t, t[10:74, 20:84], small, smaller))]
+    rows.append((99, pgm(texture(rng, 256, 40))))
+    got = {r["image_id"]: r["class_id"] for r in media.image_copies(frame(spark, rows)).collect()}
+    assert got == {i: i // 10 * 10 if i < 99 else 99 for i, _ in rows}
+
+
+def test_every_corner_is_kept():
+    t = texture(np.random.default_rng(1), 256, 40)
+    assert len(media.describe(t)[0]) > 1000 and len(media.describe(t, 32)[0]) == 32
+    assert media.describe(t)[0][:, 2].min() <= 0.75**6

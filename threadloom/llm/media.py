@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm._store import connected_components, written
 
-_SCALES = (1.0, 0.75, 0.5625)
+_STEP = 0.75
 _PATCH, _BITS = 12, 128
 _rng = np.random.default_rng(20)
 #: Pairs of places in a patch whose brightness is compared, drawn from a fixed rule.
@@ -118,19 +118,21 @@ def _smooth(img: np.ndarray) -> np.ndarray:
     return sum(k[i] * rows[:, i : i + img.shape[1]] for i in range(5))
 
 
-def describe(img: np.ndarray, corners: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def describe(img: np.ndarray, corners: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keypoints (y, x, scale, angle) in the image's own pixels and their descriptors (128 bits as 16 bytes).
 
-    Corners are local maxima of the structure tensor's weaker response on each of three scales, at most
-    ``corners`` an image, the strongest; ``corners`` sets how finely an image is described. The patch around each is
-    turned to its brightness centroid before pairs of places are compared.
+    Corners are all local maxima of the structure tensor's weaker response above a threshold, on scales of 1, 0.75,
+    0.75 squared and so on, until the patch no longer fits; ``corners`` keeps only so many of the strongest. The patch
+    around each is turned to its brightness centroid before pairs of places are compared.
     """
     found, maps = [], []
-    for scale in _SCALES:
+    scale, level = 1.0, img
+    while True:
         h, w = int(round(img.shape[0] * scale)), int(round(img.shape[1] * scale))
         if min(h, w) < 2 * _PATCH + 1:
-            continue
-        s = _smooth(_resize(img, h, w) if scale != 1 else img)
+            break
+        level = _resize(level, h, w) if scale != 1 else img  # from the level before, so that fine detail averages out
+        s = _smooth(level)
         gy, gx = np.gradient(s)
         a, b, c = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
         r = a * b - c * c - 0.05 * (a + b) ** 2
@@ -146,6 +148,7 @@ def describe(img: np.ndarray, corners: int = 60) -> tuple[np.ndarray, np.ndarray
         y, x = np.nonzero(peak & (r > 1.0))
         found.append((r[y, x], y, x, np.full(len(y), scale), np.full(len(y), len(maps))))
         maps.append(s)
+        scale *= _STEP
     if not found:
         return np.zeros((0, 4), np.float32), np.zeros((0, _BITS // 8), np.uint8)
     power, y, x, scale, which = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -218,7 +221,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<f4", 4 * n, 4).reshape(n, 4), np.frombuffer(data, np.uint8, n * _BITS // 8, 4 + 16 * n).reshape(n, _BITS // 8)
 
 
-def _describer(corners: int):
+def _describer(corners: int | None):
     def run(batches):
         for batch in batches:
             digest, packed, count = [], [], []
@@ -269,7 +272,7 @@ def _by_block(most_bits: int, least: int, width: int = 1 << 15):
 
 
 def image_copies(
-    images: DataFrame, image_id: str = "image_id", image: str = "image", corners: int = 60, most_bits: int = 20, least_matches: int = 6,
+    images: DataFrame, image_id: str = "image_id", image: str = "image", corners: int | None = None, most_bits: int = 20, least_matches: int = 6,
     block_points: int = 1 << 16,
 ) -> DataFrame:
     """``image_id, class_id, n_points``: class of copies of each image, named by its smallest id.

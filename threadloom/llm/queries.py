@@ -65,7 +65,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the tables hold no pictures, so each vector is drawn as one
-    return media.image_copies(media.draw_vectors(_table(spark, sf_dir, "embeddings")), corners=32)
+    return media.image_copies(media.draw_vectors(_table(spark, sf_dir, "embeddings")))
 
 
 #: The control strings of the chat template, with the guards they may hold, for SQL engines without look-around.
