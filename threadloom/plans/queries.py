@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from threadloom.plans import harness
 from threadloom.sources import tables as S
 from threadloom.sources.store import written
 
-WINDOW, SHARD, MINED = 1024, 200, ngrams.NgramConfig(use_ngrams=True)
+WINDOW, SHARD = 1024, 200
+MINED = ngrams.NgramConfig(use_ngrams=True, max_samples=None, max_tokens_per_text=None)
 PLAN = schedule.LrPlan(base=2e-4, total_steps=200, warmup_steps=20, kind="cosine", floor=0.05)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,7 +202,7 @@ def phrase_stats(spark, d):
     return ngrams.phrase_stats(_mined(spark, d), MINED)
 
 
-UNTRACKED = ngrams.NgramConfig(use_ngrams=True, track_saved_samples=False)
+UNTRACKED = replace(MINED, track_saved_samples=False)
 
 
 def phrase_hits(spark, d):
