@@ -202,7 +202,7 @@ def lower_bound(hist: np.ndarray) -> int:
     return best
 
 
-def _packer(window: int, keep_open: int, round_no: int):
+def _packer(window: int, keep_open: int | None, round_no: int):
     def run(key, table):
         n = table.num_rows
         lengths = table.column("length").to_numpy()
@@ -210,8 +210,7 @@ def _packer(window: int, keep_open: int, round_no: int):
         bins = np.empty(n, np.int64)
         bins[order] = best_fit_decreasing(lengths[order], window)
         used = np.bincount(bins, lengths).astype(np.int64)
-        bound = lower_bound(np.bincount(lengths, minlength=window + 1))
-        # the emptiest bins stay open for the exchange; all of a partition's waste may sit in a few of them
+        # a bin with a gap stays open for the exchange, whether or not its partition is at its own bound: it may take another's pieces
         gaps = np.flatnonzero(used < window)
         loose = gaps[np.argsort(used[gaps], kind="stable")][:keep_open]
         is_open = np.zeros(len(used), bool)
@@ -221,9 +220,9 @@ def _packer(window: int, keep_open: int, round_no: int):
         first = np.searchsorted(bins[by], np.arange(len(used)))
         offset = np.empty(n, np.int64)
         offset[by] = upto - lengths[by] - (upto - lengths[by])[first][bins[by]]
-        base = (round_no << 56) | (key[0].as_py() << 26)
+        base = (round_no << 48) | (key[0].as_py() << 26)
         out = table.drop_columns(["grp"])
-        for name, col in (("sequence_id", base + bins), ("offset", offset), ("is_open", is_open[bins]), ("bins", np.full(n, len(used))), ("bound", np.full(n, bound))):
+        for name, col in (("sequence_id", base + bins), ("offset", offset), ("is_open", is_open[bins])):
             out = out.append_column(name, pa.array(col))
         return out
     return run
@@ -231,7 +230,7 @@ def _packer(window: int, keep_open: int, round_no: int):
 
 def pack_documents(
     docs: DataFrame, window: int = 4096, end_id: int = 1, tokenizer_path: str | None = None, doc_id: str = "doc_id", text: str = "text",
-    with_ids: bool = False, group_pieces: int = 20_000, keep_open: int = 64,
+    with_ids: bool = False, group_pieces: int = 20_000, keep_open: int | None = None,
 ) -> DataFrame:
     """Pieces of all documents with their place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
@@ -240,10 +239,10 @@ def pack_documents(
     ``doc_id`` stays null. ``with_ids`` adds the ids as bytes. An empty table gives no row; other columns are ignored.
 
     Pieces are dealt at random into partitions of about ``group_pieces``, each packed by best-fit decreasing. Dual
-    feasible functions bound the bins that a partition needs, and those that all pieces need. While the packing has
-    more bins than the second bound, each partition opens up to ``keep_open`` of its least filled bins, and their
-    pieces meet in fewer partitions, which pack again; the rest of its bins is final. A round's rows are about a
-    hundredth of those before, until one partition is left.
+    feasible functions bound the bins that all pieces need. While the packing has more bins than that, each partition
+    opens its bins with a gap (at most ``keep_open`` of the least filled ones, if given), and their pieces are dealt and
+    packed again; full bins are final. That ends once a round saves no bin, whose packing is then the one before it, or
+    once one partition held all open pieces.
     """
     cols = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = _PIECE.format(id=cols.schema["doc_id"].dataType.simpleString()) + (", ids binary" if with_ids else "")
@@ -253,22 +252,26 @@ def pack_documents(
         hist[r["length"]] = r["count"]
     bound, closed, done, round_no, n = lower_bound(hist), 0, None, 0, int(hist.sum())
     names = [c for c in left.columns if c != "uid"]
-    out_schema = f"{schema}, sequence_id long, offset long, is_open boolean, bins long, bound long"
+    out_schema = f"{schema}, sequence_id long, offset long, is_open boolean"
+    before = opened = None
     while n:
         groups = -(-n // group_pieces)
         dealt = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(round_no)), F.lit(groups)))
         packed = written(dealt.groupBy("grp").applyInArrow(_packer(window, keep_open, round_no), out_schema), "packed")
         bins = {r["is_open"]: (r["b"], r["n"]) for r in packed.groupBy("is_open").agg(F.countDistinct("sequence_id").alias("b"), F.count("*").alias("n")).collect()}
         kept_bins, (open_bins, n_open) = bins.get(False, (0, 0))[0], bins.get(True, (0, 0))
-        last = groups == 1 or closed + kept_bins + open_bins <= bound
-        final = packed if last else packed.where(~F.col("is_open"))
+        saved = before is None or kept_bins + open_bins < before
+        last = groups == 1 or not saved or closed + kept_bins + open_bins <= bound
+        best = packed if saved else opened
+        final = best if last else packed.where(~F.col("is_open"))
         final = final.select(*names, "sequence_id", "offset")
         done = final if done is None else done.unionByName(final)
         if last:
             break
-        closed += kept_bins
-        forget(left)
-        left, n, round_no = packed.where("is_open").select("uid", *names), n_open, round_no + 1
+        closed, before, opened = closed + kept_bins, open_bins, packed.where("is_open")
+        if round_no == 0:
+            forget(left)
+        left, n, round_no = opened.select("uid", *names), n_open, round_no + 1
     if done is None:
         done = left.select(*names, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     return done
