@@ -213,10 +213,13 @@ def phrase_scores(spark, d):
     return ngrams.scored(ngrams.phrase_stats(_mined(spark, d), UNTRACKED), UNTRACKED)
 
 
+def phrase_scores_saved(spark, d):
+    return ngrams.scored(ngrams.phrase_stats(_mined(spark, d), MINED), MINED)
+
+
 def ngram_select(spark, d):
-    cfg = ngrams.NgramConfig(use_ngrams=True, max_n=5, top_k=60)
-    stats = written(ngrams.phrase_stats(ngrams.scan(_docs(spark, d), cfg), cfg), "stats")
-    chosen = ngrams.select_best(ngrams.scored(stats, cfg), cfg)
+    stats = written(ngrams.phrase_stats(_mined(spark, d), MINED), "stats")
+    chosen = ngrams.select_best(ngrams.scored(stats, MINED), MINED)
     return spark.createDataFrame([(i, p, k, s) for i, (p, k, s) in enumerate(chosen)], "rank int, phrase string, kind string, score double")
 
 
@@ -390,7 +393,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_pack_lengths, plain_token_ids, column_scan_lengths, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
     training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, inference_prompts, pack_whole_turns,
     pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, rank_partition, padded_batches,
-    bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, ngram_select, ngram_tokens,
+    bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, ngram_tokens,
     vocabulary_extension, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, token_throughput, epoch_tail,
     log_tail, log_since, ring_retention, visible_lines, status_last_non_null, ordered_dedup_union, latest_valid_model, runs_with_config,
     row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, final_states, lora_targets,
