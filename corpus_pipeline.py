@@ -43,12 +43,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that of the smallest id.
 
-    Of rows that repeat an id one stays. Rows without an id can't be told apart by it and all stay.
+    Rows are told apart by id and text, so of rows that repeat an id only those of one class by text fall away. Rows
+    without an id can't be told apart by it and all stay.
     """
     docs = docs.select(*COLUMNS)
-    keep = minhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    keyed = docs.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    classes = minhash.near_duplicates(keyed.select("key", "text"), doc_id="key").distinct()
+    first = keyed.select("key", "doc_id").join(classes, "key").groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("f"))
+    one = keyed.join(first.select("f.key"), "key", "left_semi").dropDuplicates(["key"])
+    return one.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
