@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._store import connected_components, written
+from threadloom.llm._words import mix
+from threadloom.llm.minhash import link_buckets
 
 _STEP = 0.75
 _PATCH, _BITS = 12, 128
+_SMALLEST = 28
 _rng = np.random.default_rng(20)
-#: Pairs of places in a patch whose brightness is compared, drawn from a fixed rule.
-_TESTS = np.clip(_rng.normal(0, 0.4, (_BITS, 2, 2)), -1, 1) * (_PATCH - 3)
+_angle, _far = _rng.random((2, _BITS, 2)) * np.array([2 * np.pi, 1])[:, None, None]
+#: Pairs of places in a patch whose brightness is compared: even over its disc, so that the whole patch tells corners apart.
+_TESTS = np.stack([np.cos(_angle), np.sin(_angle)], axis=-1) * np.sqrt(_far)[:, :, None] * (_PATCH - 2)
 _RING = np.array([(y, x) for y in range(-6, 7) for x in range(-6, 7) if y * y + x * x <= 36])
 
 
@@ -31,7 +35,7 @@ def decode_image(data: bytes | None) -> np.ndarray | None:
             return _netpbm(data)
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(data)
-    except (ValueError, IndexError, KeyError, struct.error, zlib.error):
+    except (ValueError, IndexError, KeyError, struct.error, zlib.error):  # what truncated or contradictory data leads to
         return None
     return None
 
@@ -45,14 +49,14 @@ def _netpbm(data: bytes) -> np.ndarray:
             at = data.index(b"\n", at)
             continue
         end = at
-        while not data[end : end + 1].isspace():
+        while data[end : end + 1].isdigit():
             end += 1
-        head.append(int(data[at:end]))
+        head.append(int(data[at:end]))  # an error without digits, at the end of the data too
         at = end
     w, h, most = head
     n = 3 if data[:2] == b"P6" else 1
-    if most > 255 or w < 1 or h < 1:
-        raise ValueError("only 8-bit images")
+    if most > 255 or w < 1 or h < 1 or not data[at : at + 1].isspace() or len(data) - at - 1 < w * h * n:
+        raise ValueError("only whole 8-bit images")
     return _grey(np.frombuffer(data, np.uint8, w * h * n, at + 1).reshape(h, w, n))
 
 
@@ -65,11 +69,16 @@ def _png(data: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             body.append(data[at + 8 : at + 8 + size])
         at += 12 + size
+    if head is None:
+        raise ValueError("no header")
     w, h, depth, colour, _, _, interlace = head
     n = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    if depth != 8 or interlace:
+    if depth != 8 or interlace or w < 1 or h < 1:
         raise ValueError("only 8-bit images without interlace")
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * n)
+    packed, size = b"".join(body), h * (1 + w * n)
+    if size > 1100 * len(packed):  # deflate makes no more of it than about 1,030 times
+        raise ValueError("too little data")
+    raw = np.frombuffer(zlib.decompressobj().decompress(packed, size), np.uint8).reshape(h, 1 + w * n)
     out = np.zeros((h + 1, (w + 1) * n), np.int64)
     for y in range(h):
         kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
@@ -118,19 +127,23 @@ def _smooth(img: np.ndarray) -> np.ndarray:
     return sum(k[i] * rows[:, i : i + img.shape[1]] for i in range(5))
 
 
-def describe(img: np.ndarray, corners: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Keypoints (y, x, scale, angle) in the image's own pixels and their descriptors (128 bits as 16 bytes).
+def describe(img: np.ndarray, corners: int | None = None) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Keypoints (y, x, scale, angle) in the image's own pixels, their descriptors (128 bits as 16 bytes), and the image's height and width.
 
-    Corners are all local maxima of the structure tensor's weaker response above a threshold, on scales of 1, 0.75,
-    0.75 squared and so on, until the patch no longer fits; ``corners`` keeps only so many of the strongest. The patch
-    around each is turned to its brightness centroid before pairs of places are compared.
+    Corners are all local maxima of the structure tensor's weaker response above a threshold, on the image as it is and
+    on smaller ones whose shorter side has fixed lengths, each a third longer than the one before, from where the patch
+    fits: a copy of another size has the same levels below its own, a crop the image as it is. ``corners`` keeps only so many of
+    the strongest. The patch around each is turned to its brightness centroid before pairs of places are compared.
     """
-    found, maps = [], []
-    scale, level = 1.0, img
-    while True:
+    found, maps, side = [], [], min(img.shape)
+    sides, k = [], 0
+    while (fixed := _SMALLEST / _STEP**k) <= 0.95 * side:
+        sides.append(fixed)
+        k += 1
+    level = img
+    for fixed in [side, *reversed(sides)] if side >= _SMALLEST else []:
+        scale = fixed / side
         h, w = int(round(img.shape[0] * scale)), int(round(img.shape[1] * scale))
-        if min(h, w) < 2 * _PATCH + 1:
-            break
         level = _resize(level, h, w) if scale != 1 else img  # from the level before, so that fine detail averages out
         s = _smooth(level)
         gy, gx = np.gradient(s)
@@ -147,10 +160,9 @@ def describe(img: np.ndarray, corners: int | None = None) -> tuple[np.ndarray, n
         peak[:, :m] = peak[:, -m:] = False
         y, x = np.nonzero(peak & (r > 1.0))
         found.append((r[y, x], y, x, np.full(len(y), scale), np.full(len(y), len(maps))))
-        maps.append(s)
-        scale *= _STEP
+        maps.append(_smooth(s))
     if not found:
-        return np.zeros((0, 4), np.float32), np.zeros((0, _BITS // 8), np.uint8)
+        return np.zeros((0, 4), np.float32), np.zeros((0, _BITS // 8), np.uint8), img.shape
     power, y, x, scale, which = (np.concatenate(c) for c in zip(*found, strict=True))
     best = np.lexsort((x, y, scale, -power))[:corners]
     points, codes = np.empty((len(best), 4), np.float32), np.empty((len(best), _BITS // 8), np.uint8)
@@ -166,59 +178,99 @@ def describe(img: np.ndarray, corners: int | None = None) -> tuple[np.ndarray, n
         v = s[np.clip(np.rint(ty).astype(int), 0, s.shape[0] - 1), np.clip(np.rint(tx).astype(int), 0, s.shape[1] - 1)]
         codes[mine] = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1)
         points[mine] = np.column_stack([(cy + 0.5) / own, (cx + 0.5) / own, own, angle])
-    return points, codes
+    return points, codes, img.shape
 
 
 # -- matching -----------------------------------------------------------------
 
+_CELL = 1 << 22
+
 
 def _wide(codes: np.ndarray) -> np.ndarray:
     """Codes as two 64-bit numbers each."""
     return np.ascontiguousarray(codes).view(np.uint64)
 
 
-def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Unlike bits of every wide code of ``a`` with every one of ``b``, a few rows at a time."""
-    out = np.empty((len(a), len(b)), np.uint8)
-    step = max(1, (1 << 18) // max(1, len(b)))
+def _best(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest code of ``b`` for each wide code of ``a`` and its unlike bits; nearest of ``a`` for each of ``b``. A few rows at a time."""
+    best, bits = np.empty(len(a), np.int64), np.empty(len(a), np.uint8)
+    back, least = np.zeros(len(b), np.int64), np.full(len(b), 255, np.uint8)
+    step = max(1, _CELL // max(1, len(b)))
     for k in range(0, len(a), step):
-        out[k : k + step] = np.bitwise_count(a[k : k + step, None, 0] ^ b[None, :, 0])
-        out[k : k + step] += np.bitwise_count(a[k : k + step, None, 1] ^ b[None, :, 1])
-    return out
-
-
-def consensus(pa_: np.ndarray, ca: np.ndarray, pb: np.ndarray, cb: np.ndarray, most_bits: int, least: int) -> bool:
-    """Whether one similarity transform explains at least ``least`` descriptor matches, a quarter of all matches at least.
-
-    Every match gives a turn and a scale by itself, and two a transform; each match's own transform is tried.
+        u = np.bitwise_count(a[k : k + step, None, 0] ^ b[None, :, 0])
+        u += np.bitwise_count(a[k : k + step, None, 1] ^ b[None, :, 1])
+        best[k : k + step] = u.argmin(axis=1)
+        bits[k : k + step] = u.min(axis=1)
+        own, low = u.argmin(axis=0), u.min(axis=0)
+        back[low < least] = own[low < least] + k
+        least = np.minimum(least, low)
+    return best, bits, back
+
+
+def _seen(points: np.ndarray, moved: np.ndarray, size: float, other: np.ndarray, frame: tuple[int, int]) -> int:
+    """How many keypoints a detector would find in the other image too, if ``moved`` are their places there and ``size`` its relative size."""
+    own = points[:, 2] / size  # the level on which the other image shows the same patch
+    edge = _PATCH / own
+    ok = (own <= 1.15) & (own >= 0.85 * other[:, 2].min())
+    return int((ok & (moved.real >= edge) & (moved.real <= frame[1] - edge) & (moved.imag >= edge) & (moved.imag <= frame[0] - edge)).sum())
+
+
+def consensus(
+    pa_: np.ndarray, ca: np.ndarray, fa: tuple[int, int], pb: np.ndarray, cb: np.ndarray, fb: tuple[int, int], most_bits: int, least: int, share: float = 0.35,
+) -> bool:
+    """Whether one similarity transform explains enough descriptor matches that are best in both directions.
+
+    Every match gives a turn and a size by itself, and with its place a transform; each match's own transform is tried.
+    A match agrees if its place, its turn and its size do. Enough are ``least``, half of all matches, and ``share`` of
+    the keypoints that both images should show under that transform: in unlike images of alike texture a few
+    matches agree by chance, in copies most do.
     """
     if not len(pa_) or not len(pb):
         return False
-    bits = _unlike(_wide(ca), _wide(cb))
-    best = bits.argmin(axis=1)
-    ok = np.flatnonzero(bits[np.arange(len(ca)), best] <= most_bits)
-    ok = ok[bits[:, best[ok]].argmin(axis=0) == ok]  # best in both directions
+    best, bits, back = _best(_wide(ca), _wide(cb))
+    ok = np.flatnonzero((bits <= most_bits) & (back[best] == np.arange(len(ca))))
     if len(ok) < least:
         return False
     a, b = pa_[ok].astype(np.float64), pb[best[ok]].astype(np.float64)
     za, zb = a[:, 1] + 1j * a[:, 0], b[:, 1] + 1j * b[:, 0]
-    turn = np.exp(1j * (b[:, 3] - a[:, 3])) * (a[:, 2] / b[:, 2])
-    need, step = max(least, len(ok) / 4), max(1, (1 << 20) // len(ok))
+    angle, size = b[:, 3] - a[:, 3], a[:, 2] / b[:, 2]
+    turn, step, most, at = np.exp(1j * angle) * size, max(1, (1 << 20) // len(ok)), 0, 0
     for k in range(0, len(ok), step):
         way = za[None] - za[k : k + step, None]
         moved = way * turn[k : k + step, None] + zb[k : k + step, None]
-        if (np.abs(moved - zb[None]) <= 3.0 + 0.08 * np.abs(way)).sum(axis=1).max() >= need:
-            return True
-    return False
+        agree = np.abs(moved - zb[None]) <= 3.0 + 0.08 * np.abs(way)
+        agree &= np.abs(turn[None] / turn[k : k + step, None] - 1) <= 0.4
+        n = agree.sum(axis=1)
+        if n.max() > most:
+            most, at = int(n.max()), k + int(n.argmax())
+    if most < max(least, len(ok) / 2):
+        return False
+    there = (pa_[:, 1] + 1j * pa_[:, 0] - za[at]) * turn[at] + zb[at]
+    here = (pb[:, 1] + 1j * pb[:, 0] - zb[at]) / turn[at] + za[at]
+    return most >= share * min(_seen(pa_, there, size[at], pb, fb), _seen(pb, here, 1 / size[at], pa_, fa))
 
 
-def _pack(points: np.ndarray, codes: np.ndarray) -> bytes:
-    return struct.pack("<I", len(points)) + points.astype("<f4").tobytes() + codes.tobytes()
+#: A keypoint in 22 bytes: its place and turn as fractions, its level by number, its code.
+_POINT = np.dtype([("place", "<u2", 2), ("level", "u1"), ("turn", "u1"), ("code", "u1", _BITS // 8)])
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = struct.unpack("<I", data[:4])[0]
-    return np.frombuffer(data, "<f4", 4 * n, 4).reshape(n, 4), np.frombuffer(data, np.uint8, n * _BITS // 8, 4 + 16 * n).reshape(n, _BITS // 8)
+def _pack(points: np.ndarray, codes: np.ndarray, frame: tuple[int, int]) -> bytes:
+    out, side = np.empty(len(points), _POINT), min(frame)
+    if len(points):
+        out["place"] = np.rint(points[:, :2] / frame * 65535)
+        out["level"] = np.where(points[:, 2] == 1, 0, 1 + np.rint(np.log(points[:, 2].astype(np.float64) * side / _SMALLEST) / -np.log(_STEP)))
+        out["turn"] = np.rint(points[:, 3] / (2 * np.pi) * 256).astype(np.int64) % 256
+        out["code"] = codes
+    return struct.pack("<II", *frame) + out.tobytes()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    frame, out = struct.unpack("<II", data[:8]), np.frombuffer(data, _POINT, -1, 8)
+    points = np.empty((len(out), 4))
+    points[:, :2] = out["place"] / 65535 * frame
+    points[:, 2] = np.where(out["level"] == 0, 1, _SMALLEST / _STEP ** (out["level"] - 1.0) / min(frame))
+    points[:, 3] = out["turn"] * (2 * np.pi / 256)
+    return points, out["code"], frame
 
 
 def _describer(corners: int | None):
@@ -227,79 +279,125 @@ def _describer(corners: int | None):
             digest, packed, count = [], [], []
             for data in batch.column(1).to_pylist():
                 img = decode_image(data)
-                digest.append(None if img is None else int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True))
-                points, codes = (np.zeros((0, 4)), np.zeros((0, 16), np.uint8)) if img is None else describe(img, corners)
-                packed.append(_pack(points, codes))
-                count.append(len(points))
+                digest.append(None if data is None else int.from_bytes(xxhash.xxh3_64_digest(data), "big", signed=True))
+                found = (np.zeros((0, 4)), np.zeros((0, 16), np.uint8), (0, 0)) if img is None else describe(img, corners)
+                packed.append(_pack(*found))
+                count.append(len(found[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(packed, pa.binary()), pa.array(count, pa.int32())], ["id", "digest", "features", "n_points"])
     return run
 
 
-def _by_block(most_bits: int, least: int, width: int = 1 << 15):
-    """Compares the pictures of a block, or of two blocks with each other; gives only links that join two classes.
+# -- Hamming tables -----------------------------------------------------------
+
+_NEAR, _APART, _TAKEN, _TURNS, _FARTHER = 3, 4.0, 28, 16, 1.3
+
+
+def table_keys(points: np.ndarray, codes: np.ndarray, tables: int) -> np.ndarray:
+    """Distinct Hamming-table keys of an image, from its pairs of neighbouring corners.
 
-    A pair goes to ``consensus`` if at least ``least`` descriptors of one have any in the other within ``most_bits``,
-    which every link has.
+    One corner's descriptor is little to tell images apart where their texture is alike, so a key joins two: each
+    corner with its three nearest of its own or a coarser level, which a smaller copy has too, at least four patch pixels
+    apart. For each table a key holds 28 sampled bits of either descriptor, and the second corner's direction, distance,
+    turn and level as seen from the first, in cells with the table's own shift. None of that changes if an image is cropped, moved, turned or scaled by whole levels.
     """
+    n = len(points)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    p = points.astype(np.float64)
+    z, scale, m = p[:, 1] + 1j * p[:, 0], p[:, 2], min(_NEAR, n - 1)
+    other = np.empty((n, m), np.int64)
+    step = max(1, _CELL // n)
+    for k in range(0, n, step):
+        far = np.abs(z[k : k + step, None] - z[None])
+        far[(scale[None] > scale[k : k + step, None] * 1.01) | (far * scale[None] < _APART)] = np.inf
+        some = np.argpartition(far, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (len(far), 1))
+        other[k : k + step] = np.where(np.isfinite(np.take_along_axis(far, some, 1)), some, -1)
+    i, j = np.repeat(np.arange(n), m), other.ravel()
+    i, j = i[j >= 0], j[j >= 0]
+    way = z[j] - z[i]
+    around = np.stack([(np.angle(way) - p[i, 3]) / (2 * np.pi), (p[j, 3] - p[i, 3]) / (2 * np.pi)]) % 1
+    far = np.log(np.abs(way) * scale[i]) / np.log(_FARTHER)
+    level = np.rint(np.log(scale[j] / scale[i]) / np.log(_STEP)).astype(np.int64) + 64
+    bits, out = np.unpackbits(codes, axis=1), []
+    for t in range(tables):
+        rng = np.random.default_rng([20, t])
+        taken, shift = rng.permutation(_BITS)[: 2 * _TAKEN], rng.random(3)
+        half = [bits[:, taken[a : a + _TAKEN]] @ (np.uint64(1) << np.arange(_TAKEN, dtype=np.uint64)) for a in (0, _TAKEN)]
+        turns = np.floor((around + shift[:2, None]) * _TURNS) % _TURNS
+        cell = ((turns[0] * _TURNS + turns[1]) * 256 + np.floor(far + shift[2]) + 64) * 256 + level
+        out.append(mix(mix(half[0][i] << np.uint64(32) | half[1][j]) + cell.astype(np.uint64) * np.uint64(tables) + np.uint64(t)))
+    return np.unique(np.concatenate(out)).astype(np.int64)
+
+
+def _keys(tables: int):
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                keys = [table_keys(*_unpack(data)[:2], tables) for data in part.column("features").to_pylist()]
+                which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("digest").take(pa.array(which))], ["key", "id"])
+    return run
 
-    def run(key, table):
-        low, high = key[0].as_py(), key[1].as_py()
-        order = np.lexsort((table.column("id").to_numpy(), table.column("mine").to_numpy()))
-        ids, mine = (table.column(c).to_numpy()[order] for c in ("id", "mine"))
-        data = table.column("data").to_pylist()
-        feats = [_unpack(data[i]) for i in order]
-        label, a, b = np.arange(len(ids)), [], []
-        first = np.concatenate([[0], np.cumsum([len(c) for _, c in feats])])
-        codes = _wide(np.concatenate([c for _, c in feats]))
-        middle = int(np.searchsorted(mine, high))
-        for i in range(len(ids) if low == high else middle):
-            own = codes[first[i] : first[i + 1]]
-            at = max(i + 1, middle)
-            while at < len(ids):
-                to = max(at + 1, int(np.searchsorted(first, first[at] + width, "right")) - 1)
-                bits = _unlike(own, codes[first[at] : first[to]])
-                near = (np.minimum.reduceat(bits, first[at:to] - first[at], axis=1) <= most_bits).sum(axis=0)
-                for j in at + np.flatnonzero(near >= least):
-                    if label[j] != label[i]:
-                        x, y = (i, j) if ids[i] < ids[j] else (j, i)
-                        if consensus(*feats[x], *feats[y], most_bits, least):
-                            a.append(ids[x])
-                            b.append(ids[y])
-                            label[label == label[j]] = label[i]
-                at = to
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+def _checker(most_bits: int, least: int, share: float):
+    def run(batches):
+        for batch in batches:
+            ok = pa.array([consensus(*_unpack(x), *_unpack(y), most_bits, least, share) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
     return run
 
 
+def _within(most_bits: int, least: int, share: float):
+    """Consensus of one image of a bucket with others of it."""
+
+    def prepare(key: int, data: list[bytes]):
+        feats = [_unpack(d) for d in data]
+        return lambda i, js: [j for j in js if consensus(*feats[min(i, j)], *feats[max(i, j)], most_bits, least, share)]
+    return prepare
+
+
 def image_copies(
     images: DataFrame, image_id: str = "image_id", image: str = "image", corners: int | None = None, most_bits: int = 20, least_matches: int = 6,
-    block_points: int = 1 << 16,
+    least_share: float = 0.35, tables: int = 5, broadcast_keys: int = 1_000_000,
 ) -> DataFrame:
     """``image_id, class_id, n_points``: class of copies of each image, named by its smallest id.
 
     Images are linked if their bytes have one 64-bit hash, or if geometric consensus finds at least ``least_matches``
-    descriptor matches (of at most ``most_bits`` unlike bits of 128) under one turn, scale and shift; classes are
-    connected components. No key of a few bits meets that rule, so every two images are compared, in blocks of about
-    ``block_points`` keypoints: the work grows with the square of the images. Null, broken or
-    featureless images are only linked to equal ones, and null images stay alone. Rows with one id are one image; a row without id has
-    no class. An empty table gives no row; other columns are ignored.
+    descriptor matches (of at most ``most_bits`` unlike bits of 128) under one turn, size and shift, and these are at least
+    ``least_share`` of the keypoints that both should show; classes are connected components. Candidates share a key of ``tables`` Hamming tables
+    over pairs of neighbouring corners (``table_keys``); every candidate is checked. Buckets are first compared with one of
+    their images, and those that then still mix classes in blocks inside tasks, so no bucket is cut.
+
+    Null, broken or featureless images are only linked to equal ones, and null images stay alone. Rows with one id are one
+    image; a row without id has no class. An empty table gives no row; other columns are ignored.
     """
     cols = images.select(F.col(image_id).alias("id"), F.col(image).alias("image"))
     x = written(cols.mapInArrow(_describer(corners), "id long, digest long, features binary, n_points int"), "images")
-    same = written(x.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")).where("rep is not null"), "same")
-    reps = x.join(same.select("digest", F.col("rep").alias("id")), ["digest", "id"]).where(F.col("n_points") >= least_matches)
-    reps = reps.groupBy("id").agg(F.min(F.struct("features", "n_points")).alias("f")).select("id", "f.*")
-    blocks = -(-(reps.agg(F.sum("n_points")).first()[0] or 1) // block_points)
-    placed = reps.select("id", F.col("features").alias("data"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("mine"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.select("id", "data", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    # as many partitions as pairs of blocks, since small inputs of much work would be merged
-    met = met.repartition(max(1, blocks * (blocks + 1) // 2), "low", "high")
-    links = written(met.groupBy("low", "high").applyInArrow(_by_block(most_bits, least_matches), "a long, b long"), "links")
-    again = x.join(same, "digest").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    classes = connected_components(links.unionByName(again), "a", "b")
-    named = x.select("id", "n_points").join(classes, F.col("id") == F.col("node"), "left")
-    return named.select(F.col("id").alias("image_id"), F.coalesce("component", "id").alias("class_id"), "n_points")
+    # from here on an image is its digest
+    one = x.where(F.col("digest").isNotNull() & (F.col("n_points") >= least_matches)).select("digest", "features").dropDuplicates(["digest"])
+    one = written(one, "one")
+    keyed = one.mapInArrow(_keys(tables), "key long, id long")
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")  # an image has a key once
+    small = shared.count() <= broadcast_keys  # numbers of eight bytes
+    members = written(keyed.join(F.broadcast(shared) if small else shared, "key", "left_semi"), "members")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(one.select(F.col("digest").alias("a"), F.col("features").alias("fa")), "a").join(one.select(F.col("digest").alias("b"), F.col("features").alias("fb")), "b")
+        return both.mapInArrow(_checker(most_bits, least_matches, least_share), "a long, b long")
+
+    def payload(ids: DataFrame) -> DataFrame:
+        return ids.join(one.select(F.col("digest").alias("id"), F.col("features").alias("data")), "id")
+
+    links = link_buckets(members, verify, payload, _within(most_bits, least_matches, least_share))
+    ids = x.where("id is not null and digest is not null")
+    first = ids.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a < z").select("id", "a")
+    again = ids.select("id", "digest").join(first, "id").where("a != digest").select("a", F.col("digest").alias("b")).distinct()
+    classes = written(connected_components(links.unionByName(again), "a", "b"), "classes")
+    placed = x.where("digest is not null").select("id", "digest", "n_points").join(classes, F.col("digest") == F.col("node"), "left").withColumn("c", F.coalesce("component", "digest"))
+    named = placed.groupBy("c").agg(F.min("id").alias("low"))
+    got = placed.join(named, "c").select("id", "low", "n_points").unionByName(x.where("digest is null").select("id", F.col("id").alias("low"), "n_points"))
+    return got.select(F.col("id").alias("image_id"), F.when(F.col("id").isNotNull(), F.col("low")).alias("class_id"), "n_points")
 
 
 def heat_map(vector: list[float] | None, side: int = 64) -> bytes | None:
