@@ -389,7 +389,7 @@ def image_copies(
     def payload(ids: DataFrame) -> DataFrame:
         return ids.join(one.select(F.col("digest").alias("id"), F.col("features").alias("data")), "id")
 
-    links = link_buckets(members, verify, payload, _within(most_bits, least_matches, least_share))
+    links = link_buckets(members, verify, payload, _within(most_bits, least_matches, least_share), few_pivots=True)
     ids = x.where("id is not null and digest is not null")
     first = ids.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a < z").select("id", "a")
     again = ids.select("id", "digest").join(first, "id").where("a != digest").select("a", F.col("digest").alias("b")).distinct()

@@ -133,7 +133,7 @@ def _verifier(similarity: float, size: int):
     return run
 
 
-def link_buckets(members: DataFrame, verify, payload, within, block: int = 1024) -> DataFrame:
+def link_buckets(members: DataFrame, verify, payload, within, block: int = 1024, few_pivots: bool = False) -> DataFrame:
     """Links (``a``, ``b``) that join the ids of each class, from rows (``key``, ``id``) that share a bucket.
 
     First each bucket's rows are compared with one of them, its pivot: ``verify`` turns pairs (``a``, ``b``) into
@@ -142,12 +142,26 @@ def link_buckets(members: DataFrame, verify, payload, within, block: int = 1024)
     blocks of about ``block`` rows of a bucket; of larger buckets each two blocks meet. It gives only links that
     join two classes, so neither step makes more rows than a bucket has, and every pair of a bucket is either
     compared or already known as one class.
+
+    Where rows of a large group share many buckets, most pairs of row and pivot say what others said before:
+    ``few_pivots`` takes the same ids as pivots wherever they occur, compares each row with one of them, and of all other
+    pairs only those that are still of two classes.
     """
     keyed = members.select("key", "id").distinct()
-    order = F.struct(F.xxhash64("id", "key").alias("h"), F.col("id").alias("id"))
+    order = F.struct((F.xxhash64("id") if few_pivots else F.xxhash64("id", "key")).alias("h"), F.col("id").alias("id"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("low")).where("n > 1").select("key", "n", F.col("low.id").alias("p"))
     active = written(keyed.join(sizes, "key").where("id != p"), "active")
-    links = written(verify(written(active.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "pairs")), "links")
+    ends = F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")
+    if few_pivots:
+        one = active.groupBy("id").agg(F.min(F.struct(F.xxhash64("p").alias("h"), "p")).alias("low")).select("id", F.col("low.p").alias("p"))
+        links = written(verify(written(one.select(*ends).distinct(), "pairs")), "links")
+        label = written(connected_components(links, "a", "b"), "label")
+        known = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        rest = active.select("id", "p", *ends).distinct().join(one, ["id", "p"], "left_anti").join(known("a"), "a", "left").join(known("b"), "b", "left")
+        rest = rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b").distinct()
+        links = written(links.unionByName(verify(written(rest, "pairs"))), "links")
+    else:
+        links = written(verify(written(active.select(*ends).distinct(), "pairs")), "links")
     classes = connected_components(links, "a", "b")
     open_rows = active.where("n > 2").join(classes, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
     mixed = open_rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
