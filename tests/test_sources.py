@@ -60,10 +60,17 @@ def test_schedule(spark):
     lr = [r["scale"] for r in schedule.lr_curve(spark, schedule.LrPlan(total_steps=10, warmup_steps=4)).orderBy("step").collect()]
     assert lr[0] == 0.25 and lr[3] == 1.0
     assert abs(schedule.lr_curve(spark, schedule.LrPlan(total_steps=10, floor=0.05)).where("step = 5").first()["scale"] - 0.5) < 1e-12
-    df = spark.createDataFrame([(1000, 2, 1, 8, 3.0, 0)], "samples int, world int, batch int, accumulation int, epochs double, max_steps int")
-    assert schedule.step_estimate(df).first()["steps"] == 189
-    p = spark.createDataFrame([(1000, 45, 50, None)], "estimate long, tokenized long, seen long, total long")
-    assert schedule.projected(p).first()["projected"] == 900
+    df = spark.createDataFrame([(1000, 2, 1, 8, 3.0, m) for m in (None, 0, 7)], "samples int, world int, batch int, accumulation int, epochs double, max_steps int")
+    assert [r["steps"] for r in schedule.step_estimate(df).collect()] == [189, 1, 7]
+    cases = [(1000, 45, 50, None), (1000, 0, 50, None), (1000, 0, 0, None), (1000, 45, 50, 0), (1000, 45, 50, 33), (1, 1, 5, None), (0, 1, 1, None)]
+    p = spark.createDataFrame(cases, "estimate long, tokenized long, seen long, total long")
+    assert [tuple(r) for r in schedule.projected(p).select("projected", "source").collect()] == [
+        (900, "progress"), (1000, "estimate"), (1000, "estimate"), (1000, "estimate"), (33, "meta"), (1, "estimate"), (1, "estimate")]
+    short = [r["scale"] for r in schedule.lr_curve(spark, schedule.LrPlan(total_steps=4, warmup_steps=9, kind="linear")).orderBy("step").collect()]
+    assert short[:4] == [1 / 3, 2 / 3, 1.0, 1.0] and short[4] == 0.0
+    part = [r["scale"] for r in schedule.lr_curve(spark, schedule.LrPlan(total_steps=10, kind="linear", decay_factor=0.25)).orderBy("step").collect()]
+    assert part[:4] == [1.0, 1 - 1 / 3, 1 - 2 / 3, 0.0]  # a span of 2.5 steps is one of 3
+    assert schedule.lr_curve(spark, schedule.LrPlan(total_steps=1, warmup_steps=3)).first()["scale"] == 1.0
 
 
 def test_streams(spark, tmp_path):
@@ -112,5 +119,5 @@ def test_ordinal(spark, n):
     from threadloom.operators.ordinal import with_ordinal
 
     df = spark.range(n).select((F.col("id") * 37 % 1001).alias("k"))
-    got = {r["k"]: r["seq"] for r in with_ordinal(df, ["k"], F.floor(F.col("k") / 50)).collect()}
+    got = {r["k"]: r["seq"] for r in with_ordinal(df, ["k"]).collect()}
     assert got == {k: i for i, k in enumerate(sorted(i * 37 % 1001 for i in range(n)))}

@@ -34,7 +34,9 @@ def normalize_id(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0))
+    """Runs of anything but white space. The text is divided at the gaps, which takes a third of the time of finding the runs."""
+    s = norm_text(c)
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{WS}+"))
 
 
 def squeeze(c: Column) -> Column:
@@ -64,7 +66,9 @@ def token_ids(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    return F.size(words(c))
+    """Number of ``words``."""
+    s = norm_text(c)
+    return F.when(s == "", 0).otherwise(F.size(F.split(s, f"{WS}+")))
 
 
 def occurrences(text: Column, phrase: Column) -> Column:
@@ -92,8 +96,13 @@ def format_eta(seconds: Column) -> Column:
 
 
 def safe_name(c: Column) -> Column:
-    """Name for a folder: anything but ASCII letters, digits, ``-``, ``_``, ``.`` becomes ``_``."""
-    return F.regexp_replace(c, r"[^A-Za-z0-9\-_.]", "_")
+    """Name for a folder: anything but letters and numbers of any script, ``-``, ``_``, ``.`` becomes ``_``; ``model`` for null and empty text."""
+    return F.when(F.coalesce(c, F.lit("")) == "", "model").otherwise(F.regexp_replace(c, r"[^\p{L}\p{N}\-_.]", "_"))
+
+
+def run_dir_name(c: Column, at: Column) -> Column:
+    """Folder of a run: its safe name and the local time that it began at."""
+    return F.concat(safe_name(c), F.lit("_"), F.date_format(at, "yyyy-MM-dd_HH-mm-ss"))
 
 
 # the same primitives as SQL text for the engine that checks queries

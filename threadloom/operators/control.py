@@ -66,13 +66,25 @@ def flatten_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select("*", wrap_start_stop(F.concat_ws("\n", *parts)).alias("text_flat"))
 
 
+#: Sampling settings that stand for null, and the lowest ones allowed.
+SAMPLING_DEFAULTS = {"temperature": 0.0, "top_p": 1.0, "top_k": 40, "repetition_penalty": 1.1}
+LEAST_TEMPERATURE, LEAST_PENALTY = 1e-5, 0.01
+
+
 def sanitize_sampling(requests: DataFrame) -> DataFrame:
-    """Sampling settings made safe: nulls to defaults, no temperature means greedy, ``top_p`` outside (0, 1] is 1, ``top_k`` at least 0."""
-    t = F.coalesce(F.col("temperature"), F.lit(0.7))
-    p = F.coalesce(F.col("top_p"), F.lit(0.95))
+    """Sampling settings made safe, as ``safe_*`` columns and ``do_sample``; missing input columns count as null.
+
+    Without a temperature above 0 decoding is greedy: temperature 0, ``top_p`` 1, ``top_k`` 0, no sampling whatever is asked for. Else
+    ``top_p`` outside (0, 1] is 1, ``top_k`` at least 0, and sampling is on unless ``do_sample`` says no. ``max_new_tokens`` is at least 1.
+    """
+    given = lambda c, kind: F.col(c).cast(kind) if c in requests.columns else F.lit(None).cast(kind)
+    t, p, k, rp = (F.coalesce(given(c, "int" if c == "top_k" else "double"), F.lit(v)) for c, v in SAMPLING_DEFAULTS.items())
+    on = t > 0
     return requests.withColumns({
-        "do_sample": t > 0, "safe_temperature": F.when(t > 0, t).otherwise(F.lit(1.0)), "safe_top_p": F.when((p > 0) & (p <= 1), p).otherwise(F.lit(1.0)),
-        "safe_top_k": F.greatest(F.coalesce(F.col("top_k"), F.lit(50)), F.lit(0)), "safe_max_new": F.greatest(F.coalesce(F.col("max_new_tokens"), F.lit(256)), F.lit(1))})
+        "safe_temperature": F.when(on, F.greatest(t, F.lit(LEAST_TEMPERATURE))).otherwise(F.lit(0.0)),
+        "safe_top_p": F.when(on & (p > 0) & (p <= 1), p).otherwise(F.lit(1.0)), "safe_top_k": F.when(on, F.greatest(k, F.lit(0))).otherwise(F.lit(0)),
+        "safe_repetition_penalty": F.greatest(rp, F.lit(LEAST_PENALTY)), "safe_max_new": F.greatest(F.coalesce(given("max_new_tokens", "int"), F.lit(1)), F.lit(1)),
+        "do_sample": on & F.coalesce(given("do_sample", "boolean"), F.lit(True))})
 
 
 def stopped(text: Column, stops: list[str]) -> Column:
@@ -86,13 +98,18 @@ def usage(prompts: DataFrame, key: str, order: str, prompt_ids: str, answer_ids:
     return prompts.groupBy(key).agg(last.alias("u")).select(key, "u.*", (F.col("u.prompt_tokens") + F.col("u.completion_tokens")).alias("total_tokens"))
 
 
-def gpu_stats(text: DataFrame, value: str = "value") -> DataFrame:
-    """``gpu, name, util, mem_used, mem_total`` from headerless lines of four comma-separated fields; broken lines go."""
-    rows = text.select("line_no", F.from_csv(F.col(value), "name string, util string, mem_used string, mem_total string").alias("c"))
-    num = lambda c: F.expr(f"try_cast(trim(c.{c}) as int)")
-    got = rows.select("line_no", F.trim("c.name").alias("name"), num("util").alias("util"), num("mem_used").alias("mem_used"), num("mem_total").alias("mem_total"))
-    ok = got.where("name is not null and name != '' and util is not null and mem_used is not null and mem_total is not null")
-    return ok.withColumn("gpu", F.row_number().over(Window.orderBy("line_no")) - 1).drop("line_no")
+def gpu_stats(text: DataFrame, value: str = "value", host: str = "host") -> DataFrame:
+    """``host, gpu, name, util, mem_used, mem_total`` from headerless lines ``util, total, used, name`` of each host.
+
+    ``line_no`` gives a host's order. One broken line (not four fields, or a field that is no whole number) and the host reports no GPU at all.
+    """
+    f = F.split(F.col(value), ",")
+    num = lambda i: F.expr(f"try_cast(trim(get(f, {i})) as int)")
+    rows = text.select(F.col(host).alias("host"), "line_no", f.alias("f")).select("host", "line_no", F.size("f").alias("n"), num(0).alias("util"), num(1).alias("mem_total"), num(2).alias("mem_used"), F.trim(F.get("f", F.lit(3))).alias("name"))
+    ok = F.coalesce((F.col("n") == 4) & F.col("util").isNotNull() & F.col("mem_total").isNotNull() & F.col("mem_used").isNotNull(), F.lit(False))
+    own = Window.partitionBy("host")
+    got = rows.withColumn("whole", F.min(ok).over(own)).withColumn("gpu", F.row_number().over(own.orderBy("line_no")) - 1)  # a host has a few GPUs
+    return got.where("whole").select("host", "gpu", "name", "util", "mem_used", "mem_total")
 
 
 def final_state(runs: DataFrame) -> DataFrame:
@@ -105,9 +122,20 @@ def visible_lines(log: DataFrame) -> DataFrame:
     return log.where((F.col("rank") == 0) | (F.col("level") == "ERROR"))
 
 
-def lora_targets(modules: DataFrame, name: str = "module") -> DataFrame:
-    """Distinct leaf names of modules, sorted."""
-    return modules.select(F.element_at(F.split(F.col(name), r"\."), -1).alias("leaf")).where(norm_text(F.col("leaf")) != "").distinct().orderBy("leaf")
+#: Names of the linear modules that adapters go to, and those taken if a model has none of them.
+ADAPTED = (
+    "q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj", "query", "key", "value", "dense", "fc1", "fc2", "wq", "wk", "wv", "wo",
+)
+ADAPTED_BY_DEFAULT = ("q_proj", "k_proj", "v_proj", "o_proj")
+
+
+def lora_targets(modules: DataFrame, name: str = "module", linear: str = "is_linear") -> DataFrame:
+    """``leaf``: distinct last names of the linear modules that adapters go to, compared without case, or the default ones."""
+    leaf = F.element_at(F.split(F.col(name), r"\."), -1)
+    own = modules.where(F.col(linear)) if linear in modules.columns else modules
+    got = own.select(leaf.alias("leaf")).where(F.lower("leaf").isin(*ADAPTED)).distinct()
+    some = got.agg(F.sort_array(F.collect_set("leaf")).alias("s"))  # at most as many as there are spellings of the names
+    return some.select(F.explode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(*[F.lit(x) for x in ADAPTED_BY_DEFAULT]))).alias("leaf"))
 
 
 def epoch_loss(losses: DataFrame) -> DataFrame:
@@ -127,3 +155,17 @@ def decode_preview(batches: DataFrame, vocabulary: DataFrame, ids: str = "input_
     each = real.select("k", F.posexplode("x").alias("pos", "id")).join(vocabulary.select("id", "word"), "id", "left")
     words = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("word", F.lit("?")).alias("w")))), lambda s: s["w"])
     return each.groupBy("k").agg(F.array_join(words, " ").alias("preview")).withColumnRenamed("k", key)
+
+
+def batch_previews(decoded: DataFrame, batch: str = "batch", pos: str = "pos", text: str = "preview") -> DataFrame:
+    """``batch, preview, preview_full``: the texts of each batch in order with a rule between, cut to 4,000 and 20,000 characters."""
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, text))), lambda s: s[text]), "\n\n---\n\n")
+    return decoded.groupBy(batch).agg(whole.alias("w")).select(batch, F.substring("w", 1, 4000).alias("preview"), F.substring("w", 1, 20_000).alias("preview_full"))
+
+
+def merge_sources(records: DataFrame, key: str, order: str, plain: list[str], truthy: list[str] = (), rank: str = "source_rank") -> DataFrame:
+    """Last value of each field by key over records of several sources that are merged one after the other.
+
+    Sources of one ``order`` count by ``rank``, the last of them last; null never replaces a value, in ``truthy`` fields zero and empty text don't either.
+    """
+    return last_known(records.withColumn("_at", F.struct(F.col(order), F.col(rank))), key, "_at", plain, truthy)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.sources.store import written
 
-def with_ordinal(df: DataFrame, order: list[str], bucket: Column, name: str = "seq") -> DataFrame:
-    """Adds the 0-based position of each row in the total order of ``order``.
 
-    ``bucket`` must grow with the order (for instance an id divided by some thousands); null sorts first. Rows are numbered inside
-    their bucket, and only the table of bucket sizes, thousands of times smaller than the rows, meets in one window.
+def with_ordinal(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """Adds the 0-based position of each row in the total order of ``order``; null sorts first, ties in any order.
+
+    Rows are dealt out in even ranges of the order, a random number dividing ties, so neither clustered nor repeated keys
+    fill one task; they are sorted and numbered inside their range and written once. Only the table of range sizes, a row a
+    range, meets in one window. Columns that are dear to compute are better added to the result.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
-    placed = keyed.withColumn("_k", inside - 1).join(starts, F.col("_bucket").eqNullSafe(F.col("_b")))
-    return placed.withColumn(name, (F.col("_start") + F.col("_k")).cast("long")).drop("_bucket", "_b", "_k", "_start")
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_tie", F.rand(7)).repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie")
+    rows = written(ranged.withColumns({"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).drop("_tie"), "ranges")
+    before = F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy(F.col("_p").alias("q")).agg(F.count("*").alias("n")).select("q", F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = rows.join(F.broadcast(starts), F.col("_p") == F.col("q"))  # a row a partition
+    return placed.withColumn(name, (F.col("_start") + F.col("_k")).cast("long")).drop("_p", "_k", "q", "_start")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import EOS_ID, norm_text, strip, token_ids
+from threadloom.functions.text import EOS_ID, norm_text, strip, token_count, token_ids
 
 #: Role markers of the chat format and the mask of prompt labels.
 ROLE_MARKS = {"system": "<|System|>", "user": "<|Benutzer|>", "assistant": "<|Assistentin|>"}
-EOS = "</s>"
+#: Headings of the sectioned format, and the marks around a text.
+SECTIONS = {"system": "[SYSTEM]", "user": "[USER]", "assistant": "[ASSISTANT]"}
+BOS, EOS = "<s>", "</s>"
 MASKED = -100
 
 
@@ -79,46 +81,57 @@ def pack(df: DataFrame, window: int, prompt_loss: bool = False, blocks: str = "b
 
 
 def pack_chat(samples: DataFrame, window: int, max_history: int | None = None, prompt_loss: bool = False, tokens=token_ids) -> DataFrame:
-    """Tokenised and packed chat samples; blocks are tokenised one by one. An answer without tokens is skipped as ``empty``."""
+    """Tokenised and packed chat samples; blocks are tokenised one by one. A blank answer is the end id alone."""
     target = strip(F.col("target_answer"))
     rows = samples.withColumn("blocks", F.transform(prompt_blocks(max_history), tokens)).withColumn("answer", F.concat(tokens(target), F.array(F.lit(EOS_ID))))
     out = pack(rows, window, prompt_loss)
     return out.drop("blocks", "answer")
 
 
-def pack_plain(docs: DataFrame, window: int, text: str = "text", tokens=token_ids, eos: int = EOS_ID) -> DataFrame:
+def pack_plain(docs: DataFrame, window: int, text: str = "text", tokens=token_ids, count=None, eos: int = EOS_ID) -> DataFrame:
     """Tokenised plain texts: blank ones are left out, longer ones than the window skipped, labels equal the ids.
 
-    A text of one token gets the end id; ``input_ids``, ``labels``, ``seq_len`` are added.
+    A text of one token gets the end id; ``input_ids``, ``labels``, ``seq_len`` are added. Lengths come from ``count``,
+    a cheaper expression that equals the number of ``tokens`` (known for the default tokenizer): then plans that read only
+    lengths never make an id, and ids are made once, of what is kept.
     """
-    rows = docs.withColumn("_t", norm_text(F.col(text))).where("_t != ''").withColumn("input_ids", tokens(F.col("_t")))
-    rows = rows.where(F.size("input_ids") <= window)
-    rows = rows.withColumn("input_ids", F.when(F.size("input_ids") < 2, F.concat("input_ids", F.array(F.lit(eos)))).otherwise(F.col("input_ids")))
-    return rows.withColumns({"labels": F.col("input_ids"), "seq_len": F.size("input_ids")}).drop("_t")
+    if count is None:
+        count = token_count if tokens is token_ids else lambda c: F.size(tokens(c))
+    rows = docs.withColumn("_t", norm_text(F.col(text))).where("_t != ''").withColumn("_n", count(F.col("_t"))).where(F.col("_n") <= window)
+    ids = tokens(F.col("_t"))
+    ids = F.when(F.col("_n") < 2, F.concat(ids, F.array(F.lit(eos)))).otherwise(ids)
+    return rows.withColumn("seq_len", F.col("_n") + (F.col("_n") < 2).cast("int")).withColumn("input_ids", ids).withColumn("labels", F.col("input_ids")).drop("_t", "_n")
 
 
 # -- templates ------------------------------------------------------------------
 
 
 def alternates(messages: Column) -> Column:
-    """Whether an optional leading system message is followed by user and assistant in turn."""
-    rest = F.when(F.element_at(messages, 1)["role"] == "system", F.slice(messages, 2, F.greatest(F.size(messages), F.lit(1)))).otherwise(messages)
-    odd = F.transform(rest, lambda m, i: m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant"))
-    return F.forall(odd, lambda x: x)
+    """Whether a chat template accepts the messages: system only in front, user and assistant each in its place.
+
+    After an optional leading system message users stand first, third and so on and assistants between them; a role that the
+    template doesn't know is passed over, but takes a place. No messages are accepted.
+    """
+    lead = F.coalesce(F.get(messages, F.lit(0))["role"] == "system", F.lit(False)).cast("int")
+    odd = lambda m, i: ((m["role"] == "system") & (i > 0)) | ((m["role"] == "user") & ((i + lead) % 2 == 1)) | ((m["role"] == "assistant") & ((i + lead) % 2 == 0))
+    return F.forall(F.transform(messages, lambda m, i: F.coalesce(odd(m, i), F.lit(False))), lambda x: ~x)
 
 
-def render(messages: Column, mode: str = "chat", prompt: bool = False, eos: str = EOS) -> Column:
-    """Messages in a template: ``plain`` (contents one a line), ``instruct`` (headed sections) or ``chat`` (role blocks).
+def render(messages: Column, mode: str = "chat", prompt: bool = False, eos: str = EOS, bos: str = BOS) -> Column:
+    """Messages in a template: ``plain`` (each content and a line end), ``instruct`` (headed sections) or role blocks for any other mode.
 
-    Chat gives null for messages that don't alternate.
+    Contents are stripped in role blocks only; roles that a template doesn't know add nothing there or to sections. Chat gives null
+    for messages that it doesn't accept (``alternates``).
     """
+    joined = lambda part: F.array_join(F.transform(messages, part), "")
+    mode = mode.strip().lower()
     if mode == "plain":
-        return F.array_join(F.transform(messages, lambda m: strip(m["content"])), "\n")
+        return joined(lambda m: F.concat(m["content"], F.lit("\n")))
     if mode == "instruct":
-        head = lambda m: F.when(m["role"] == "system", "### System:\n").when(m["role"] == "user", "### Instruction:\n").otherwise("### Response:\n")
-        out = F.array_join(F.transform(messages, lambda m: F.concat(head(m), strip(m["content"]))), "\n\n")
-        return F.concat(out, F.lit("\n\n### Response:\n")) if prompt else out
-    out = F.array_join(F.transform(messages, lambda m: role_block(m["role"], m["content"], eos)), "")
+        head = lambda m: F.element_at(F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair]), m["role"])
+        text = F.concat(F.lit(f"{bos}\n"), joined(lambda m: F.when(m["role"].isin(*SECTIONS), F.concat(head(m), F.lit("\n"), m["content"], F.lit("\n"))).otherwise("")))
+        return F.concat(text, F.lit(SECTIONS["assistant"] + "\n")) if prompt else text
+    out = joined(lambda m: F.when(m["role"].isin(*ROLE_MARKS), role_block(m["role"], m["content"], eos)).otherwise(""))
     out = F.concat(out, F.lit(ROLE_MARKS["assistant"])) if prompt else out
     return F.when(alternates(messages), out)
 
@@ -134,15 +147,25 @@ def system_of(messages: Column) -> Column:
     return F.get(F.filter(messages, lambda m: F.lower(m["role"]) == "system"), F.lit(0))["content"]
 
 
-def inference_prompt(messages: Column, system: Column) -> Column:
-    """Rendered prompt: an empty last assistant message goes, the system text comes first, the answer's mark last."""
-    last = F.element_at(messages, -1)
-    trimmed = F.when((last["role"] == "assistant") & (norm_text(last["content"]) == ""), F.slice(messages, 1, F.size(messages) - 1)).otherwise(messages)
-    headed = F.when(norm_text(system) != "", F.concat(F.array(F.struct(F.lit("system").alias("role"), system.alias("content"))), trimmed)).otherwise(trimmed)
-    return render(headed, "chat", prompt=True)
+def inference_prompt(messages: Column, system: Column, mode: str = "chat") -> Column:
+    """Rendered prompt: a blank last assistant message goes, the stripped system text comes first, the answer's mark last.
+
+    Null for messages that the chat template doesn't accept; without any message the mark alone.
+    """
+    last = F.get(messages, F.size(messages) - 1)
+    blank = F.coalesce((last["role"] == "assistant") & (norm_text(last["content"]) == ""), F.lit(False))
+    trimmed = F.slice(messages, 1, F.greatest(F.size(messages) - blank.cast("int"), F.lit(0)))
+    head = F.array(F.struct(F.lit("system").alias("role"), strip(system).alias("content")))
+    return render(F.when(norm_text(system) != "", F.concat(head, trimmed)).otherwise(trimmed), mode, prompt=True)
 
 
 def preview(system: Column, turns: Column, answer: Column, most: int = 4000) -> Column:
-    """Readable first lines of a sample, at most ``most`` characters."""
-    users = F.array_join(F.transform(turns, lambda t: F.concat(F.lit("["), F.upper(t["role"]), F.lit("]\n"), t["content"])), "\n")
-    return F.substring(F.concat(F.lit("[SYSTEM]\n"), system, F.lit("\n"), users, F.lit("\n[TARGET_ASSISTANT]\n"), answer), 1, most)
+    """Readable text of a sample, at most ``most`` characters: headed parts with a blank line between, no head for an empty system text.
+
+    The short form has 4,000 characters, the full one 20,000.
+    """
+    part = lambda head, text: F.concat(F.lit("["), head, F.lit("]\n"), text)
+    parts = F.concat(
+        F.when(F.coalesce(system, F.lit("")) != "", F.array(part(F.lit("SYSTEM"), system))).otherwise(F.array().cast("array<string>")),
+        F.transform(turns, lambda t: part(F.upper(t["role"]), t["content"])), F.array(part(F.lit("TARGET_ASSISTANT"), answer)))
+    return F.substring(F.array_join(parts, "\n\n"), 1, most)

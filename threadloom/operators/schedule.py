@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,15 +22,19 @@ class LrPlan:
 
 
 def lr_curve(spark: SparkSession, plan: LrPlan) -> DataFrame:
-    """``step, scale, lr``: linear warm-up without floor, then the decay over ``decay_factor`` of the remaining steps."""
-    s = F.col("step").cast("double")
-    span = max(1.0, (plan.total_steps - plan.warmup_steps) * plan.decay_factor)
-    at = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (s - plan.warmup_steps) / F.lit(span)))
-    decayed = {"linear": 1 - at, "cosine": 0.5 * (1 + F.cos(F.lit(3.141592653589793) * at))}.get(plan.kind, F.lit(1.0))
+    """``step, scale, lr``: linear warm-up without floor, then the decay over ``decay_factor`` of the remaining steps, rounded up.
+
+    Warm-up leaves one step at least; a plan of one step has scale 1.
+    """
+    total = max(1, plan.total_steps)
+    warm = max(0, min(plan.warmup_steps, total - 1))
+    span = max(1, math.ceil((total - warm) * plan.decay_factor))
+    at = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("step").cast("double") - warm) / F.lit(float(span))))
+    decayed = {"linear": 1 - at, "cosine": 0.5 * (1 + F.cos(F.lit(math.pi) * at))}.get(plan.kind, F.lit(1.0))
     scale = F.greatest(F.lit(float(plan.floor)), decayed)
-    if plan.warmup_steps > 0:
-        scale = F.when(F.col("step") < plan.warmup_steps, (s + 1) / F.lit(float(plan.warmup_steps))).otherwise(scale)
-    return spark.range(plan.total_steps + 1).select(F.col("id").alias("step"), scale.alias("scale"), (scale * F.lit(plan.base)).alias("lr"))
+    if warm:
+        scale = F.when(F.col("step") < warm, (F.col("step") + 1).cast("double") / F.lit(float(warm))).otherwise(scale)
+    return spark.range(total + 1).select(F.col("id").alias("step"), scale.alias("scale"), (scale * F.lit(plan.base)).alias("lr"))
 
 
 def running_min(curve: DataFrame, warmup_steps: int) -> DataFrame:
@@ -56,22 +61,35 @@ def extend_only(totals: DataFrame, order: str = "event", total: str = "total", d
     return placed.withColumn("planned", F.greatest("_before", "_in")).drop("_t", "_r", "_b", "_in", "_before")
 
 
+def min_change(plans: DataFrame, current: str = "current_steps", proposed: str = "proposed_steps", least: float = 0.02) -> DataFrame:
+    """Adds ``relative_change`` and ``should_update``: a new plan counts if it differs by at least ``least`` of the current one."""
+    change = F.abs(F.col(proposed) - F.col(current)) / F.greatest(F.lit(1), F.col(current))
+    return plans.withColumns({"relative_change": change, "should_update": (F.col(proposed) != F.col(current)) & (change >= least)})
+
+
 def step_estimate(plans: DataFrame) -> DataFrame:
-    """``steps`` from ``samples, world, batch, accumulation, epochs, max_steps``: ceiling after ceiling, ``max_steps`` above 0 wins."""
+    """``steps`` from ``samples, world, batch, accumulation, epochs, max_steps``: ceiling after ceiling; ``max_steps`` wins if it isn't null, 1 at least."""
     up = lambda a, b: F.ceil(a / F.greatest(F.lit(1), b)).cast("long")
-    per_rank = up(F.col("samples"), F.col("world"))
-    per_epoch = F.greatest(F.lit(1), up(up(per_rank, F.col("batch")), F.col("accumulation")))
-    steps = F.greatest(F.lit(1), F.ceil(per_epoch * F.col("epochs"))).cast("long")
-    return plans.withColumns({"per_epoch": per_epoch, "steps": F.when(F.coalesce(F.col("max_steps"), F.lit(0)) > 0, F.col("max_steps").cast("long")).otherwise(steps)})
+    one = lambda c: F.greatest(F.lit(1), c)
+    per_rank = up(one(F.col("samples")), F.col("world"))
+    per_epoch = one(up(one(up(per_rank, F.col("batch"))), F.col("accumulation")))
+    steps = one(F.ceil(per_epoch * F.col("epochs"))).cast("long")
+    return plans.withColumns({"per_epoch": per_epoch, "steps": F.when(F.col("max_steps").isNotNull(), one(F.col("max_steps").cast("long"))).otherwise(steps)})
 
 
 def projected(progress: DataFrame) -> DataFrame:
-    """``projected, source``: the finished count if known, else the estimate scaled by the kept share (halves to even), else the estimate."""
-    share = F.bround(F.col("estimate") * F.col("tokenized") / F.col("seen")).cast("long")
-    live = F.coalesce(F.col("seen"), F.lit(0)) > 0
+    """``projected, source`` of ``estimate, seen, tokenized, total``: the finished count, else the estimate scaled by the kept share, else the estimate.
+
+    ``total`` is null until the producer has finished. A finished count of 0 leaves the estimate; so does a share while nothing is seen or
+    kept, or one that rounds to 0 (halves to even). No result is below 1.
+    """
+    known = lambda c: F.coalesce(F.col(c), F.lit(0))
+    share = F.bround(F.col("estimate") * (F.col("tokenized") / F.col("seen"))).cast("long")
+    live = F.col("total").isNull() & (known("seen") > 0) & (known("tokenized") > 0) & (F.col("estimate") > 0)
+    live = live & F.when(live, share > 0).otherwise(False)
     return progress.withColumns({
-        "projected": F.when(F.col("total").isNotNull(), F.col("total")).when(live, share).otherwise(F.col("estimate")),
-        "source": F.when(F.col("total").isNotNull(), "meta").when(live, "progress").otherwise("estimate")})
+        "projected": F.greatest(F.lit(1), F.when(known("total") > 0, F.col("total")).when(live, share).otherwise(F.col("estimate"))).cast("long"),
+        "source": F.when(known("total") > 0, "meta").when(live, "progress").otherwise("estimate")})
 
 
 def token_throughput(steps: DataFrame) -> DataFrame:

@@ -99,6 +99,6 @@ def batches(samples: DataFrame, batch_size: int, pos: str = "pos", fixed: int |
     return rows.withColumns({"attention_mask": fill(mask, 0), "labels": fill(F.col("labels"), MASKED), "input_ids": fill(F.col("input_ids"), PAD_ID)})
 
 
-def number_kept(samples: DataFrame, order: list[str], bucket: Column) -> DataFrame:
+def number_kept(samples: DataFrame, order: list[str]) -> DataFrame:
     """Position of each kept sample in source order, as ``seq``."""
-    return with_ordinal(samples, order, bucket, "seq")
+    return with_ordinal(samples, order)

@@ -15,10 +15,10 @@ def build_samples(rows: DataFrame, mode: str = "chat", column: str = "text", win
     if tables.is_threaded(rows, mode):
         order = ["thread_first", "depth", "_rowidx"]
         got = samples.pack_chat(samples.chat_sample(threads.chains(rows)), window, max_history, prompt_loss).where("skipped is null")
-        kept = with_ordinal(got, order, F.floor(F.col("thread_first") / 4096))
+        kept = with_ordinal(got, order)
     else:
         got = samples.pack_plain(rows.select("_rowidx", F.col(column).alias("text")), window)
-        kept = with_ordinal(got, ["_rowidx"], F.floor(F.col("_rowidx") / 4096))
+        kept = with_ordinal(got, ["_rowidx"])
     return kept.select("seq", "input_ids", "labels", "seq_len")
 
 

@@ -72,17 +72,17 @@ ord0 AS (SELECT *, seq // 512 AS buffer FROM kept),
 ordered AS (
   SELECT doc_id, seq, seq_len, buffer, buffer * 512 + row_number() OVER (PARTITION BY buffer ORDER BY seq_len, seq) - 1 AS global_idx,
          (buffer * 512 + row_number() OVER (PARTITION BY buffer ORDER BY seq_len, seq) - 1) // {SHARD} AS shard_idx FROM ord0)"""
-_SCAN = f"""{_DOCS}, scanned AS (SELECT seq, text, {sql_words('text')} AS w FROM docs WHERE seq < 4000)"""
-_PHRASES = f"""{_SCAN}, cut AS (SELECT seq, text, len(w) AS len, w[1:4096] AS w FROM scanned),
+_SCAN = f"""{_DOCS}, scanned AS (SELECT seq, text, {sql_words('text')} AS w FROM docs)"""
+_PHRASES = f"""{_SCAN}, cut AS (SELECT seq, text, len(w) AS len, w FROM scanned),
 starts AS (SELECT seq, len, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
 grams AS (SELECT seq, len, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM starts, (SELECT unnest(range(2, 13)) AS k) ks WHERE i + k - 1 <= len(w)),
-ph AS (SELECT seq, phrase, count(*) AS n, first(len) AS len FROM grams WHERE length(phrase) BETWEEN 16 AND 384 AND NOT starts_with(phrase, '<|ng:') GROUP BY seq, phrase)"""
+ph AS (SELECT seq, phrase, count(*) AS n, first(len) AS len FROM grams WHERE length(phrase) BETWEEN 16 AND 384 AND NOT (starts_with(phrase, '<|ng:') AND ends_with(phrase, '|>')) GROUP BY seq, phrase)"""
 _RX = [rx.replace("'", "''") for rx, _ in CODE_PATTERNS]
-_DETECT = " OR ".join([f"regexp_matches(phrase, '{CODE_SYMBOLS}')", f"regexp_matches(phrase, '^{WS}*(#|//)')"] + [f"regexp_matches(phrase, '{rx}')" for rx in _RX])
+_DETECT = " OR ".join([f"regexp_matches(phrase, '{CODE_SYMBOLS}')", f"starts_with(phrase, '#')", "starts_with(phrase, '//')"] + [f"regexp_matches(phrase, '{rx}')" for rx in _RX])
 _LINES = f"""raw AS (
   SELECT seq, len(w) AS len, unnest(regexp_split_to_array(text, '\\r\\n|[\\x0a-\\x0d\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS raw FROM scanned),
 code0 AS (SELECT seq, len, replace(regexp_replace(raw, '{WS}+$', ''), chr(9), '    ') AS phrase FROM raw),
-cl AS (SELECT seq, phrase, count(*) AS n, first(len) AS len FROM code0 WHERE length(phrase) BETWEEN 12 AND 384 AND ({_DETECT}) AND NOT starts_with(phrase, '<|ng:') GROUP BY seq, phrase)"""
+cl AS (SELECT seq, phrase, count(*) AS n, first(len) AS len FROM code0 WHERE length(phrase) BETWEEN 12 AND 384 AND ({_DETECT}) AND NOT (starts_with(phrase, '<|ng:') AND ends_with(phrase, '|>')) GROUP BY seq, phrase)"""
 _STATS = f"""{_PHRASES}, {_LINES},
 per AS (
   SELECT seq, phrase, sum(pn) AS pn, sum(ln) AS ln, max(len) AS len FROM (
@@ -93,13 +93,21 @@ tot AS (
 stats AS (
   SELECT tot.phrase, CAST(p_cnt AS BIGINT) AS p_cnt, CAST(l_cnt AS BIGINT) AS l_cnt, oversize_hits, near_limit_hits, CAST(p_cnt + l_cnt AS BIGINT) AS cnt
   FROM tot)"""
+_SAVED = f"""saved AS (
+  SELECT k.phrase, count(*) AS saved_samples FROM stats k JOIN per USING (phrase) JOIN scanned s USING (seq)
+  WHERE per.len > 1024 AND len({sql_words('k.phrase')}) > 1
+    AND per.len - (len({sql_words('k.phrase')}) - 1) * greatest(1, (length(text) - length(replace(text, k.phrase, ''))) // length(k.phrase)) <= 1024 GROUP BY k.phrase)"""
 _FACTOR = "CASE " + " ".join(f"WHEN regexp_matches(phrase, '{rx.replace(chr(39), chr(39) * 2)}') THEN CAST({f} AS DOUBLE) * CAST(1.2 AS DOUBLE)" for rx, f in CODE_PATTERNS) + " ELSE 1.0::DOUBLE END"
 _CURVE = f"""curve AS (
   SELECT step, CASE WHEN step < {PLAN.warmup_steps} THEN (step + 1)::DOUBLE / {PLAN.warmup_steps}
     ELSE greatest({PLAN.floor}::DOUBLE, 0.5::DOUBLE * (1 + cos(3.141592653589793::DOUBLE * least(1.0::DOUBLE, (step - {PLAN.warmup_steps})::DOUBLE / {PLAN.total_steps - PLAN.warmup_steps})))) END AS scale
   FROM range({PLAN.total_steps + 1}) t(step))"""
 _MSGS = "m AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id)"
-_VALID = "(CASE WHEN roles[1] = 'system' THEN list_bool_and(list_transform(roles[2:], lambda x, i: x = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) ELSE list_bool_and(list_transform(roles, lambda x, i: x = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) END)"
+#: System only in front; users first, third, ... behind it and assistants between; a role that isn't known takes a place and says nothing.
+_VALID = "(list_bool_and(list_transform(roles, lambda x, i: NOT (x = 'system' AND i > 1) AND NOT (x = 'user' AND (i + CAST(roles[1] = 'system' AS INTEGER)) % 2 = 0) AND NOT (x = 'assistant' AND (i + CAST(roles[1] = 'system' AS INTEGER)) % 2 = 1))))"
+_SAID = "list_transform(list_zip(roles, texts), lambda z: CASE z[1] WHEN 'system' THEN '[SYSTEM]' WHEN 'user' THEN '[USER]' WHEN 'assistant' THEN '[ASSISTANT]' END || chr(10) || z[2] || chr(10))"
+_PREVIEW = """array_to_string(list_concat(CASE WHEN system <> '' THEN ['[SYSTEM]' || chr(10) || system] ELSE [] END,
+  list_transform(list_zip(roles, texts), lambda z: '[' || upper(z[1]) || ']' || chr(10) || z[2]), ['[TARGET_ASSISTANT]' || chr(10) || answer]), chr(10) || chr(10))"""
 
 ORACLES: dict[str, str] = {
     "plain_pack_lengths": f"WITH {_PLAIN} SELECT doc_id, CAST(len(ids) AS INTEGER) AS seq_len FROM plain",
@@ -117,9 +125,9 @@ ORACLES: dict[str, str] = {
     "role_blocks": f"SELECT conv_id, turn, md5({_block('role', 'text')}) AS block_md5 FROM conversations",
     "history_cap": f"{_ALL} SELECT id, CAST(least(2, len(roles)) AS INTEGER) AS n_kept, array_to_string(roles[greatest(1, len(roles) - 1):], ',') AS roles FROM samples",
     "chat_render": f"""WITH {_MSGS} SELECT conv_id, CASE WHEN {_VALID} THEN md5(array_to_string(list_transform(list_zip(roles, texts), lambda z: {_block('z[1]', 'z[2]')}), '')) END AS chat_md5,
-      md5(array_to_string(list_transform(texts, lambda t: {sql_norm('t')}), chr(10))) AS plain_md5 FROM m""",
+      md5(array_to_string(list_transform(texts, lambda t: t || chr(10)), '')) AS plain_md5, md5('<s>' || chr(10) || array_to_string({_SAID}, '') || '[ASSISTANT]' || chr(10)) AS instruct_md5 FROM m""",
     "role_violations": f"WITH {_MSGS} SELECT count(*) AS n, count(*) FILTER (NOT {_VALID}) AS violations FROM m",
-    "first_preview": f"""{_ALL} SELECT id, substr('[SYSTEM]' || chr(10) || system || chr(10) || array_to_string(list_transform(list_zip(roles, texts), lambda z: '[' || upper(z[1]) || ']' || chr(10) || z[2]), chr(10)) || chr(10) || '[TARGET_ASSISTANT]' || chr(10) || answer, 1, 4000) AS preview FROM samples ORDER BY _rowidx LIMIT 1""",
+    "first_preview": f"{_ALL} SELECT id, substr({_PREVIEW}, 1, 4000) AS preview, substr({_PREVIEW}, 1, 20000) AS preview_full FROM samples ORDER BY _rowidx LIMIT 1",
     "inference_prompts": f"""WITH {_MSGS}, h AS (
       SELECT conv_id, list_filter(list_zip(roles, texts), lambda z: z[1] IN ('user', 'assistant')) AS z, list_filter(list_zip(roles, texts), lambda z: z[1] = 'system')[1][2] AS sys FROM m)
       SELECT conv_id, CASE WHEN list_bool_and(list_transform(z, lambda x, i: x[1] = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) THEN
@@ -154,10 +162,13 @@ ORACLES: dict[str, str] = {
     "scan_cap": f"SELECT CAST(least(count(*), 151) AS BIGINT) AS scanned_samples FROM documents WHERE {sql_norm('text')} <> ''",
     "lr_curve": f"WITH {_CURVE} SELECT step, round(scale, 9) AS scale FROM curve",
     "lr_running_min": f"""WITH {_CURVE} SELECT step, round(CASE WHEN step >= {PLAN.warmup_steps} THEN min(CASE WHEN step >= {PLAN.warmup_steps} THEN scale * {PLAN.base}::DOUBLE END) OVER (ORDER BY step) ELSE scale * {PLAN.base}::DOUBLE END * 1e6::DOUBLE, 6) AS applied_micro FROM curve""",
-    "step_estimate": """SELECT o_orderstatus, count(*) AS samples, CAST(greatest(1, ceil(ceil(count(*) / 2.0) / 8.0)) AS BIGINT) AS per_epoch, CAST(ceil(greatest(1, ceil(ceil(count(*) / 2.0) / 8.0)) * 3.0) AS BIGINT) AS steps FROM orders GROUP BY 1""",
-    "projected_samples": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN event_id WHEN user_id % 50 > 0 THEN CAST(round_even(1000.0::DOUBLE * (user_id % 45) / (user_id % 50), 0) AS BIGINT) ELSE 1000 END AS projected,
-      CASE WHEN event_id % 7 = 0 THEN 'meta' WHEN user_id % 50 > 0 THEN 'progress' ELSE 'estimate' END AS source FROM events WHERE event_id < 500""",
-    "scheduler_extension": "SELECT event_id, max(CASE WHEN event_id <= 300 THEN user_id END) OVER (ORDER BY event_id) AS planned FROM events WHERE event_id < 400",
+    "step_estimate": """WITH e AS (SELECT o_orderstatus, count(*) AS samples, CAST(greatest(1, ceil(ceil(count(*) / 2.0) / 8.0)) AS BIGINT) AS per_epoch FROM orders GROUP BY 1)
+      SELECT o_orderstatus, samples, per_epoch, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 120 ELSE CAST(ceil(per_epoch * 3.0) AS BIGINT) END AS steps FROM e""",
+    "projected_samples": """WITH p AS (SELECT event_id, user_id % 50 AS seen, user_id % 45 AS tok, CASE WHEN event_id % 7 = 0 THEN event_id END AS total FROM events),
+      r AS (SELECT *, CASE WHEN total IS NULL AND seen > 0 AND tok > 0 THEN CAST(round_even(1000.0::DOUBLE * (tok::DOUBLE / seen::DOUBLE), 0) AS BIGINT) ELSE 0 END AS share FROM p)
+      SELECT event_id, CAST(greatest(1, CASE WHEN coalesce(total, 0) > 0 THEN total WHEN share > 0 THEN share ELSE 1000 END) AS BIGINT) AS projected,
+      CASE WHEN coalesce(total, 0) > 0 THEN 'meta' WHEN share > 0 THEN 'progress' ELSE 'estimate' END AS source FROM r""",
+    "scheduler_extension": "SELECT event_id, max(CASE WHEN event_id <= 300 THEN user_id END) OVER (ORDER BY event_id) AS planned FROM events",
     "token_throughput": "SELECT event_id AS step, 1024 * 2 * 8 * (user_id % 4 + 1) AS tokens_per_step, 1024 * 2 * 8 * (user_id % 4 + 1) * event_id AS tokens_so_far FROM events",
     "epoch_tail": "SELECT c_custkey, CAST(CASE WHEN c_custkey % 2 + 1 > 1 THEN floor((c_custkey % 91) / 8.0) ELSE ceil((c_custkey % 91) / 8.0) END AS BIGINT) AS epoch_steps FROM customer",
     "log_tail": "SELECT event_id AS line_id, event_type || ' ' || user_id AS line FROM events ORDER BY event_id DESC LIMIT 200",
@@ -166,23 +177,42 @@ ORACLES: dict[str, str] = {
     "visible_lines": "SELECT event_id, user_id % 4 AS rank, CASE WHEN event_type = 'purchase' THEN 'ERROR' ELSE 'INFO' END AS level FROM events WHERE user_id % 4 = 0 OR event_type = 'purchase'",
     "status_last_non_null": """SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 3 = 0) AS phase, arg_max(event_id % 4, event_id) FILTER (event_id % 5 <> 0 AND event_id % 4 <> 0) AS step FROM events GROUP BY user_id""",
     "ordered_dedup_union": "SELECT name, CAST(min(p) AS INTEGER) AS priority FROM (SELECT c_mktsegment AS name, 0 AS p FROM customer UNION ALL SELECT p_type, 1 FROM part) GROUP BY name",
-    "latest_valid_model": """WITH f AS (SELECT 'models/m' || (o_custkey % 50) AS folder, o_orderkey % 3 = 0 AS merged, o_orderkey AS mtime FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 3 < 2)
+    "latest_valid_model": """WITH f AS (SELECT 'models/m' || (o_custkey % 50) AS folder, o_orderkey % 3 = 0 AS merged, o_orderkey AS mtime FROM orders WHERE o_orderkey % 3 < 2)
       SELECT CASE WHEN bool_or(merged) THEN folder || '/merged' ELSE folder END AS model_dir FROM f GROUP BY folder ORDER BY max(mtime) DESC, folder LIMIT 1""",
     "runs_with_config": """SELECT n_name AS run, CASE WHEN n_regionkey = 1 THEN '{"id": ' || n_nationkey || '}' ELSE '{}' END AS config FROM nation""",
     "row_flatten_text": "SELECT c_custkey, '<s>c_custkey: ' || c_custkey || chr(10) || 'c_name: ' || c_name || chr(10) || 'c_nationkey: ' || c_nationkey || chr(10) || 'c_mktsegment: ' || c_mktsegment || '</s>' AS text_flat FROM customer",
     "eta_format": "SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS eta FROM (SELECT event_id, greatest(event_id * 37 - 50, 0) AS s FROM events)",
-    "run_dir_names": "SELECT p_partkey, regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9_.-]', '_', 'g') AS dir_name FROM part",
+    "run_dir_names": r"""SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN regexp_replace('größe_模/' || p_name || '/' || p_brand, '[^\p{L}\p{N}\-_.]', '_', 'g') ELSE 'model' END || '_' ||
+      strftime(TIMESTAMP '2023-11-14 22:13:20' + to_seconds(p_partkey), '%Y-%m-%d_%H-%M-%S') AS dir_name FROM part""",
     "id_normalise": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::VARCHAR ELSE c_custkey::VARCHAR || '.0' END AS norm_id FROM customer",
-    "sampling_clamp": """WITH p AS (SELECT p_partkey, coalesce(CASE WHEN p_size % 5 <> 0 THEN (p_size - 10)::DOUBLE / 10.0::DOUBLE END, 0.7::DOUBLE) AS t, p_size::DOUBLE / 40.0::DOUBLE AS p, p_size - 25 AS k FROM part)
-      SELECT p_partkey, t > 0 AS do_sample, CASE WHEN t > 0 THEN t ELSE 1.0::DOUBLE END AS safe_temperature, CASE WHEN p > 0 AND p <= 1 THEN p ELSE 1.0::DOUBLE END AS safe_top_p, greatest(k, 0) AS safe_top_k, CAST(256 AS INTEGER) AS safe_max_new FROM p""",
+    "sampling_clamp": """WITH p AS (
+      SELECT p_partkey, coalesce(CASE WHEN p_partkey % 5 > 0 THEN (p_size - 10)::DOUBLE / 10.0::DOUBLE END, 0.0::DOUBLE) AS t, coalesce(CASE WHEN p_partkey % 7 > 0 THEN p_size::DOUBLE / 40.0::DOUBLE END, 1.0::DOUBLE) AS p,
+        coalesce(CASE WHEN p_partkey % 3 > 0 THEN p_size - 25 END, 40) AS k, coalesce(CASE WHEN p_partkey % 4 > 0 THEN (p_size - 3)::DOUBLE / 8.0::DOUBLE END, 1.1::DOUBLE) AS rp, p_size - 5 AS n,
+        coalesce(CASE WHEN p_partkey % 2 > 0 THEN p_size > 20 END, true) AS wish FROM part)
+      SELECT p_partkey, t > 0 AND wish AS do_sample, CASE WHEN t > 0 THEN greatest(t, 1e-5::DOUBLE) ELSE 0.0::DOUBLE END AS safe_temperature, CASE WHEN t > 0 AND p > 0 AND p <= 1 THEN p ELSE 1.0::DOUBLE END AS safe_top_p,
+        CAST(CASE WHEN t > 0 THEN greatest(k, 0) ELSE 0 END AS INTEGER) AS safe_top_k, greatest(rp, 0.01::DOUBLE) AS safe_repetition_penalty, CAST(greatest(n, 1) AS INTEGER) AS safe_max_new FROM p""",
     "stop_strings": "SELECT conv_id, turn, contains(text, 'the end') OR contains(text, 'tion.') AS stopped FROM conversations",
-    "usage_counts": f"""WITH u AS (SELECT conv_id, turn, len({sql_words('text')}) AS p, len({sql_words('substr(text, 1, 20)')}) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
-      SELECT conv_id, CAST(p AS INTEGER) AS prompt_tokens, CAST(a AS INTEGER) AS completion_tokens, CAST(p + a AS INTEGER) AS total_tokens FROM u WHERE k = 1""",
-    "gpu_lines": "SELECT 'GPU ' || n_name AS name, n_nationkey * 4 AS util, 1024 AS mem_used, 24576 AS mem_total, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS gpu FROM nation WHERE n_nationkey % 6 <> 5",
+    "usage_counts": f"""WITH u AS (SELECT conv_id, turn, len({sql_words('text')}) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+      SELECT conv_id, CAST(p AS INTEGER) AS prompt_tokens, CAST(p AS INTEGER) AS completion_tokens, CAST(2 * p AS INTEGER) AS total_tokens FROM u WHERE k = 1""",
+    "gpu_lines": """SELECT n_regionkey AS host, 'GPU ' || n_name AS name, n_nationkey * 4 AS util, 1024 AS mem_used, 24576 AS mem_total, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS gpu FROM nation
+      WHERE n_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 5)""",
     "final_states": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'stopped' WHEN o_custkey % 3 = 0 THEN 'finished' ELSE 'failed' END AS state, count(*) AS n FROM orders GROUP BY 1",
-    "lora_targets": "SELECT DISTINCT list_last(string_split(replace(p_type, ' ', '.'), '.')) AS leaf FROM part",
+    "lora_targets": """SELECT DISTINCT leaf FROM (SELECT ['q_proj', 'K_proj', 'lm_head', 'dense', 'norm', 'fc1', 'wq', 'embed', 'down_proj', 'value'][p_partkey % 10 + 1] AS leaf FROM part) WHERE leaf IN ('q_proj', 'K_proj', 'fc1', 'wq', 'down_proj', 'value')""",
     "producer_counters": f"{_PACK} SELECT count(*) AS seen, count(*) FILTER (reason = '') AS tokenized, count(*) FILTER (reason <> '') AS skipped_n FROM packed",
     "epoch_losses": "SELECT event_id % 10 AS epoch, round(coalesce(sum((user_id % 16)::DOUBLE / 8.0::DOUBLE) FILTER (event_id % 3 <> 0), 0) / greatest(1, count(*) FILTER (event_id % 3 <> 0)), 9) AS mean_loss FROM events GROUP BY 1",
     "rank_reduction": "SELECT event_id // 4 AS step, avg((user_id % 64)::DOUBLE) AS mean_value, bool_or(user_id % 9 = 0) AS any_stop FROM events GROUP BY 1",
     "decode_previews": f"SELECT conv_id * 1000 + turn AS global_idx, md5(array_to_string({sql_words('text')}, ' ')) AS preview_md5 FROM conversations WHERE len({sql_words('text')}) > 0",
+    "all_previews": f"{_ALL} SELECT id, md5(substr({_PREVIEW}, 1, 20000)) AS preview_md5 FROM samples",
+    "scheduler_updates": """WITH o AS (SELECT o_orderkey, o_custkey % 200 AS c, o_custkey % 200 + o_orderkey % 7 - 3 AS p FROM orders)
+      SELECT o_orderkey, round(abs(p - c)::DOUBLE / greatest(1, c)::DOUBLE, 9) AS relative_change, p <> c AND abs(p - c)::DOUBLE / greatest(1, c)::DOUBLE >= 0.02::DOUBLE AS should_update FROM o""",
+    "lora_defaults": "SELECT unnest(['q_proj', 'k_proj', 'v_proj', 'o_proj']) AS leaf",
+    "batch_previews": f"""WITH p AS (SELECT conv_id, string_agg(array_to_string({sql_words('text')}, ' '), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS w FROM conversations WHERE len({sql_words('text')}) > 0 GROUP BY conv_id)
+      SELECT conv_id, md5(substr(w, 1, 4000)) AS preview_md5, md5(substr(w, 1, 20000)) AS full_md5 FROM p""",
+    "status_sources": """SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 4 > 0) AS phase, arg_max(event_id % 5, event_id) FILTER (event_id % 5 <> 0) AS step FROM events GROUP BY user_id""",
+    "phrase_stats": f"WITH {_STATS}, {_SAVED} SELECT stats.*, coalesce(saved_samples, 0) AS saved_samples FROM stats LEFT JOIN saved USING (phrase)",
+    "phrase_scores_saved": f"""WITH {_STATS}, {_SAVED}, s AS (
+      SELECT stats.*, coalesce(saved_samples, 0) AS sv, CAST((len({sql_words('phrase')}) - 1) * (cnt - 1) AS DOUBLE) AS base FROM stats LEFT JOIN saved USING (phrase)),
+      t AS (SELECT *, base + 4.0::DOUBLE * oversize_hits + 1.5::DOUBLE * near_limit_hits + 8.0::DOUBLE * sv AS score FROM s),
+      top AS (SELECT * FROM t WHERE l_cnt >= 2 ORDER BY l_cnt DESC, length(phrase) DESC, phrase LIMIT 400)
+      SELECT phrase, 'phrase' AS kind, score FROM t WHERE base > 0 AND p_cnt >= 2 UNION ALL SELECT phrase, 'code', score * 1.35::DOUBLE * ({_FACTOR}) FROM top WHERE base > 0""",
 } | harness.ORACLES

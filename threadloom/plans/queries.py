@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     """Plain texts in order: ``seq`` counts the non-blank ones by doc_id."""
     rows = S.table(spark, d, "documents").select("doc_id", X.norm_text(F.col("text")).alias("text")).where("text != ''")
-    return with_ordinal(rows, ["doc_id"], F.floor(F.col("doc_id") / 4096))
+    return with_ordinal(rows, ["doc_id"])
 
 
 def _threads(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ def history_cap(spark, d):
 
 def chat_render(spark, d):
     m = S.messages(S.table(spark, d, "conversations"))
-    return m.select("conv_id", F.md5(samples.render(F.col("messages"))).alias("chat_md5"), F.md5(samples.render(F.col("messages"), "plain")).alias("plain_md5"))
+    return m.select("conv_id", F.md5(samples.render(F.col("messages"))).alias("chat_md5"), F.md5(samples.render(F.col("messages"), "plain")).alias("plain_md5"), F.md5(samples.render(F.col("messages"), "instruct", prompt=True)).alias("instruct_md5"))
 
 
 def role_violations(spark, d):
@@ -113,7 +113,13 @@ def role_violations(spark, d):
 
 def first_preview(spark, d):
     s = _samples(spark, d).orderBy("thread_first", "depth", "_rowidx").limit(1)
-    return s.select("id", samples.preview(F.col("system"), F.col("turns"), F.col("target_answer")).alias("preview"))
+    parts = F.col("system"), F.col("turns"), F.col("target_answer")
+    return s.select("id", samples.preview(*parts).alias("preview"), samples.preview(*parts, 20_000).alias("preview_full"))
+
+
+def all_previews(spark, d):
+    parts = F.col("system"), F.col("turns"), F.col("target_answer")
+    return _samples(spark, d).select("id", F.md5(samples.preview(*parts, 20_000)).alias("preview_md5"))
 
 
 def inference_prompts(spark, d):
@@ -150,10 +156,10 @@ def sample_signature(spark, d):
     return got.select("id", shards.signature(F.col("input_ids"), F.col("labels")).alias("signature"))
 
 
-def _ordered(spark, d):
-    docs = samples.pack_plain(_docs(spark, d).drop("seq"), WINDOW)
-    kept = shards.number_kept(docs, ["doc_id"], F.floor(F.col("doc_id") / 4096))
-    return shards.buffered_order(kept, SHARD)
+def _ordered(spark, d, *more: str):
+    """Plain samples in buffered order: ``doc_id, seq_len`` and what else is asked for, so that ids are only made where they are used."""
+    docs = samples.pack_plain(S.table(spark, d, "documents").select("doc_id", "text"), WINDOW)
+    return shards.buffered_order(shards.number_kept(docs.select("doc_id", "seq_len", *more), ["doc_id"]), SHARD)
 
 
 def buffered_sort_order(spark, d):
@@ -170,7 +176,7 @@ def rank_partition(spark, d):
 
 
 def padded_batches(spark, d):
-    got = shards.batches(_ordered(spark, d), 8, "global_idx")
+    got = shards.batches(_ordered(spark, d, "input_ids", "labels"), 8, "global_idx")
     return got.select("global_idx", "batch", "padded_len", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"), F.size("labels").alias("n_labels"), F.size("input_ids").alias("n_ids"))
 
 
@@ -231,7 +237,7 @@ def ngram_tokens(spark, d):
 def vocabulary_extension(spark, d):
     docs = S.table(spark, d, "nation").select(F.col("n_name").alias("token"), F.col("n_nationkey").cast("long").alias("id"))
     new = S.table(spark, d, "region").select(F.col("r_name").alias("token"), F.col("r_regionkey").alias("pos"))
-    both = new.unionByName(docs.where("id < 3").select("token", (F.col("id") + 100).cast("int").alias("pos")))
+    both = new.unionByName(docs.select("token", (F.col("id") + 100).cast("int").alias("pos")))
     return ngrams.extend_vocabulary(docs, both)
 
 
@@ -250,7 +256,7 @@ def lr_running_min(spark, d):
 
 def step_estimate(spark, d):
     n = S.table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("samples"))
-    got = schedule.step_estimate(n.withColumns({"world": F.lit(2), "batch": F.lit(1), "accumulation": F.lit(8), "epochs": F.lit(3.0), "max_steps": F.lit(0)}))
+    got = schedule.step_estimate(n.withColumns({"world": F.lit(2), "batch": F.lit(1), "accumulation": F.lit(8), "epochs": F.lit(3.0), "max_steps": F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 120)}))
     return got.select("o_orderstatus", "samples", "per_epoch", "steps")
 
 
@@ -265,6 +271,11 @@ def scheduler_extension(spark, d):
     return schedule.extend_only(e, "event_id").select("event_id", "planned")
 
 
+def scheduler_updates(spark, d):
+    o = S.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("current_steps"), (F.col("o_custkey") % 200 + F.col("o_orderkey") % 7 - 3).alias("proposed_steps"))
+    return schedule.min_change(o).select("o_orderkey", F.round("relative_change", 9).alias("relative_change"), "should_update")
+
+
 def token_throughput(spark, d):
     e = S.table(spark, d, "events").select(F.col("event_id").alias("step"), F.lit(1024).alias("seq"), F.lit(2).alias("batch"), F.lit(8).alias("accumulation"), (F.col("user_id") % 4 + 1).alias("world"))
     return schedule.token_throughput(e).select("step", "tokens_per_step", "tokens_so_far")
@@ -331,7 +342,9 @@ def eta_format(spark, d):
 
 
 def run_dir_names(spark, d):
-    return S.table(spark, d, "part").select("p_partkey", X.safe_name(F.concat_ws("/", "p_name", "p_brand")).alias("dir_name"))
+    name = F.when(F.col("p_partkey") % 5 > 0, F.concat_ws("/", F.lit("größe_模"), "p_name", "p_brand")).otherwise("")
+    at = F.expr("timestamp_ntz'2023-11-14 22:13:20' + make_dt_interval(0, 0, 0, p_partkey)")
+    return S.table(spark, d, "part").select("p_partkey", X.run_dir_name(name, at).alias("dir_name"))
 
 
 def id_normalise(spark, d):
@@ -340,8 +353,11 @@ def id_normalise(spark, d):
 
 
 def sampling_clamp(spark, d):
-    p = S.table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 5 != 0, (F.col("p_size") - 10) / 10.0).alias("temperature"), (F.col("p_size") / 40.0).alias("top_p"), (F.col("p_size") - 25).alias("top_k"), F.lit(None).cast("int").alias("max_new_tokens"))
-    return control.sanitize_sampling(p).select("p_partkey", "do_sample", "safe_temperature", "safe_top_p", "safe_top_k", "safe_max_new")
+    some = lambda k, c: F.when(F.col("p_partkey") % k > 0, c)
+    p = S.table(spark, d, "part").select(
+        "p_partkey", some(5, (F.col("p_size") - 10) / 10.0).alias("temperature"), some(7, F.col("p_size") / 40.0).alias("top_p"), some(3, F.col("p_size") - 25).alias("top_k"),
+        (F.col("p_size") - 5).alias("max_new_tokens"), some(4, (F.col("p_size") - 3) / 8.0).alias("repetition_penalty"), some(2, F.col("p_size") > 20).alias("do_sample"))
+    return control.sanitize_sampling(p).select("p_partkey", "do_sample", "safe_temperature", "safe_top_p", "safe_top_k", "safe_repetition_penalty", "safe_max_new")
 
 
 def stop_strings(spark, d):
@@ -354,7 +370,8 @@ def usage_counts(spark, d):
 
 
 def gpu_lines(spark, d):
-    n = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("line_no"), F.concat_ws(", ", F.concat(F.lit("GPU "), "n_name"), (F.col("n_nationkey") * 4).cast("string"), F.when(F.col("n_nationkey") % 6 == 5, "n/a").otherwise("1024"), F.lit("24576")).alias("value"))
+    used = F.when(F.col("n_nationkey") == 5, "n/a").otherwise("1024")
+    n = S.table(spark, d, "nation").select(F.col("n_regionkey").alias("host"), F.col("n_nationkey").alias("line_no"), F.concat_ws(", ", (F.col("n_nationkey") * 4).cast("string"), F.lit("24576"), used, F.concat(F.lit("GPU "), "n_name")).alias("value"))
     return control.gpu_stats(n)
 
 
@@ -364,7 +381,13 @@ def final_states(spark, d):
 
 
 def lora_targets(spark, d):
-    return control.lora_targets(S.table(spark, d, "part").select(F.concat(F.lit("model.layers."), F.replace("p_type", F.lit(" "), F.lit("."))).alias("module")))
+    names = ["q_proj", "K_proj", "lm_head", "dense", "norm", "fc1", "wq", "embed", "down_proj", "value"]
+    leaf = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    return control.lora_targets(S.table(spark, d, "part").select(F.concat(F.lit("model.layers."), F.col("p_size").cast("string"), F.lit("."), leaf).alias("module"), (leaf != "dense").alias("is_linear")))
+
+
+def lora_defaults(spark, d):
+    return control.lora_targets(S.table(spark, d, "part").select(F.concat(F.lit("model."), F.replace("p_type", F.lit(" "), F.lit("."))).alias("module")))
 
 
 def producer_counters(spark, d):
@@ -382,19 +405,37 @@ def rank_reduction(spark, d):
     return control.across_ranks(e)
 
 
+def _decoded(spark, d):
+    """Texts that went through ids of a vocabulary of all words, each with an id of its own, and back."""
+    c = S.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("global_idx"), "conv_id", X.words(F.col("text")).alias("w"))
+    vocabulary = with_ordinal(c.select(F.explode("w").alias("word")).distinct(), ["word"], "id")
+    coded = c.select("global_idx", "conv_id", F.posexplode("w").alias("pos", "word")).join(vocabulary, "word")
+    rows = coded.groupBy("global_idx", "conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
+    b = rows.select("global_idx", "conv_id", F.concat("ids", F.array(F.lit(0).cast("long"))).alias("input_ids"), F.concat(F.transform("ids", lambda x: F.lit(1)), F.array(F.lit(0))).alias("attention_mask"))
+    return control.decode_preview(b, vocabulary).select("global_idx", F.floor(F.col("global_idx") / 1000).alias("conv_id"), "preview")
+
+
 def decode_previews(spark, d):
-    c = S.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("global_idx"), X.words(F.col("text")).alias("w"))
-    vocabulary = c.select(F.explode("w").alias("word")).distinct().select(X.token_id(F.col("word")).alias("id"), "word").groupBy("id").agg(F.min("word").alias("word"))
-    b = c.select("global_idx", F.concat(F.transform("w", X.token_id), F.array(F.lit(0))).alias("input_ids"), F.concat(F.transform("w", lambda x: F.lit(1)), F.array(F.lit(0))).alias("attention_mask"))
-    return control.decode_preview(b, vocabulary).select("global_idx", F.md5("preview").alias("preview_md5"))
+    return _decoded(spark, d).select("global_idx", F.md5("preview").alias("preview_md5"))
+
+
+def batch_previews(spark, d):
+    got = control.batch_previews(_decoded(spark, d), "conv_id", "global_idx")
+    return got.select("conv_id", F.md5("preview").alias("preview_md5"), F.md5("preview_full").alias("full_md5"))
+
+
+def status_sources(spark, d):
+    """Records of three sources an event time, merged in the order of the sources."""
+    e = S.table(spark, d, "events").select("user_id", (F.col("event_id") - F.col("event_id") % 3).alias("at"), (F.col("event_id") % 3).alias("source_rank"), F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("phase"), (F.col("event_id") % 5).alias("step"))
+    return control.merge_sources(e, "user_id", "at", ["phase"], ["step"])
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_pack_lengths, plain_token_ids, column_scan_lengths, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
-    training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, inference_prompts, pack_whole_turns,
+    training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, all_previews, inference_prompts, pack_whole_turns,
     pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, rank_partition, padded_batches,
     bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, ngram_tokens,
-    vocabulary_extension, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, token_throughput, epoch_tail,
+    vocabulary_extension, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, scheduler_updates, token_throughput, epoch_tail,
     log_tail, log_since, ring_retention, visible_lines, status_last_non_null, ordered_dedup_union, latest_valid_model, runs_with_config,
-    row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, final_states, lora_targets,
-    producer_counters, epoch_losses, rank_reduction, decode_previews)} | harness.QUERIES
+    row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, final_states, lora_targets, lora_defaults,
+    producer_counters, epoch_losses, rank_reduction, decode_previews, batch_previews, status_sources)} | harness.QUERIES

@@ -9,19 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only on a local master whose session names none.
+
+    On a cluster each executor would write to a temporary folder of its own and rows would be lost, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/threadloom/{tag}-{uuid.uuid4().hex}"
+def written(df: DataFrame, tag: str = "t") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: executors may be lost, the rows stay.
+
+    The table goes when the driver ends, or with ``forget``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
     out._threadloom_path = path
     return out
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import norm_text
 from threadloom.operators.ordinal import with_ordinal
+from threadloom.sources.store import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +47,8 @@ def is_threaded(df: DataFrame, mode: str) -> bool:
 
 def read_json(spark: SparkSession, path: str, schema: str, defaults: dict | None = None) -> DataFrame:
     """JSON records of a fixed schema; broken ones are dropped, missing fields get their defaults."""
-    got = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path).cache()
+    got = spark.read.schema(f"{schema}, _broken string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    got = written(got, "json")  # a reader can't be asked for its broken records alone
     ok = got.where("_broken is null").drop("_broken")
     return ok.fillna(defaults) if defaults else ok
 
@@ -67,7 +69,7 @@ def thread_rows(conversations: DataFrame) -> DataFrame:
     t = t.withColumn("n", F.when((F.col("role") == "system") & (F.col("n") == 0), F.lit(1).cast("long")).otherwise(F.col("n"))).where("n > 0")
     one = lambda role: F.min(F.when(F.col("role") == role, F.col("text")))
     rows = t.groupBy("conv_id", "n").agg(one("system").alias("system"), one("user").alias("Benutzer"), one("assistant").alias("Assistentin"))
-    rows = with_ordinal(rows, ["conv_id", "n"], F.floor(F.col("conv_id") / 1024), "_rowidx")
+    rows = with_ordinal(rows, ["conv_id", "n"], "_rowidx")
     return rows.select(
         "_rowidx", (F.col("conv_id") * 1000 + F.col("n")).cast("string").alias("id"),
         F.when(F.col("n") > 1, (F.col("conv_id") * 1000 + F.col("n") - 1).cast("string")).otherwise("").alias("parent_id"),
