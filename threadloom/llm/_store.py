@@ -1,40 +1,13 @@
-"""Lineage cuts in the folder the cluster shares, and connected components on top of them."""
+"""Connected components over tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.sources.store import forget, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, tag: str = "t") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: executors may be lost, the rows stay."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._threadloom_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes what ``written`` stored for ``df``; only once nothing reads it any more."""
-    path = getattr(df, "_threadloom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["connected_components", "forget", "shared_dir", "written"]
 
 
 def _are_stars(edges: DataFrame) -> bool:
