@@ -378,7 +378,10 @@ def image_copies(
     one = x.where(F.col("digest").isNotNull() & (F.col("n_points") >= least_matches)).select("digest", "features").dropDuplicates(["digest"])
     one = written(one, "one")
     keyed = one.mapInArrow(_keys(tables), "key long, id long")
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")  # an image has a key once
+    # an image has a key once, so most keys occur once: counting before the shuffle would only fill memory
+    n_keys = (x.agg(F.sum(F.col("n_points").cast("long"))).first()[0] or 0) * _NEAR * tables
+    parts = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // 1_000_000)
+    shared = written(keyed.select("key").repartition(parts, "key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     small = shared.count() <= broadcast_keys  # numbers of eight bytes
     members = written(keyed.join(F.broadcast(shared) if small else shared, "key", "left_semi"), "members")
 
