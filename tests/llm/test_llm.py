@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat_format, line_dedup, media, minhash, packing, piece_transducer, quality, topk_search, toxicity, url_filter
+from threadloom.llm import chat_format, line_dedup, media, minhash, packing, piece_transducer, quality, toxicity, url_filter
 from threadloom.llm import _words as W
 from threadloom.llm._store import connected_components
 
@@ -249,23 +249,6 @@ def test_unigram_path_is_the_shortest():
     assert fst.encode("ac").tolist()[-1] == 0
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(5)
-    vectors = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(300)]
-    vectors += [(300 + i, vectors[7][1]) for i in range(40)] + [(1000, None), (1020, [1.0, None] * 4), (1040, [float("nan")] * 8), (None, [1.0] * 8), (1060, []), (40, vectors[40][1])]
-    df = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, score int")
-    ok = {i: np.floor(64 * np.array(v)).astype(np.int64) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q, x in ok.items():
-        if q % 20 == 0:
-            best = sorted((-int(x @ y), i) for i, y in ok.items() if i != q)[:20]
-            want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
-    for shard in (64, 8192):
-        assert {tuple(r) for r in topk_search.top_k(df, shard_rows=shard, block_rows=5).collect()} == want
-    assert topk_search.top_k(df.limit(0)).count() == 0
-    assert topk_search.top_k(df.where("vec_id = 20")).count() == 0
-
-
 def _texture(rng, n=128):
     return media._smooth(media._resize(rng.random((16, 16)) * 255, n, n))
 
