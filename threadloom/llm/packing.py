@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +14,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import forget, written
+from threadloom.llm._store import written
 
 _MEMO_SIZE, _MEMO_CHARS = 500_000, 48
 _loaded: dict[str, _Encoder] = {}
 _PIECE = "uid long, doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
+#: The normaliser and the splitting rules under which white-space free chunks can be encoded by themselves.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class _Encoder:
     """A tokenizer file with a bounded memory of what white-space free chunks encode to.
 
-    The vocabulary's rules lower the case, drop white space and never join what stands on both sides of it, so
+    Files of other rules than the fixed ones above encode each whole text. Those rules lower the case, drop white space and never join what stands on both sides of it, so
     chunks between blanks and line ends are encoded once each and put together again. A chunk of Latin-1 letters is one
     word to these rules, as is one with full stops or commas behind it without them; such words are encoded many
     at once, and the tokenizer tells which ids are whose.
@@ -33,11 +46,18 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_chunks = (rules["normalizer"], rules["pre_tokenizer"]) == (_NORMAL, _SPLIT) and not any(set(t["content"]) & set(" \t\r\n") for t in rules["added_tokens"])
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit bytes."""
+        if not self.by_chunks:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         if len(self.memo) > _MEMO_SIZE:
             self.old, self.memo = self.memo, {}
         memo, out, later, new = self.memo, [], [], set()
@@ -203,6 +223,8 @@ def lower_bound(hist: np.ndarray) -> int:
 
 
 def _packer(window: int, keep_open: int | None, round_no: int):
+    """Packs one partition by best-fit decreasing and certifies it: ``certified`` if it has no more bins than its own bound."""
+
     def run(key, table):
         n = table.num_rows
         lengths = table.column("length").to_numpy()
@@ -210,7 +232,7 @@ def _packer(window: int, keep_open: int | None, round_no: int):
         bins = np.empty(n, np.int64)
         bins[order] = best_fit_decreasing(lengths[order], window)
         used = np.bincount(bins, lengths).astype(np.int64)
-        # a bin with a gap stays open for the exchange, whether or not its partition is at its own bound: it may take another's pieces
+        certified = len(used) <= lower_bound(np.bincount(lengths, minlength=window + 1))
         gaps = np.flatnonzero(used < window)
         loose = gaps[np.argsort(used[gaps], kind="stable")][:keep_open]
         is_open = np.zeros(len(used), bool)
@@ -222,7 +244,7 @@ def _packer(window: int, keep_open: int | None, round_no: int):
         offset[by] = upto - lengths[by] - (upto - lengths[by])[first][bins[by]]
         base = (round_no << 48) | (key[0].as_py() << 26)
         out = table.drop_columns(["grp"])
-        for name, col in (("sequence_id", base + bins), ("offset", offset), ("is_open", is_open[bins])):
+        for name, col in (("sequence_id", base + bins), ("offset", offset), ("is_open", is_open[bins]), ("certified", np.full(n, certified))):
             out = out.append_column(name, pa.array(col))
         return out
     return run
@@ -239,10 +261,11 @@ def pack_documents(
     ``doc_id`` stays null. ``with_ids`` adds the ids as bytes. An empty table gives no row; other columns are ignored.
 
     Pieces are dealt at random into partitions of about ``group_pieces``, each packed by best-fit decreasing. Dual
-    feasible functions bound the bins that all pieces need. While the packing has more bins than that, each partition
-    opens its bins with a gap (at most ``keep_open`` of the least filled ones, if given), and their pieces are dealt and
-    packed again; full bins are final. That ends once a round saves no bin, whose packing is then the one before it, or
-    once one partition held all open pieces.
+    feasible functions give each partition a bound on its bins. A partition that meets its bound is certified: its packing stands and isn't
+    opened again while others exchange. The others open their bins with a gap (at most ``keep_open`` of the least filled ones,
+    if given), and the pieces in them are dealt and packed anew, until every partition is certified or a round saves
+    no bin, whose packing is then the one before it. The same functions bound the bins that all pieces need. Only if
+    the whole packing has more than that, the certified partitions' bins with a gap join one more such exchange among all.
     """
     cols = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = _PIECE.format(id=cols.schema["doc_id"].dataType.simpleString()) + (", ids binary" if with_ids else "")
@@ -250,28 +273,56 @@ def pack_documents(
     hist = np.zeros(window + 1, np.int64)
     for r in left.groupBy("length").count().toLocalIterator():  # at most one row a length
         hist[r["length"]] = r["count"]
-    bound, closed, done, round_no, n = lower_bound(hist), 0, None, 0, int(hist.sum())
+    bound, n = lower_bound(hist), int(hist.sum())
     names = [c for c in left.columns if c != "uid"]
-    out_schema = f"{schema}, sequence_id long, offset long, is_open boolean"
-    before = opened = None
-    while n:
-        groups = -(-n // group_pieces)
-        dealt = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(round_no)), F.lit(groups)))
+    if not n:
+        return left.select(*names, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    out_schema = f"{schema}, sequence_id long, offset long, is_open boolean, certified boolean"
+    held = _Pool()  # bins with gaps of certified partitions
+    pool, settled, closed, among_all, round_no = _Pool([left], n, None), [], 0, False, 0
+    while pool.pieces:
+        groups = -(-pool.pieces // group_pieces)
+        dealt = pool.rows().select("uid", *names).withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(round_no)), F.lit(groups)))
         packed = written(dealt.groupBy("grp").applyInArrow(_packer(window, keep_open, round_no), out_schema), "packed")
-        bins = {r["is_open"]: (r["b"], r["n"]) for r in packed.groupBy("is_open").agg(F.countDistinct("sequence_id").alias("b"), F.count("*").alias("n")).collect()}
-        kept_bins, (open_bins, n_open) = bins.get(False, (0, 0))[0], bins.get(True, (0, 0))
-        saved = before is None or kept_bins + open_bins < before
-        last = groups == 1 or not saved or closed + kept_bins + open_bins <= bound
-        best = packed if saved else opened
-        final = best if last else packed.where(~F.col("is_open"))
-        final = final.select(*names, "sequence_id", "offset")
-        done = final if done is None else done.unionByName(final)
-        if last:
+        told = packed.groupBy("is_open", "certified").agg(F.countDistinct("sequence_id").alias("b"), F.count("*").alias("n")).collect()
+        bins = {(r["is_open"], r["certified"]): (r["b"], r["n"]) for r in told}
+        if pool.bins is None or sum(b for b, _ in bins.values()) < pool.bins:
+            settled.append(packed.where("not is_open"))
+            closed += sum(b for (is_open, _), (b, _) in bins.items() if not is_open)
+            mine = _Pool([packed.where("is_open and certified")], bins.get((True, True), (0, 0))[1], bins.get((True, True), (0, 0))[0])
+            pool = _Pool([packed.where("is_open and not certified")], bins.get((True, False), (0, 0))[1], bins.get((True, False), (0, 0))[0])
+            if among_all:
+                pool = pool.plus(mine)
+            else:
+                held = held.plus(mine)
+            stuck = not pool.pieces or groups == 1
+        else:
+            stuck = True  # nothing saved: what was packed before stands
+        round_no += 1
+        if closed + held.bins + pool.bins <= bound or stuck and (among_all or not held.pieces):
             break
-        closed, before, opened = closed + kept_bins, open_bins, packed.where("is_open")
-        if round_no == 0:
-            forget(left)
-        left, n, round_no = opened.select("uid", *names), n_open, round_no + 1
-    if done is None:
-        done = left.select(*names, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+        if stuck:
+            pool, held, among_all = pool.plus(held), _Pool(), True
+    done = None
+    for part in [*settled, *held.parts, *pool.parts]:
+        part = part.select(*names, "sequence_id", "offset")
+        done = part if done is None else done.unionByName(part)
     return done
+
+
+@dataclass
+class _Pool:
+    """Pieces that lie in bins with gaps: tables, number of pieces, number of bins (None before the first packing)."""
+
+    parts: list[DataFrame] = field(default_factory=list)
+    pieces: int = 0
+    bins: int | None = 0
+
+    def rows(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def plus(self, other: _Pool) -> _Pool:
+        return _Pool(self.parts + other.parts, self.pieces + other.pieces, self.bins + other.bins)
