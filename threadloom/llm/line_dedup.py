@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm._store import written
+from threadloom.llm._store import forget, written
 from threadloom.llm._words import mix
 
 _U = np.uint64
 _GAMMA = 2.0
+#: Names of the first pass's counts while a later one adds its own.
+_KEPT = ("__n_lines", "__n_dropped")
 
 
 class PerfectHash:
@@ -193,7 +195,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
     named like the two new ones are replaced. An empty table gives no row.
 
     The frequent lines' index is sent to the executors if it takes at most ``broadcast_bytes``; a larger one is
-    sent in blocks of that size, one pass over the documents each, and a later pass sees what the earlier ones kept.
+    sent in blocks of that size, one pass over the documents each. Every pass but the last is written before the next begins and
+    only its block is sent, so no executor ever holds more than one block; a later pass sees what the earlier ones kept.
     """
     if min_chars < 1:
         raise ValueError("min_chars must be at least 1")
@@ -202,18 +205,23 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, t
     blocks = max(1, -(-(lines * 24) // broadcast_bytes))
     spark, where = docs.sparkSession, docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    out = None
+    out = before = None
     for k in range(blocks):
         got = index.where(F.pmod("shard", F.lit(blocks)) == k) if blocks > 1 else index
-        block = {r["shard"]: pickle.loads(bytes(r["index"])) for r in got.toLocalIterator()}
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast({r["shard"]: pickle.loads(bytes(r["index"])) for r in got.toLocalIterator()})
         if out is None:
             out = docs.mapInArrow(_apply(shared, shards, min_docs, where), schema)
         else:  # lines that an earlier block took are gone already
-            again = out.withColumnsRenamed({"n_lines": "_n", "n_dropped": "_d"})
+            again = out.withColumnsRenamed({"n_lines": _KEPT[0], "n_dropped": _KEPT[1]})
             wide = T.StructType([*again.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
             out = again.mapInArrow(_apply(shared, shards, min_docs, where), wide)
-            out = out.select(*docs.columns, F.col("_n").alias("n_lines"), (F.col("_d") + F.col("n_dropped")).alias("n_dropped"))
+            out = out.select(*docs.columns, F.col(_KEPT[0]).alias("n_lines"), (F.col(_KEPT[1]) + F.col("n_dropped")).alias("n_dropped"))
+        if k < blocks - 1:
+            out = written(out, "pass")
+            shared.unpersist()
+            if before is not None:
+                forget(before)
+            before = out
     return out
 
 
