@@ -104,7 +104,9 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
         F.max(F.coalesce(F.col("own.verdict") == "block", F.lit(False))).alias("blocked"),
     )
     told = comp.join(voted, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("by_alias"))
-    out = at.withColumn("node", F.when(F.col("own").isNull(), node_of(F.col("url")))).join(told, "node", "left")
+    # rows that a rule settles, and URLs without a host, look nothing up: a key of their own keeps them from meeting in one partition
+    nowhere = F.concat(F.lit("!"), F.xxhash64("page_id", "url").cast("string"))
+    out = at.withColumn("node", F.coalesce(F.when(F.col("own").isNull(), node_of(F.col("url"))), nowhere)).join(told, "node", "left")
     return out.select(
         "page_id", "host", "path", F.col("own.rule").alias("rule"),
         F.coalesce("own.verdict", "by_alias", F.lit("allow")).alias("verdict"),
