@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,11 +29,19 @@ class ChatTemplate:
         g = _q(self.guard)
         return "|".join(f"(?<={_q(w[0])}){guards}(?={g}*{_q(w[1:])})" for w in words)
 
+    def _may_hold(self, text: Column) -> Column:
+        """Whether a text has any character that a control string begins with; few have, and the others need no pattern."""
+        first = sorted({w[0] for w in (self.start, self.sep, self.part, self.end, *self.foreign)})
+        out = F.contains(text, F.lit(first[0]))
+        for c in first[1:]:
+            out = out | F.contains(text, F.lit(c))
+        return out
+
     def escape(self, text: Column) -> Column:
-        return F.regexp_replace(text, self._slots(""), self.guard)
+        return F.when(self._may_hold(text), F.regexp_replace(text, self._slots(""), self.guard)).otherwise(text)
 
     def unescape(self, text: Column) -> Column:
-        return F.regexp_replace(text, self._slots(_q(self.guard)), "")
+        return F.when(self._may_hold(text), F.regexp_replace(text, self._slots(_q(self.guard)), "")).otherwise(text)
 
 
 def _q(text: str) -> str:
@@ -53,20 +61,19 @@ def format_conversations(
     table gives no row; extra columns are ignored. A conversation becomes one string, so it must fit one row.
     """
     t = template
-    turns = F.sort_array(F.collect_list(F.struct(
-        F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))))
-    got = rows.groupBy(F.col(conv).alias("conv_id")).agg(turns.alias("ts"))
-    same = lambda i: (i > 0) & (F.get("ts", i - 1)["role"] == F.get("ts", i)["role"])
-    got = got.withColumn("ps", F.transform("ts", lambda x, i: F.struct(
-        F.when(same(i), F.lit(t.part)).otherwise(F.concat(F.when(i > 0, F.lit(t.end)).otherwise(F.lit("")), F.lit(t.start), t.escape(x["role"]), F.lit(t.sep))).alias("head"),
-        t.escape(x["text"]).alias("body"), x["role"].isin(*loss_roles).alias("loss"))))
-    body = F.concat(F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"])), ""), F.lit(t.end))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.char_length(p["head"]) + F.char_length(p["body"])).cast("long").alias("at"),
-        F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.char_length(p["head"])).cast("long").alias("start"), F.char_length(p["body"]).cast("long").alias("length")))))
-        .otherwise(acc["spans"]).alias("spans"))
-    zero = F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,length:bigint>>))")
-    return got.select("conv_id", body.alias("formatted"), F.aggregate("ps", zero, step, lambda a: a["spans"]).alias("loss_spans"))
+    cols = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    near = cols.withColumns({"k": F.row_number().over(w), "before": F.lag("role").over(w)})
+    opened = F.concat(F.when(F.col("before").isNull(), F.lit("")).otherwise(F.lit(t.end)), F.lit(t.start), t.escape(F.col("role")), F.lit(t.sep))
+    parts = near.select("conv_id", "k", "role", F.when(F.col("before") == F.col("role"), F.lit(t.part)).otherwise(opened).alias("head"), t.escape(F.col("text")).alias("body"))
+    parts = parts.withColumns({"h": F.char_length("head").cast("long"), "b": F.char_length("body").cast("long")})
+    upto = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("start", F.sum(F.col("h") + F.col("b")).over(upto) - F.col("b"))
+    piece = F.struct("k", F.concat("head", "body").alias("s"), F.when(F.col("role").isin(*loss_roles), F.struct("start", F.col("b").alias("length"))).alias("span"))
+    got = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("ps"))
+    return got.select(
+        "conv_id", F.concat(F.array_join(F.transform("ps", lambda p: p["s"]), ""), F.lit(t.end)).alias("formatted"),
+        F.filter(F.transform("ps", lambda p: p["span"]), lambda x: x.isNotNull()).alias("loss_spans"))
 
 
 def read_back(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Column:
@@ -78,9 +85,23 @@ def read_back(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Col
         t.unescape(F.get(b, F.lit(0))).alias("role"), t.unescape(p).alias("text")))))
 
 
+_CHUNK = 2048
+
+
 def loss_texts(formatted: Column, spans: Column, template: ChatTemplate = ChatTemplate()) -> Column:
-    """Texts under the loss mask, unescaped, in order."""
-    return F.transform(spans, lambda s: template.unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    """Texts under the loss mask, unescaped, in order.
+
+    The string is cut into chunks once and each span taken from its own, so a long conversation takes time in proportion to its length.
+    """
+    chunks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+    def cut(cs: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / _CHUNK).cast("int")
+        n = F.floor((s["start"] + s["length"]) / _CHUNK).cast("int") - first + 1
+        return F.substr(F.array_join(F.slice(cs, first + 1, n), ""), (s["start"] - first * _CHUNK + 1).cast("int"), s["length"].cast("int"))
+
+    # a one-element array binds the chunks, so that they are made once
+    return F.flatten(F.transform(F.array(chunks), lambda cs: F.transform(spans, lambda s: template.unescape(cut(cs, s)))))
 
 
 def digest(convs: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
