@@ -78,8 +78,9 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, "a b c"), (2, " "), (3, "d e f g h")], "k long, text string").write.parquet(str(src))
     stream = jobs.follow(spark, str(src), "k long, text string")
     jobs.produce_shards(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 4, str(tmp_path / "p.json")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).select("k").collect()[0][0] == 1
     assert json.loads((tmp_path / "p.json").read_text())["skipped_samples"] == 2
+    assert jobs.ShardProducer(str(tmp_path / "out"), 4).finish(spark, "k long, text string")["num_shards"] == 1
+    assert spark.read.parquet(str(tmp_path / "out" / "shards")).select("k").collect()[0][0] == 1
     ev = tmp_path / "ev"
     spark.createDataFrame([("r", 1, "x", None), ("r", 2, None, "5"), ("q", 3, "y", None)], "run string, ord long, phase string, step string").write.parquet(str(ev))
     merged = jobs.merge_status(jobs.follow(spark, str(ev), "run string, ord long, phase string, step string"), "run", "ord", ["phase", "step"])

@@ -159,6 +159,8 @@ ORACLES: dict[str, str] = {
     "ngram_tokens": f"""WITH {_SCAN}, {_LINES}, top AS (SELECT phrase, sum(n) AS cnt FROM cl GROUP BY phrase HAVING sum(n) >= 2 ORDER BY cnt DESC, length(phrase) DESC, phrase LIMIT 400)
       SELECT DISTINCT '<|ng:' || substr(sha1({sql_norm('phrase')}), 1, 16) || '|>' AS token, {sql_norm('phrase')} AS phrase FROM top""",
     "vocabulary_extension": "SELECT r_name AS token, CAST((SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_regionkey) AS BIGINT) AS id FROM region",
+    "tokenizer_preparation": """SELECT CASE n_nationkey WHEN 3 THEN '<|System|>' ELSE n_name END AS token, CAST(n_nationkey AS BIGINT) AS id FROM nation
+      UNION ALL SELECT unnest(['<|pad|>', '<|Benutzer|>', '<|Assistentin|>']), unnest([1, 2, 3]) + (SELECT max(n_nationkey) FROM nation)""",
     "scan_cap": f"SELECT CAST(least(count(*), 151) AS BIGINT) AS scanned_samples FROM documents WHERE {sql_norm('text')} <> ''",
     "lr_curve": f"WITH {_CURVE} SELECT step, round(scale, 9) AS scale FROM curve",
     "lr_running_min": f"""WITH {_CURVE} SELECT step, round(CASE WHEN step >= {PLAN.warmup_steps} THEN min(CASE WHEN step >= {PLAN.warmup_steps} THEN scale * {PLAN.base}::DOUBLE END) OVER (ORDER BY step) ELSE scale * {PLAN.base}::DOUBLE END * 1e6::DOUBLE, 6) AS applied_micro FROM curve""",

@@ -241,6 +241,11 @@ def vocabulary_extension(spark, d):
     return ngrams.extend_vocabulary(docs, both)
 
 
+def tokenizer_preparation(spark, d):
+    known = S.table(spark, d, "nation").select(F.when(F.col("n_nationkey") == 3, "<|System|>").otherwise(F.col("n_name")).alias("token"), F.col("n_nationkey").alias("id"))
+    return ngrams.prepare_vocabulary(known)
+
+
 def scan_cap(spark, d):
     return ngrams.scan_count(_docs(spark, d), ngrams.NgramConfig(max_samples=150))
 
@@ -435,7 +440,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, all_previews, inference_prompts, pack_whole_turns,
     pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, rank_partition, padded_batches,
     bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, ngram_tokens,
-    vocabulary_extension, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, scheduler_updates, token_throughput, epoch_tail,
+    vocabulary_extension, tokenizer_preparation, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, scheduler_updates, token_throughput, epoch_tail,
     log_tail, log_since, ring_retention, visible_lines, status_last_non_null, ordered_dedup_union, latest_valid_model, runs_with_config,
     row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, final_states, lora_targets, lora_defaults,
     producer_counters, epoch_losses, rank_reduction, decode_previews, batch_previews, status_sources)} | harness.QUERIES

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from threadloom.operators import samples
-from threadloom.sources.json_files import atomic_json
+from threadloom.operators import samples, shards
+from threadloom.operators.ordinal import with_ordinal
+from threadloom.sources.json_files import atomic_json, read_json
+from threadloom.sources.store import written
 
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -15,29 +21,95 @@ def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 1000)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def produce_shards(stream: DataFrame, out: str, checkpoint: str, window: int, progress: str | None = None, text: str = "text"):
-    """Packs plain texts as they arrive; each micro-batch becomes one shard folder, written whole or not at all.
+def _union(spark: SparkSession, paths: list[str], fallback: DataFrame) -> DataFrame:
+    out = fallback
+    for p in paths:
+        out = out.unionByName(spark.read.schema(out.schema).parquet(p))
+    return out
+
 
-    ``progress`` names a JSON record of seen, tokenised and skipped samples. A repeated micro-batch replaces its shard.
+class ShardProducer:
+    """Packs plain texts as they arrive into sized shards, each buffer sorted by length, as the batch job does.
+
+    What isn't a whole buffer yet, and what isn't a whole shard yet, lies in a folder of the micro-batch that left it, with the
+    counters; a repeated micro-batch starts again from the one before and replaces what it wrote, and a new process goes on
+    where the last one stopped. ``order`` names a column that orders texts inside a micro-batch. ``finish`` writes what is left.
     """
-    totals = {"seen_samples": 0, "tokenized_samples": 0, "skipped_samples": 0, "num_shards_written": 0}
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            seen = batch.count()
-            packed = samples.pack_plain(batch, window, text).withColumn("shard_idx", F.lit(batch_id).cast("long"))
-            target = f"{out}/shard_idx={batch_id}"
-            packed.drop("shard_idx").write.mode("overwrite").parquet(target)
-            kept = batch.sparkSession.read.parquet(target).count()
-        finally:
-            batch.unpersist()
-        totals.update(seen_samples=totals["seen_samples"] + seen, tokenized_samples=totals["tokenized_samples"] + kept, num_shards_written=batch_id + 1)
-        totals["skipped_samples"] = totals["seen_samples"] - totals["tokenized_samples"]
-        if progress:
-            atomic_json(progress, totals)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def __init__(self, out: str, window: int, shard_size: int = 5000, text: str = "text", order: str | None = None, progress: str | None = None):
+        self.out, self.window, self.shard_size, self.text, self.order, self.progress = out.rstrip("/"), window, max(1, shard_size), text, order, progress
+        self.buffer = shards.buffer_size(self.shard_size)
+
+    def _state(self, batch_id: int) -> dict:
+        return read_json(f"{self.out}/_state/{batch_id}.json") or {"seen": 0, "kept": 0, "flushed": 0, "shards": 0, "rest": None, "tail": None}
+
+    def __call__(self, batch: DataFrame, batch_id: int, last: bool = False) -> None:
+        spark, before = batch.sparkSession, self._state(batch_id - 1)
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        columns = batch.columns
+        batch = written(batch.withColumn("_b", F.lit(batch_id).cast("long")), "batch")
+        fresh = samples.pack_plain(batch, self.window, self.text)
+        waiting = written(_union(spark, [before["rest"]] if before["rest"] else [], fresh), "waiting")
+        n = waiting.count()
+        flush = n if last else n // self.buffer * self.buffer
+        keys = ["_b", self.order or "_b"]
+        placed = with_ordinal(waiting, list(dict.fromkeys(keys)), "seq").withColumn("seq", F.col("seq") + before["flushed"])
+        go, rest = placed.where(F.col("seq") < before["flushed"] + flush), placed.where(F.col("seq") >= before["flushed"] + flush).drop("seq")
+        ordered = shards.buffered_order(go, self.shard_size).drop("buffer", "seq")
+        ordered = written(_union(spark, [before["tail"]] if before["tail"] else [], ordered), "ordered")
+        done = before["flushed"] + flush
+        whole = -(-done // self.shard_size) if last else done // self.shard_size
+        shards.write_shards(ordered.where(F.col("shard_idx") < whole).drop("_b"), f"{self.out}/shards", "overwrite")
+        folder = f"{self.out}/_state/{batch_id}"
+        rest.write.mode("overwrite").parquet(f"{folder}/rest")
+        ordered.where(F.col("shard_idx") >= whole).write.mode("overwrite").parquet(f"{folder}/tail")
+        state = {"seen": before["seen"] + batch.count(), "kept": before["kept"] + fresh.count(), "flushed": done, "shards": whole, "rest": f"{folder}/rest", "tail": f"{folder}/tail", "columns": columns}
+        atomic_json(f"{self.out}/_state/{batch_id}.json", state)
+        self._tell(state, last)
+
+    def _tell(self, state: dict, last: bool) -> None:
+        if self.progress:
+            atomic_json(self.progress, {
+                "seen_samples": state["seen"], "tokenized_samples": state["kept"], "skipped_samples": state["seen"] - state["kept"],
+                "num_shards_written": state["shards"], "done": last, "updated_at": time.time()})
+
+    def finish(self, spark: SparkSession, schema, config: dict | None = None) -> dict:
+        """Writes the rest as last shards, the metadata and the mark that all is done; returns the metadata."""
+        ids = [int(f[:-5]) for f in os.listdir(f"{self.out}/_state") if f.endswith(".json")]
+        self(spark.createDataFrame([], schema), max(ids) + 1, last=True)
+        state = self._state(max(ids) + 1)
+        meta = {
+            **(config or {}), "done": True, "num_shards": state["shards"], "total_samples": state["kept"], "seen_samples": state["seen"], "skipped_samples": state["seen"] - state["kept"],
+            "max_seq_length": self.window, "strict_whole_turns": True, "sort_by_length": True, "sort_buffer_size": self.buffer, "bucketed_shuffle": True}
+        atomic_json(f"{self.out}/producer_meta.json", meta)
+        atomic_json(f"{self.out}/producer_done.json", {"done": True})
+        return meta
+
+
+def produce_shards(stream: DataFrame, out: str, checkpoint: str, window: int, progress: str | None = None, text: str = "text", shard_size: int = 5000, order: str | None = None):
+    """Starts a ``ShardProducer`` on a stream; it ends once all that is there has been read. The state's folder must be one that the driver reads as files."""
+    return stream.writeStream.foreachBatch(ShardProducer(out, window, shard_size, text, order, progress)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class ProgressListener(StreamingQueryListener):
+    """Calls ``tell(stage, rows so far, rows of this step)`` for every micro-batch of the session's streams."""
+
+    def __init__(self, tell):
+        self.tell, self.total = tell, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.total[event.id] = 0
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.total[p.id] = self.total.get(p.id, 0) + p.numInputRows
+        self.tell(p.name or str(p.id), self.total[p.id], p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.total.pop(event.id, None)
 
 
 def log_lines(stream: DataFrame, cursor: int, line_id: str = "line_id") -> DataFrame:
