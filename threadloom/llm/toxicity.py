@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from threadloom.llm import _words as W
 from threadloom.llm._labels import labelled, platt, sigmoid
+from threadloom.llm._store import written
 
 _U = np.uint64
 _BITS, _DIM, _PREFIXES = 17, 4, (4, 5)
@@ -223,13 +224,26 @@ def _to_features(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("y").slice(i, 1), pa.array([h.tobytes()], pa.binary())], ["doc_id", "y", "hashes"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ConvNet:
-    """The network fitted on at most ``max_labelled`` labelled documents, none of them held out."""
-    rows = F.broadcast(labelled(labels, label, max_labelled, usable=lambda c: ~held_out(c)))  # at most so many rows
-    sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(rows, "doc_id")
-    sample = sample.select("doc_id", "y", "text")
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000, max_chars: int = 64 << 20, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ConvNet:
+    """The network fitted on labelled documents, none of them held out: at most ``max_labelled`` and ``max_chars`` characters of them in all.
+
+    Both bounds keep documents of the smallest id hashes, whole. Both tables name their ids ``doc_id``. Of rows that share a labelled id
+    one is learned from, that of the smallest text. Null ids and labels are left out, null text counts as empty; without labels of
+    both classes, and for an empty table, no document is predicted.
+    """
+    rows = F.broadcast(labelled(labels, label, max_labelled, doc_id, usable=lambda c: ~held_out(c)))  # at most so many rows
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(rows, "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("y").alias("y"))
+    sample = written(texts, "sample")  # both jobs below read the same few texts
+    sizes = sample.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.char_length("text").alias("n")).collect()  # at most max_labelled rows
+    sizes.sort(key=lambda r: (r["h"], str(r["doc_id"])))
+    upto = np.cumsum([r["n"] for r in sizes])
+    if len(sizes) and upto[-1] > max_chars:
+        few = [(r["doc_id"],) for r, n in zip(sizes, upto, strict=True) if n <= max_chars]
+        ids = docs.sparkSession.createDataFrame(few, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}")
+        sample = sample.join(F.broadcast(ids), "doc_id")
     id_type = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(_to_features, f"doc_id {id_type}, y int, hashes binary")
+    got = sample.select("doc_id", "y", "text").mapInArrow(_to_features, f"doc_id {id_type}, y int, hashes binary")
     known = sorted(((r["doc_id"], bytes(r["hashes"]), r["y"]) for r in got.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
     hashes = [np.frombuffer(h, np.uint32).reshape(-1, 1 + len(_PREFIXES)) for _, h, _ in known]
     return train(hashes, np.array([y for _, _, y in known], np.int64))
