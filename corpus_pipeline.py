@@ -67,7 +67,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: Classifiers, signatures and packing have no SQL form; tests hold each stage against brute force.
+#: Classifiers, signatures and packing have no SQL form; tests/llm/test_pipeline.py holds each stage against a plain model.
 ORACLE_SQL = None
 
 
