@@ -5,8 +5,10 @@ import glob
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from threadloom.operators import ngrams, samples, shards
-from threadloom.sources import sinks
+from threadloom.sources import sinks, tables
 from threadloom.streaming import jobs
 
 SCHEMA = "k long, text string"
@@ -67,3 +69,32 @@ def test_vocabulary_and_progress(spark):
     assert sorted(tuple(r) for r in ngrams.prepare_vocabulary(df).collect()) == sorted([("a", 7), ("<|System|>", 9), ("<|pad|>", 10), ("<|Benutzer|>", 11), ("<|Assistentin|>", 12)])
     assert ngrams.prepare_vocabulary(df, pad=None).count() == 4
     assert ngrams.reported(600, 4000) == [1, 250, 500] and ngrams.reported(600, 300) == [1, 250, 300] and ngrams.reported(0, 5) == []
+
+
+def test_readers(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a")], "id string, Assistentin string")
+    assert tables.has_column(df, "id") and not tables.has_column(df, "ID2")
+    assert tables.is_threaded(df, "chat") and not tables.is_threaded(df, "plain") and not tables.is_threaded(df.drop("id"), "dialogplus")
+    for i, text in enumerate(['{"step": 3, "eta": "x"}', '{"step": 4}', "{broken", '{"eta": null, "more": 1}']):
+        (tmp_path / f"r{i}.json").write_text(text)
+    got = {tuple(r) for r in tables.read_json(spark, f"file://{tmp_path}/*.json", "step int, eta string", {"step": 0, "eta": ""}).collect()}
+    assert got == {(3, "x"), (4, ""), (0, "")}
+    listed = tables.list_files(spark, f"file://{tmp_path}", ".JSON").collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in listed] == ["r0.json", "r1.json", "r2.json", "r3.json"] and listed[0]["size"] == 23
+    ngrams.save_state({"version": 4, "tokens": ["ä"]}, str(tmp_path / "state" / "s.json"))
+    assert json.loads((tmp_path / "state" / "s.json").read_text()) == {"version": 4, "tokens": ["ä"]}
+
+
+def test_two_forms_of_conflict(spark):
+    rng = random.Random(9)
+    v = ["a", "ab", "b", "c", "d", "e f"]
+    pairs = [(" ".join(rng.choice(v) for _ in range(rng.randrange(0, 6))), " ".join(rng.choice(v) for _ in range(rng.randrange(0, 6)))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    got = [r[0] for r in df.select(ngrams.conflict(ngrams.gist(F.col("a")), ngrams.gist(F.col("b")), 0.8)).collect()]
+    assert got == [ngrams.conflicts(a, b, 0.8) for a, b in pairs]
+
+
+def test_log_cursor_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([(i, f"l{i}") for i in range(20)], "line_id long, line string").write.parquet(str(tmp_path / "log"))
+    jobs.log_lines(jobs.follow(spark, str(tmp_path / "log"), "line_id long, line string"), 16).writeStream.format("memory").queryName("lines").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["line_id"] for r in spark.table("lines").collect()) == [17, 18, 19]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import norm_text, wrap_start_stop
+from threadloom.functions.text import norm_text, rstrip, wrap_start_stop
 
 RING, TAIL = 8_000, 200
 
@@ -112,6 +112,17 @@ def gpu_stats(text: DataFrame, value: str = "value", host: str = "host") -> Data
     return got.where("whole").select("host", "gpu", "name", "util", "mem_used", "mem_total")
 
 
+def pumped(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Lines of a process as its log takes them: empty ones left out, then without white space behind."""
+    return lines.where(F.regexp_replace(line, r"\n+\z", "") != "").withColumn(line, rstrip(F.col(line)))
+
+
+def record_fields(records: DataFrame, schema: str, defaults: dict, value: str = "value") -> DataFrame:
+    """Fields of JSON records by a fixed schema; a missing, null or broken one has its default."""
+    got = records.withColumn("_r", F.from_json(F.col(value), schema))
+    return got.withColumns({c: F.coalesce(F.col(f"_r.{c}"), F.lit(v)) for c, v in defaults.items()}).drop("_r")
+
+
 def final_state(runs: DataFrame) -> DataFrame:
     """``state`` of ended runs: stopped on request, finished on exit code 0, else failed."""
     return runs.withColumn("state", F.when(F.col("stop_requested"), "stopped").when(F.col("exit_code") == 0, "finished").otherwise("failed"))

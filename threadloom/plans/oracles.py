@@ -217,4 +217,18 @@ ORACLES: dict[str, str] = {
       t AS (SELECT *, base + 4.0::DOUBLE * oversize_hits + 1.5::DOUBLE * near_limit_hits + 8.0::DOUBLE * sv AS score FROM s),
       top AS (SELECT * FROM t WHERE l_cnt >= 2 ORDER BY l_cnt DESC, length(phrase) DESC, phrase LIMIT 400)
       SELECT phrase, 'phrase' AS kind, score FROM t WHERE base > 0 AND p_cnt >= 2 UNION ALL SELECT phrase, 'code', score * 1.35::DOUBLE * ({_FACTOR}) FROM top WHERE base > 0""",
+    "shard_write_read": f"WITH {_ORDER} SELECT shard_idx, shard_idx * {SHARD} AS global_start, count(*) AS num_samples FROM ordered GROUP BY shard_idx",
+    "similarity_sort_order": f"""{_pack(256)}, e AS (SELECT id, unnest(prompt[1:128]) AS x FROM packed WHERE reason = ''),
+      g AS (SELECT id, xor(bit_xor((x * 2654435761) & 4294967295), count(*)) AS sig FROM e GROUP BY id),
+      k AS (SELECT p.id, len(aids) + masked AS n, coalesce(sig, 0) AS sig, row_number() OVER (ORDER BY s._rowidx) - 1 AS seq FROM packed p JOIN samples s ON s.id = p.id LEFT JOIN g ON g.id = p.id WHERE reason = ''),
+      o AS (SELECT id, seq, seq // 512 * 512 + row_number() OVER (PARTITION BY seq // 512 ORDER BY n, sig, seq) - 1 AS global_idx FROM k)
+      SELECT id, seq, global_idx, global_idx // 100 AS shard_idx FROM o""",
+    "phrase_conflicts": f"""WITH top AS (SELECT lower(p_type || ' ' || p_brand || ' of ' || p_type) AS phrase FROM part UNION SELECT lower(p_type) FROM part),
+      w AS (SELECT phrase, array_to_string({sql_words('phrase')}, ' ') AS j, list_distinct({sql_words('phrase')}) AS b FROM top)
+      SELECT x.phrase, y.phrase AS other FROM w x JOIN w y ON x.phrase < y.phrase
+      WHERE len(x.b) > 0 AND len(y.b) > 0 AND (contains(x.j, y.j) OR contains(y.j, x.j) OR len(list_intersect(x.b, y.b))::DOUBLE / least(len(x.b), len(y.b)) >= 0.8::DOUBLE)""",
+    "pumped_lines": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+      SELECT doc_id, md5(regexp_replace(line, '{WS}+$', '')) AS line_md5 FROM l WHERE line <> ''""",
+    "record_fields": """SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 7 = 0 OR event_id % 5 = 0 THEN -1 ELSE coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) END AS k, 'none' AS name FROM events""",
+    "event_times": "SELECT event_id, epoch_us(ts) AS micros, strftime(ts, '%Y-%m-%d %H:%M:%S') AS local FROM events",
 } | harness.ORACLES

@@ -13,7 +13,7 @@ from threadloom.operators import control, ngrams, samples, schedule, shards, thr
 from threadloom.operators.ordinal import with_ordinal
 from threadloom.plans import harness
 from threadloom.sources import tables as S
-from threadloom.sources.store import written
+from threadloom.sources.store import scratch, written
 
 WINDOW, SHARD = 1024, 200
 MINED = ngrams.NgramConfig(use_ngrams=True, max_samples=None, max_tokens_per_text=None)
@@ -170,6 +170,20 @@ def shard_manifest(spark, d):
     return shards.manifest(_ordered(spark, d), SHARD)
 
 
+def similarity_sort_order(spark, d):
+    """Packed chat samples in thread order, buffers sorted by length, then by signature."""
+    got = _packed(spark, d, window=256).where("skipped is null")
+    kept = shards.number_kept(got.select("id", "thread_first", "depth", "_rowidx", "seq_len", "input_ids", "labels"), ["thread_first", "depth", "_rowidx"])
+    return shards.buffered_order(kept, 100, by_similarity=True).select("id", "seq", "global_idx", "shard_idx")
+
+
+def shard_write_read(spark, d):
+    """The manifest of shards that were written and read again."""
+    path = scratch(spark, "shards")
+    shards.write_shards(_ordered(spark, d), path)
+    return shards.manifest(spark.read.parquet(path).withColumn("shard_idx", F.col("shard_idx").cast("long")), SHARD)
+
+
 def rank_partition(spark, d):
     got = _ordered(spark, d)
     return shards.of_rank(got, 2, 1, 2, 1).select("global_idx", "doc_id")
@@ -229,6 +243,14 @@ def ngram_select(spark, d):
     return spark.createDataFrame([(i, p, k, s) for i, (p, k, s) in enumerate(chosen)], "rank int, phrase string, kind string, score double")
 
 
+def phrase_conflicts(spark, d):
+    """Conflicting pairs among the kinds of parts, each with two of its neighbours' words; a few dozen phrases."""
+    kinds = S.table(spark, d, "part").select(F.lower(F.concat_ws(" ", "p_type", "p_brand", F.lit("of"), "p_type")).alias("phrase")).union(S.table(spark, d, "part").select(F.lower("p_type")))
+    top = kinds.distinct().orderBy("phrase").withColumn("g", ngrams.gist(F.col("phrase")))
+    pairs = top.join(F.broadcast(top.select(F.col("phrase").alias("other"), F.col("g").alias("h"))), F.col("phrase") < F.col("other"))
+    return pairs.where(ngrams.conflict(F.col("g"), F.col("h"), MINED.conflict_overlap_ratio)).select("phrase", "other")
+
+
 def ngram_tokens(spark, d):
     top = code_line_topk(spark, d).withColumn("pos", F.col("cnt") * 1000)
     return ngrams.tokens_of(top).select("token", "phrase")
@@ -380,6 +402,20 @@ def gpu_lines(spark, d):
     return control.gpu_stats(n)
 
 
+def pumped_lines(spark, d):
+    return control.pumped(S.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))).select("doc_id", F.md5("line").alias("line_md5"))
+
+
+def record_fields(spark, d):
+    e = S.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 11 == 0, "{broken").when(F.col("event_id") % 7 == 0, '{"k": null}').when(F.col("event_id") % 5 == 0, "{}").otherwise(F.col("props")).alias("value"))
+    return control.record_fields(e, "k long, name string", {"k": -1, "name": "none"}).select("event_id", F.col("k").cast("long").alias("k"), "name")
+
+
+def event_times(spark, d):
+    e = S.table(spark, d, "events")
+    return e.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("local"))
+
+
 def final_states(spark, d):
     o = S.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 == 0).alias("stop_requested"), (F.col("o_custkey") % 3).alias("exit_code"))
     return control.final_state(o).groupBy("state").agg(F.count("*").alias("n"))
@@ -438,9 +474,9 @@ def status_sources(spark, d):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_pack_lengths, plain_token_ids, column_scan_lengths, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
     training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, all_previews, inference_prompts, pack_whole_turns,
-    pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, rank_partition, padded_batches,
-    bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, ngram_tokens,
+    pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, shard_write_read, similarity_sort_order, rank_partition, padded_batches,
+    bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, phrase_conflicts, ngram_tokens,
     vocabulary_extension, tokenizer_preparation, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, scheduler_updates, token_throughput, epoch_tail,
     log_tail, log_since, ring_retention, visible_lines, status_last_non_null, ordered_dedup_union, latest_valid_model, runs_with_config,
-    row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, final_states, lora_targets, lora_defaults,
+    row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, pumped_lines, record_fields, event_times, final_states, lora_targets, lora_defaults,
     producer_counters, epoch_losses, rank_reduction, decode_previews, batch_previews, status_sources)} | harness.QUERIES

@@ -22,16 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)  # only what is there can be marked
+    files.deleteOnExit(target)
+    return f"{path}/t"
+
+
 def written(df: DataFrame, tag: str = "t") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: executors may be lost, the rows stay.
 
     The table goes when the driver ends, or with ``forget``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._threadloom_path = path
     return out
@@ -41,5 +49,6 @@ def forget(df: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing reads any more."""
     path = getattr(df, "_threadloom_path", None)
     if path:
+        path = path.removesuffix("/t")
         target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
