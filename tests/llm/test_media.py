@@ -24,7 +24,7 @@ def by_all_pairs(rows):
     label = [i for i, _ in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if label[i] != label[j] and (media.consensus(*feats[j], *feats[i], 20, 6) or media.consensus(*feats[i], *feats[j], 20, 6)):
+            if label[i] != label[j] and (media.consensus(*feats[j], *feats[i], 20, 8) or media.consensus(*feats[i], *feats[j], 20, 8)):
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     return {i: c for (i, _), c in zip(rows, label, strict=True)}

@@ -221,9 +221,9 @@ def consensus(
     """Whether one similarity transform explains enough descriptor matches that are best in both directions.
 
     Every match gives a turn and a size by itself, and with its place a transform; each match's own transform is tried.
-    A match agrees if its place, its turn and its size do. Enough are ``least``, half of all matches, and ``share`` of
-    the keypoints that both images should show under that transform: in unlike images of alike texture a few
-    matches agree by chance, in copies most do.
+    A match agrees if its place, its turn and its size do. Enough are ``least`` at places of their own (a corner may be found on
+    several levels), half of all matches, and ``share`` of the keypoints that both images should show under that
+    transform: in unlike images of alike texture a few matches agree by chance, in copies most do.
     """
     if not len(pa_) or not len(pb):
         return False
@@ -234,16 +234,17 @@ def consensus(
     a, b = pa_[ok].astype(np.float64), pb[best[ok]].astype(np.float64)
     za, zb = a[:, 1] + 1j * a[:, 0], b[:, 1] + 1j * b[:, 0]
     angle, size = b[:, 3] - a[:, 3], a[:, 2] / b[:, 2]
-    turn, step, most, at = np.exp(1j * angle) * size, max(1, (1 << 20) // len(ok)), 0, 0
+    turn, step, mine, at = np.exp(1j * angle) * size, max(1, (1 << 20) // len(ok)), np.zeros(len(ok), bool), 0
     for k in range(0, len(ok), step):
         way = za[None] - za[k : k + step, None]
         moved = way * turn[k : k + step, None] + zb[k : k + step, None]
         agree = np.abs(moved - zb[None]) <= 3.0 + 0.08 * np.abs(way)
         agree &= np.abs(turn[None] / turn[k : k + step, None] - 1) <= 0.4
-        n = agree.sum(axis=1)
-        if n.max() > most:
-            most, at = int(n.max()), k + int(n.argmax())
-    if most < max(least, len(ok) / 2):
+        best_one = int(agree.sum(axis=1).argmax())
+        if agree[best_one].sum() > mine.sum():
+            mine, at = agree[best_one], k + best_one
+    most = int(mine.sum())
+    if most < len(ok) / 2 or len(np.unique(np.rint(za[mine] / 4))) < least:
         return False
     there = (pa_[:, 1] + 1j * pa_[:, 0] - za[at]) * turn[at] + zb[at]
     here = (pb[:, 1] + 1j * pb[:, 0] - zb[at]) / turn[at] + za[at]
@@ -358,13 +359,13 @@ def _within(most_bits: int, least: int, share: float):
 
 
 def image_copies(
-    images: DataFrame, image_id: str = "image_id", image: str = "image", corners: int | None = None, most_bits: int = 20, least_matches: int = 6,
+    images: DataFrame, image_id: str = "image_id", image: str = "image", corners: int | None = None, most_bits: int = 20, least_matches: int = 8,
     least_share: float = 0.35, tables: int = 5, broadcast_keys: int = 1_000_000,
 ) -> DataFrame:
     """``image_id, class_id, n_points``: class of copies of each image, named by its smallest id.
 
     Images are linked if their bytes have one 64-bit hash, or if geometric consensus finds at least ``least_matches``
-    descriptor matches (of at most ``most_bits`` unlike bits of 128) under one turn, size and shift, and these are at least
+    descriptor matches at different places (of at most ``most_bits`` unlike bits of 128) under one turn, size and shift, and these are at least
     ``least_share`` of the keypoints that both should show; classes are connected components. Candidates share a key of ``tables`` Hamming tables
     over pairs of neighbouring corners (``table_keys``); every candidate is checked. Buckets are first compared with one of
     their images, and those that then still mix classes in blocks inside tasks, so no bucket is cut.
