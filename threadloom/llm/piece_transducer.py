@@ -288,7 +288,9 @@ class PieceTransducer:
             at = to
         memo.update((x, v) for x, v in fresh.items() if len(x) <= _MEMO_CHARS)
         fresh = {x: v for x, v in fresh.items() if len(x) > _MEMO_CHARS}
-        return [np.frombuffer(b"".join([memo[x] if x in memo else fresh[x] for x in p]), "<u4") for p in parts]
+        if fresh:
+            return [np.frombuffer(b"".join([memo[x] if x in memo else fresh[x] for x in p]), "<u4") for p in parts]
+        return [np.frombuffer(b"".join([memo[x] for x in p]), "<u4") for p in parts]
 
     def shortest_paths(self, segments: list[str]) -> list[bytes]:
         """Ids on the shortest path of each non-empty segment through the composition, as little-endian 32-bit bytes."""
@@ -325,9 +327,11 @@ class PieceTransducer:
         where[place] = place - first[owner]
         last_place = first + size
         where[last_place] = size
-        order = np.lexsort((src, dst, where[dst]))
+        # by place in the segment, then by end, then by start: no two arcs have both in common
+        upto, span = where[dst], int((dst - src).max()) + 1
+        order = np.argsort((upto * len(where) + dst) * span - (dst - src))
         src, dst, sym = src[order], dst[order], sym[order]
-        cuts = np.searchsorted(where[dst], np.arange(1, int(size.max()) + 2))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(upto, minlength=int(size.max()) + 1)[1:])])
         far, back, said = np.full(len(where), np.inf), np.full(len(where), -1), np.full(len(where), -1)
         far[first] = 0.0
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -351,12 +355,19 @@ class PieceTransducer:
         order = np.argsort(mine, kind="stable")
         mine, at = mine[order], at[order]
         told = said[at]
-        if (told < len(self.pieces)).all():
-            ids, n = told, np.bincount(mine, minlength=len(size))
-        else:
+        odd = np.flatnonzero(told >= len(self.pieces))
+        n = np.ones(len(told), np.int64)
+        if len(odd):  # characters that stand for their bytes
             chars = "".join(segments)
-            each = [[t] if t < len(self.pieces) else self._fallback(chars[p - m - 1]) for t, p, m in zip(told.tolist(), at.tolist(), mine.tolist(), strict=True)]
-            ids, n = np.array([i for e in each for i in e]), np.bincount(mine, [len(e) for e in each], len(size)).astype(np.int64)
+            each = [self._fallback(chars[p]) for p in (at[odd] - mine[odd] - 1).tolist()]
+            n[odd] = [len(e) for e in each]
+            ids = np.repeat(told, n)
+            first_id = np.cumsum(n) - n
+            for i, e in zip(first_id[odd].tolist(), each, strict=True):
+                ids[i : i + len(e)] = e
+        else:
+            ids = told
+        n = np.bincount(mine, n, len(size)).astype(np.int64)
         raw, upto = ids.astype("<u4").tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
         return [raw[x:y] for x, y in zip(upto, upto[1:], strict=False)]
 
