@@ -61,7 +61,7 @@ def extend_only(totals: DataFrame, order: str = "event", total: str = "total", d
     return placed.withColumn("planned", F.greatest("_before", "_in")).drop("_t", "_r", "_b", "_in", "_before")
 
 
-def min_change(plans: DataFrame, current: str = "current_steps", proposed: str = "proposed_steps", least: float = 0.02) -> DataFrame:
+def min_change(plans: DataFrame, current: str = "current_steps", proposed: str = "proposed_steps", least: float = 0.05) -> DataFrame:
     """Adds ``relative_change`` and ``should_update``: a new plan counts if it differs by at least ``least`` of the current one."""
     change = F.abs(F.col(proposed) - F.col(current)) / F.greatest(F.lit(1), F.col(current))
     return plans.withColumns({"relative_change": change, "should_update": (F.col(proposed) != F.col(current)) & (change >= least)})

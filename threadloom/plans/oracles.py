@@ -206,7 +206,7 @@ ORACLES: dict[str, str] = {
     "decode_previews": f"SELECT conv_id * 1000 + turn AS global_idx, md5(array_to_string({sql_words('text')}, ' ')) AS preview_md5 FROM conversations WHERE len({sql_words('text')}) > 0",
     "all_previews": f"{_ALL} SELECT id, md5(substr({_PREVIEW}, 1, 20000)) AS preview_md5 FROM samples",
     "scheduler_updates": """WITH o AS (SELECT o_orderkey, o_custkey % 200 AS c, o_custkey % 200 + o_orderkey % 7 - 3 AS p FROM orders)
-      SELECT o_orderkey, round(abs(p - c)::DOUBLE / greatest(1, c)::DOUBLE, 9) AS relative_change, p <> c AND abs(p - c)::DOUBLE / greatest(1, c)::DOUBLE >= 0.02::DOUBLE AS should_update FROM o""",
+      SELECT o_orderkey, round(abs(p - c)::DOUBLE / greatest(1, c)::DOUBLE, 9) AS relative_change, p <> c AND abs(p - c)::DOUBLE / greatest(1, c)::DOUBLE >= 0.05::DOUBLE AS should_update FROM o""",
     "lora_defaults": "SELECT unnest(['q_proj', 'k_proj', 'v_proj', 'o_proj']) AS leaf",
     "batch_previews": f"""WITH p AS (SELECT conv_id, string_agg(array_to_string({sql_words('text')}, ' '), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS w FROM conversations WHERE len({sql_words('text')}) > 0 GROUP BY conv_id)
       SELECT conv_id, md5(substr(w, 1, 4000)) AS preview_md5, md5(substr(w, 1, 20000)) AS full_md5 FROM p""",
