@@ -330,12 +330,18 @@ def table_keys(points: np.ndarray, codes: np.ndarray, tables: int) -> np.ndarray
     return np.unique(np.concatenate(out)).astype(np.int64)
 
 
-def _keys(tables: int):
+def _keys(tables: int, counted: bool = False):
+    """Arrow function: the keys of each image; ``counted`` gives how many images of a batch have each, so a key of a large group travels once a batch."""
+
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 keys = [table_keys(*_unpack(data)[:2], tables) for data in part.column("features").to_pylist()]
+                if counted:
+                    each, n = np.unique(np.concatenate(keys), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n.astype(np.int32))], ["key", "n"])
+                    continue
                 which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("digest").take(pa.array(which))], ["key", "id"])
     return run
@@ -365,10 +371,11 @@ def image_copies(
     """``image_id, class_id, n_points``: class of copies of each image, named by its smallest id.
 
     Images are linked if their bytes have one 64-bit hash, or if geometric consensus finds at least ``least_matches``
-    descriptor matches at different places (of at most ``most_bits`` unlike bits of 128) under one turn, size and shift, and these are at least
-    ``least_share`` of the keypoints that both should show; classes are connected components. Candidates share a key of ``tables`` Hamming tables
-    over pairs of neighbouring corners (``table_keys``); every candidate is checked. Buckets are first compared with one of
-    their images, and those that then still mix classes in blocks inside tasks, so no bucket is cut.
+    descriptor matches at different places (of at most ``most_bits`` unlike bits of 128) under one turn, size and shift, and
+    these are at least ``least_share`` of the keypoints that both should show; classes are connected components. Candidates
+    share a key of ``tables`` Hamming tables over pairs of neighbouring corners (``table_keys``); every candidate is checked.
+    Buckets are first compared with one of their images, and those that then still mix classes in blocks inside tasks, so no
+    bucket is cut.
 
     Null, broken or featureless images are only linked to equal ones, and null images stay alone. Rows with one id are one
     image; a row without id has no class. An empty table gives no row; other columns are ignored.
@@ -379,10 +386,11 @@ def image_copies(
     one = x.where(F.col("digest").isNotNull() & (F.col("n_points") >= least_matches)).select("digest", "features").dropDuplicates(["digest"])
     one = written(one, "one")
     keyed = one.mapInArrow(_keys(tables), "key long, id long")
-    # an image has a key once, so most keys occur once: counting before the shuffle would only fill memory
+    # an image has a key once and most keys occur once, so counts before the shuffle are made by batches, not by whole tasks
     n_keys = (x.agg(F.sum(F.col("n_points").cast("long"))).first()[0] or 0) * _NEAR * tables
     parts = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // 1_000_000)
-    shared = written(keyed.select("key").repartition(parts, "key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    counts = one.mapInArrow(_keys(tables, counted=True), "key long, n int").repartition(parts, "key")
+    shared = written(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "shared")
     small = shared.count() <= broadcast_keys  # numbers of eight bytes
     members = written(keyed.join(F.broadcast(shared) if small else shared, "key", "left_semi"), "members")
 
