@@ -159,6 +159,13 @@ def inference_prompt(messages: Column, system: Column, mode: str = "chat") -> Co
     return render(F.when(norm_text(system) != "", F.concat(head, trimmed)).otherwise(trimmed), mode, prompt=True)
 
 
+def attention_mask(ids: Column, pad: int | None, eos: int | None, unk: int | None) -> Column:
+    """1 for every id but the pad id; a missing pad id, or one that is the end id, gives way to the unknown one, else to the end id, else to 0."""
+    if pad is None or pad == eos:
+        pad = unk if unk is not None else eos or 0
+    return F.transform(ids, lambda x: (x != pad).cast("int"))
+
+
 def preview(system: Column, turns: Column, answer: Column, most: int = 4000) -> Column:
     """Readable text of a sample, at most ``most`` characters: headed parts with a blank line between, no head for an empty system text.
 

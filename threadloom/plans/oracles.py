@@ -132,6 +132,8 @@ ORACLES: dict[str, str] = {
       SELECT conv_id, list_filter(list_zip(roles, texts), lambda z: z[1] IN ('user', 'assistant')) AS z, list_filter(list_zip(roles, texts), lambda z: z[1] = 'system')[1][2] AS sys FROM m)
       SELECT conv_id, CASE WHEN list_bool_and(list_transform(z, lambda x, i: x[1] = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END)) THEN
         md5(CASE WHEN coalesce(sys, '') <> '' THEN '<|System|>' || {sql_norm('sys')} || '</s>' ELSE '' END || array_to_string(list_transform(z, lambda x: {_block('x[1]', 'x[2]')}), '') || '<|Assistentin|>') END AS prompt_md5 FROM h""",
+    "inference_masks": f"""SELECT conv_id, turn, md5(array_to_string(list_transform({sql_words('text')}, lambda w: CASE WHEN {sql_token('w')} % 50 = 3 THEN 0 ELSE 1 END), '')) AS mask_md5,
+      md5(array_to_string(list_transform({sql_words('text')}, lambda w: CASE WHEN {sql_token('w')} % 50 = 7 THEN 0 ELSE 1 END), '')) AS plain_md5 FROM conversations""",
     "pack_whole_turns": f"""{_PACK} SELECT id, CASE WHEN reason = '' THEN CAST(len(aids) + masked AS INTEGER) END AS seq_len, CASE WHEN reason = '' THEN CAST(kept AS INTEGER) END AS kept_blocks,
       CASE WHEN reason = '' THEN CAST(masked AS INTEGER) END AS masked, reason AS skipped_reason FROM packed""",
     "pack_skip_summary": f"{_PACK} SELECT CASE WHEN reason = '' THEN 'packed' ELSE reason END AS reason, count(*) AS n FROM packed GROUP BY 1",

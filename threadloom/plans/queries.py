@@ -128,6 +128,12 @@ def inference_prompts(spark, d):
     return m.select("conv_id", F.md5(got).alias("prompt_md5"))
 
 
+def inference_masks(spark, d):
+    ids = F.transform(X.token_ids(F.col("text")), lambda x: x % 50)
+    c = S.table(spark, d, "conversations").select("conv_id", "turn", ids.alias("ids"))
+    return c.select("conv_id", "turn", F.md5(_ids(samples.attention_mask(F.col("ids"), 2, 2, 3), "")).alias("mask_md5"), F.md5(_ids(samples.attention_mask(F.col("ids"), None, 7, None), "")).alias("plain_md5"))
+
+
 def _packed(spark, d, window=96, **kw):
     return samples.pack_chat(_samples(spark, d), window, **kw)
 
@@ -473,7 +479,7 @@ def status_sources(spark, d):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_pack_lengths, plain_token_ids, column_scan_lengths, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
-    training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, all_previews, inference_prompts, pack_whole_turns,
+    training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, all_previews, inference_prompts, inference_masks, pack_whole_turns,
     pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, shard_write_read, similarity_sort_order, rank_partition, padded_batches,
     bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, phrase_conflicts, ngram_tokens,
     vocabulary_extension, tokenizer_preparation, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, scheduler_updates, token_throughput, epoch_tail,
