@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm._batches import sliced
 from threadloom.llm._store import forget, written
 from threadloom.llm._words import mix
 
@@ -104,7 +105,7 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit(min_chars: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column(0).to_pylist():
                 out += {k for k in line_keys(text) if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode("utf-8", "surrogatepass")) >= min_chars)}
@@ -155,7 +156,7 @@ def _apply(shared, shards: int, min_docs: int, where: int):
 
     def run(batches):
         index: dict[int, LineIndex] = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(where).to_pylist()
             at = 0
             while at < len(texts):

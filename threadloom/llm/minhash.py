@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import _words as W
+from threadloom.llm._batches import sliced
 from threadloom.llm._store import connected_components, written
 
 _U = np.uint64
@@ -99,7 +100,7 @@ def _pieces(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int,
 
 def _sketcher(k: int, rows: int, size: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _pieces(texts):
                 words, counts = W.word_hashes(texts[a:b])
@@ -113,7 +114,7 @@ def _sketcher(k: int, rows: int, size: int):
 
 def _verifier(similarity: float, size: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, ta, tb = (batch.column(i) for i in range(4))
             ta, tb = ta.to_pylist(), tb.to_pylist()
             at = {t: i for i, t in enumerate(dict.fromkeys([*ta, *tb]))}
@@ -233,7 +234,7 @@ def _within(similarity: float, bands: int):
 
 def _to_cells(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             keys = batch.column("keys").to_pylist()
             for a, b in _pieces(texts):

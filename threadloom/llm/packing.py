@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm._batches import sliced
 from threadloom.llm._store import written
 
 _MEMO_SIZE, _MEMO_CHARS = 500_000, 48
@@ -145,7 +146,7 @@ def _pieces(window: int, end_id: int, path: str | None, with_ids: bool):
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
             while at < len(texts):

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm._batches import sliced
+
 _SPACE = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -435,7 +437,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, doc_id: str
 
     def run(batches):
         fst = transducer(model_path)
-        for batch in batches:
+        for batch in sliced(batches):
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 ids = fst.encode_many(part.column(1).to_pylist())
@@ -451,7 +453,7 @@ def digest_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
 
     def run(batches):
         fst = transducer(model_path)
-        for batch in batches:
+        for batch in sliced(batches):
             n, crc, same, texts = [], [], [], batch.column(1).to_pylist()
             for a in range(0, len(texts), 64):
                 some = texts[a : a + 64]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm._batches import sliced
 from threadloom.llm._labels import labelled, platt, sigmoid
 from threadloom.llm._store import forget, written
 
@@ -118,7 +119,7 @@ def _discriminant(moments: np.ndarray, d: int, ridge: float = 1e-4) -> np.ndarra
 
 def _to_views(slots: Slots):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             xs = np.concatenate(_views(batch, slots), axis=1)
             q = np.clip(np.rint(xs * 10_000), 0, 65_535).astype("<u2")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in q], pa.binary())], ["doc_id", "x"])
@@ -237,7 +238,7 @@ def score_documents(docs: DataFrame, model: CoModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             s = np.clip(shared.value.scores(_views(batch, shared.value.slots)), 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= 0.5)], [*batch.schema.names, "quality_score", "accepted"])
 

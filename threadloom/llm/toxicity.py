@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm import _words as W
+from threadloom.llm._batches import sliced
 from threadloom.llm._labels import labelled, platt, sigmoid
 from threadloom.llm._store import written
 
@@ -217,7 +218,7 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def _to_features(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column("text").to_pylist()
         for i, t in enumerate(texts):
             h, _ = features([t])
@@ -260,7 +261,7 @@ def score_documents(docs: DataFrame, net: ConvNet, text: str = "text") -> DataFr
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts, at = batch.column(where).to_pylist(), 0
             while at < len(texts):
                 to, chars = at, 0
