@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat_format, line_dedup, media, minhash, packing, piece_transducer, quality, topk_search, toxicity, url_filter
+from threadloom.llm import chat_format, collocations, line_dedup, media, minhash, packing, piece_transducer, quality, row_pattern, simhash, topk_search, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_copies(media.draw_vectors(_table(spark, sf_dir, "embeddings")))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_row_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_pattern.digest(row_pattern.match_rows(_table(spark, sf_dir, "clicks"), row_pattern.CLICK_PATTERN))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 #: The control strings of the chat template, with the guards they may hold, for SQL engines without look-around.
 _CTRL = r"<~*\|im_(start|sep|part|end)\|>|<~*/?s>|\[~*/?INST\]|<~*</?SYS>>|<~*\|(endoftext|eot_id)\|>"
 
@@ -124,6 +136,58 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+# A run of falling rows ends before the first row that doesn't fall, a run of rising ones likewise. The rows of a match are then known but
+# for the last: the row behind the rising run if it is a click of enough cents, else the run's last click, which has the most cents.
+OP12_SQL = """
+WITH c AS (
+  SELECT *, CASE WHEN value IS NOT NULL AND isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) END AS cents
+  FROM (SELECT DISTINCT * FROM clicks) WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+o AS (
+  SELECT client_id, click_id, cents, kind, row_number() OVER w AS rn, lag(cents) OVER w AS pc, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 300000000, false) AS soon
+  FROM c WINDOW w AS (PARTITION BY client_id ORDER BY ts, click_id)),
+f AS (
+  SELECT *, coalesce(soon AND cents < pc AND kind <> 'error', false) AS d, coalesce(soon AND cents > pc AND kind <> 'error', false) AS u, coalesce(soon AND cents IS NOT NULL AND kind = 'click', false) AS p FROM o),
+g AS (
+  SELECT *, coalesce(min(CASE WHEN NOT d THEN rn END) OVER (PARTITION BY client_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1 + max(rn) OVER (PARTITION BY client_id)) AS past_d,
+    coalesce(min(CASE WHEN NOT u THEN rn END) OVER (PARTITION BY client_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1 + max(rn) OVER (PARTITION BY client_id)) AS past_u,
+    max(CASE WHEN p THEN rn END) OVER (PARTITION BY client_id ORDER BY rn) AS last_p,
+    sum(coalesce(cents, 0)) OVER (PARTITION BY client_id ORDER BY rn) AS upto FROM f),
+a AS (SELECT client_id, rn, click_id, cents, upto, past_d FROM g WHERE cents IS NOT NULL AND past_d > rn + 1),
+b AS (SELECT a.*, h.past_u FROM a JOIN g h ON h.client_id = a.client_id AND h.rn = a.past_d - 1 WHERE h.past_u > a.past_d),
+m AS (
+  SELECT b.*, CASE WHEN e.p AND e.cents >= b.cents THEN e.rn WHEN i.last_p >= b.past_d + 1 AND k.cents >= b.cents THEN k.rn END AS over
+  FROM b LEFT JOIN g e ON e.client_id = b.client_id AND e.rn = b.past_u JOIN g i ON i.client_id = b.client_id AND i.rn = b.past_u - 1
+  LEFT JOIN g k ON k.client_id = b.client_id AND k.rn = i.last_p)
+SELECT m.client_id, row_number() OVER (PARTITION BY m.client_id ORDER BY m.rn) AS match_no, m.click_id AS first_id, z.click_id AS last_id, z.rn - m.rn + 1 AS n_rows,
+  CAST(z.upto - m.upto + m.cents AS BIGINT) AS sum_cents, sha256('A' || repeat('D', m.past_d - m.rn - 1) || repeat('U', z.rn - m.past_d) || 'P') AS labels_sha256
+FROM m JOIN g z ON z.client_id = m.client_id AND z.rn = m.over
+"""
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS left_part, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS right_part
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k >= 2)),
+s AS (
+  SELECT x.lang, x.k, x.phrase, x.a, x.c, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * x.a * x.a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.left_part JOIN f r ON r.lang = x.lang AND r.phrase = x.right_part),
+one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, part, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part FROM f WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT one.* FROM one LEFT JOIN inside i ON i.lang = one.lang AND i.part = one.phrase WHERE one.k = 3 OR i.f IS NULL OR 100 * i.f < 50 * one.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -136,8 +200,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_topk_search": op9_topk_search,
         "op10_media": op10_media,
+        "op11_simhash": op11_simhash,
+        "op12_row_pattern": op12_row_pattern,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op5_line_dedup": OP5_SQL, "op8_chat_format": OP8_SQL, "op9_topk_search": OP9_SQL}
+    return {"op1_url_filter": OP1_SQL, "op5_line_dedup": OP5_SQL, "op8_chat_format": OP8_SQL, "op9_topk_search": OP9_SQL, "op12_row_pattern": OP12_SQL, "op13_collocations": OP13_SQL}
