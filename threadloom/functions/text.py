@@ -35,8 +35,7 @@ def normalize_id(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Runs of anything but white space. The text is divided at the gaps, which takes a third of the time of finding the runs."""
-    s = norm_text(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{WS}+"))
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), f"{WS}+"), "")
 
 
 def squeeze(c: Column) -> Column:
@@ -67,8 +66,7 @@ def token_ids(c: Column) -> Column:
 
 def token_count(c: Column) -> Column:
     """Number of ``words``."""
-    s = norm_text(c)
-    return F.when(s == "", 0).otherwise(F.size(F.split(s, f"{WS}+")))
+    return F.size(words(c))
 
 
 def occurrences(text: Column, phrase: Column) -> Column:

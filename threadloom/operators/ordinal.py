@@ -11,10 +11,11 @@ from threadloom.sources.store import written
 def with_ordinal(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """Adds the 0-based position of each row in the total order of ``order``; null sorts first, ties in any order.
 
-    Rows are dealt out in even ranges of the order, a random number dividing ties, so neither clustered nor repeated keys
-    fill one task; they are sorted and numbered inside their range and written once. Only the table of range sizes, a row a
-    range, meets in one window. Columns that are dear to compute are better added to the result.
+    The rows are written first, since finding the ranges and dealing the rows out each read them. They are dealt out in even ranges
+    of the order, a random number dividing ties, so neither clustered nor repeated keys fill one task, numbered inside their range and
+    written. Only the table of range sizes, a row a range, meets in one window. Wide columns are better joined to the result.
     """
+    df = written(df, "unnumbered")
     keys = [F.col(c).asc_nulls_first() for c in order]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.withColumn("_tie", F.rand(7)).repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie")

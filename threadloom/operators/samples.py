@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import EOS_ID, norm_text, strip, token_count, token_ids
+from threadloom.functions.text import EOS_ID, norm_text, strip, token_id, token_ids, words
 
 #: Role markers of the chat format and the mask of prompt labels.
 ROLE_MARKS = {"system": "<|System|>", "user": "<|Benutzer|>", "assistant": "<|Assistentin|>"}
@@ -88,19 +88,27 @@ def pack_chat(samples: DataFrame, window: int, max_history: int | None = None, p
     return out.drop("blocks", "answer")
 
 
-def pack_plain(docs: DataFrame, window: int, text: str = "text", tokens=token_ids, count=None, eos: int = EOS_ID) -> DataFrame:
+def pack_plain(docs: DataFrame, window: int, text: str = "text", tokens=None, eos: int = EOS_ID) -> DataFrame:
     """Tokenised plain texts: blank ones are left out, longer ones than the window skipped, labels equal the ids.
 
-    A text of one token gets the end id; ``input_ids``, ``labels``, ``seq_len`` are added. Lengths come from ``count``,
-    a cheaper expression that equals the number of ``tokens`` (known for the default tokenizer): then plans that read only
-    lengths never make an id, and ids are made once, of what is kept.
+    A text of one token gets the end id; ``input_ids``, ``labels``, ``seq_len`` are added. ``tokens`` makes ids of a text column, the
+    default tokenizer's for None: then ids are made of the words that were counted, and only where they are read. Words (or ids)
+    leave a generator of one row, so that filters and what reads them share one evaluation.
     """
-    if count is None:
-        count = token_count if tokens is token_ids else lambda c: F.size(tokens(c))
-    rows = docs.withColumn("_t", norm_text(F.col(text))).where("_t != ''").withColumn("_n", count(F.col("_t"))).where(F.col("_n") <= window)
-    ids = tokens(F.col("_t"))
-    ids = F.when(F.col("_n") < 2, F.concat(ids, F.array(F.lit(eos)))).otherwise(ids)
-    return rows.withColumn("seq_len", F.col("_n") + (F.col("_n") < 2).cast("int")).withColumn("input_ids", ids).withColumn("labels", F.col("input_ids")).drop("_t", "_n")
+    once = lambda c, name: rows.select("*", F.explode(F.array(c)).alias(name))
+    rows = docs
+    if tokens is None:
+        rows = once(words(F.col(text)), "_w")
+        ids = F.transform("_w", token_id)
+    else:
+        rows = once(norm_text(F.col(text)), "_t").where("_t != ''")
+        rows = once(tokens(F.col("_t")), "_w")
+        ids = F.col("_w")
+    n = F.size("_w")
+    rows = rows.where((n <= window) & (n > 0 if tokens is None else F.lit(True)))
+    ids = F.when(n < 2, F.concat(ids, F.array(F.lit(eos)))).otherwise(ids)
+    out = rows.withColumn("seq_len", n + (n < 2).cast("int")).withColumn("input_ids", ids).withColumn("labels", F.col("input_ids"))
+    return out.drop("_w", "_t")
 
 
 # -- templates ------------------------------------------------------------------

@@ -89,14 +89,39 @@ def shuffled_exact(ordered: DataFrame, epoch: int) -> DataFrame:
     return ordered.select("shard_idx", "global_idx", "seq_len").groupBy("shard_idx").applyInPandas(run, "shard_idx long, global_idx long, order_in_shard long")
 
 
-def batches(samples: DataFrame, batch_size: int, pos: str = "pos", fixed: int | None = None) -> DataFrame:
-    """Adds ``batch`` and pads to one length: the batch's longest (or ``fixed``), rounded up to a multiple of 8, on the right."""
+def epoch(ordered: DataFrame, world: int, rank: int, batch_size: int, seed: int = 42, epoch: int = 0, workers: int = 1, worker: int = 0, shuffle: bool = True) -> DataFrame:
+    """An epoch as one worker of one rank reads it: adds ``order_in_shard``, ``pos`` (its place in the epoch), ``batch`` and ``padded_len``.
+
+    Shards come in their order, samples of a shard in seeded order, and of them the worker takes those of its share; its batches
+    are cut from what it takes, across shards, and padded to their own longest sample. Only ``shard_idx, global_idx, seq_len`` and columns of the caller's choice travel, ids are better joined to
+    the result. A worker's place counts the samples that it takes from each shard before (a row a shard), then inside the shard.
+    """
+    rows = shuffled_hash(ordered, seed, epoch) if shuffle else ordered.withColumn("order_in_shard", (F.row_number().over(Window.partitionBy("shard_idx").orderBy("global_idx")) - 1).cast("long"))
+    mine = of_rank(rows, world, rank, workers, worker)
+    before = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = mine.groupBy(F.col("shard_idx").alias("s")).agg(F.count("*").alias("n")).select("s", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("shard_idx").orderBy("order_in_shard")) - 1
+    placed = mine.withColumn("_k", inside).join(sizes, F.col("shard_idx") == F.col("s")).withColumn("pos", (F.col("_start") + F.col("_k")).cast("long")).drop("s", "_start", "_k")
+    return padded_lengths(placed, batch_size)
+
+
+def padded_lengths(samples: DataFrame, batch_size: int, pos: str = "pos", fixed: int | None = None) -> DataFrame:
+    """Adds ``batch`` and ``padded_len``: the batch's longest sample (or ``fixed``), rounded up to a multiple of 8."""
     rows = samples.withColumn("batch", F.floor(F.col(pos) / batch_size).cast("long"))
     longest = F.lit(fixed) if fixed else F.max("seq_len").over(Window.partitionBy("batch"))
-    rows = rows.withColumn("padded_len", (F.ceil(longest / 8) * 8).cast("int"))
+    return rows.withColumn("padded_len", (F.ceil(longest / 8) * 8).cast("int"))
+
+
+def padded(samples: DataFrame) -> DataFrame:
+    """Pads ``input_ids`` and ``labels`` on the right to ``padded_len`` and adds ``attention_mask``."""
     fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.greatest(F.col("padded_len") - F.size(c), F.lit(0))))
     mask = F.transform("input_ids", lambda x: F.lit(1))
-    return rows.withColumns({"attention_mask": fill(mask, 0), "labels": fill(F.col("labels"), MASKED), "input_ids": fill(F.col("input_ids"), PAD_ID)})
+    return samples.withColumns({"attention_mask": fill(mask, 0), "labels": fill(F.col("labels"), MASKED), "input_ids": fill(F.col("input_ids"), PAD_ID)})
+
+
+def batches(samples: DataFrame, batch_size: int, pos: str = "pos", fixed: int | None = None) -> DataFrame:
+    """Adds ``batch`` and pads to one length: the batch's longest (or ``fixed``), rounded up to a multiple of 8, on the right."""
+    return padded(padded_lengths(samples, batch_size, pos, fixed))
 
 
 def number_kept(samples: DataFrame, order: list[str]) -> DataFrame:

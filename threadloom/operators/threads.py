@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import norm_text, normalize_id
@@ -68,6 +68,8 @@ def chains(rows: DataFrame) -> DataFrame:
     # thread and depth go by the last row of the id
     place = paths.where("not cyclic").select("id", F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("depth"))
     got = got.join(place, "id")
+    # a row a thread; summed up before the shuffle, so that a thread of any size is no task of its own
+    firsts = own.select("_rowidx", "id", "parent_id").join(bad, "parent_id", "left_anti").join(place.select("id", "root"), "id").groupBy("root").agg(F.min("_rowidx").alias("thread_first"))
     full = got.select("_rowidx", "id", "root", "depth", F.struct(*FIELDS).alias("own"), F.coalesce("apath", F.array().cast("array<string>")).alias("above"))
     named = index.select(F.col("id").alias("aid"), F.struct(*FIELDS).alias("row"))
     steps = full.select("_rowidx", F.posexplode("above").alias("pos", "aid")).join(named, "aid")
@@ -77,7 +79,7 @@ def chains(rows: DataFrame) -> DataFrame:
     out = out.select(
         "_rowidx", "id", "root", "depth", F.concat("above", F.array("id")).alias("path"),
         F.concat(F.coalesce(F.transform("s", lambda x: x["row"]), empty), F.array("own")).alias("chain"))
-    return out.withColumn("thread_first", F.min("_rowidx").over(Window.partitionBy("root")))
+    return out.join(firsts, "root")
 
 
 def cyclic_targets(rows: DataFrame) -> DataFrame:

@@ -73,9 +73,9 @@ ordered AS (
   SELECT doc_id, seq, seq_len, buffer, buffer * 512 + row_number() OVER (PARTITION BY buffer ORDER BY seq_len, seq) - 1 AS global_idx,
          (buffer * 512 + row_number() OVER (PARTITION BY buffer ORDER BY seq_len, seq) - 1) // {SHARD} AS shard_idx FROM ord0)"""
 _SCAN = f"""{_DOCS}, scanned AS (SELECT seq, text, {sql_words('text')} AS w FROM docs)"""
-_PHRASES = f"""{_SCAN}, cut AS (SELECT seq, text, len(w) AS len, w FROM scanned),
-starts AS (SELECT seq, len, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
-grams AS (SELECT seq, len, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM starts, (SELECT unnest(range(2, 13)) AS k) ks WHERE i + k - 1 <= len(w)),
+_PHRASES = f"""{_SCAN}, cut AS (SELECT seq, len(w) AS len, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM scanned),
+starts AS (SELECT seq, len, list(word) OVER (PARTITION BY seq ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS g FROM cut),
+grams AS (SELECT seq, len, array_to_string(g[1:k], ' ') AS phrase FROM starts, (SELECT unnest(range(2, 13)) AS k) ks WHERE k <= len(g)),
 ph AS (SELECT seq, phrase, count(*) AS n, first(len) AS len FROM grams WHERE length(phrase) BETWEEN 16 AND 384 AND NOT (starts_with(phrase, '<|ng:') AND ends_with(phrase, '|>')) GROUP BY seq, phrase)"""
 _RX = [rx.replace("'", "''") for rx, _ in CODE_PATTERNS]
 _DETECT = " OR ".join([f"regexp_matches(phrase, '{CODE_SYMBOLS}')", f"starts_with(phrase, '#')", "starts_with(phrase, '//')"] + [f"regexp_matches(phrase, '{rx}')" for rx in _RX])
@@ -93,10 +93,15 @@ tot AS (
 stats AS (
   SELECT tot.phrase, CAST(p_cnt AS BIGINT) AS p_cnt, CAST(l_cnt AS BIGINT) AS l_cnt, oversize_hits, near_limit_hits, CAST(p_cnt + l_cnt AS BIGINT) AS cnt
   FROM tot)"""
-_SAVED = f"""saved AS (
-  SELECT k.phrase, count(*) AS saved_samples FROM stats k JOIN per USING (phrase) JOIN scanned s USING (seq)
-  WHERE per.len > 1024 AND len({sql_words('k.phrase')}) > 1
-    AND per.len - (len({sql_words('k.phrase')}) - 1) * greatest(1, (length(text) - length(replace(text, k.phrase, ''))) // length(k.phrase)) <= 1024 GROUP BY k.phrase)"""
+# a phrase stands in a text at most as often as its length fits in, which spares most texts the search
+_SAVED = f"""big AS (SELECT seq, len(w) AS len, length(text) AS chars FROM scanned WHERE len(w) > 1024),
+few AS MATERIALIZED (
+  SELECT k.phrase, seq, big.len, len({sql_words('k.phrase')}) - 1 AS gain
+  FROM (SELECT phrase FROM stats WHERE oversize_hits > 0) k JOIN per USING (phrase) JOIN big USING (seq)
+  WHERE len({sql_words('k.phrase')}) > 1 AND big.len - (len({sql_words('k.phrase')}) - 1) * greatest(1, big.chars // length(k.phrase)) <= 1024),
+saved AS (
+  SELECT phrase, count(*) AS saved_samples FROM few JOIN scanned USING (seq)
+  WHERE few.len - gain * greatest(1, (length(text) - length(replace(text, phrase, ''))) // length(phrase)) <= 1024 GROUP BY phrase)"""
 _FACTOR = "CASE " + " ".join(f"WHEN regexp_matches(phrase, '{rx.replace(chr(39), chr(39) * 2)}') THEN CAST({f} AS DOUBLE) * CAST(1.2 AS DOUBLE)" for rx, f in CODE_PATTERNS) + " ELSE 1.0::DOUBLE END"
 _CURVE = f"""curve AS (
   SELECT step, CASE WHEN step < {PLAN.warmup_steps} THEN (step + 1)::DOUBLE / {PLAN.warmup_steps}
@@ -149,6 +154,13 @@ ORACLES: dict[str, str] = {
     "bucketed_shuffle_hash": f"""WITH {_ORDER}, b AS (
       SELECT *, (row_number() OVER (PARTITION BY shard_idx ORDER BY seq_len, global_idx) - 1) // greatest(8, least(64, count(*) OVER (PARTITION BY shard_idx))) AS bucket FROM ordered)
       SELECT shard_idx, global_idx, bucket, row_number() OVER (PARTITION BY shard_idx ORDER BY md5(concat_ws(':', '42', '0', shard_idx, bucket)), md5(concat_ws(':', '42', '0', shard_idx, global_idx, bucket)), global_idx) - 1 AS order_in_shard FROM b""",
+    "epoch_batches": f"""WITH {_ORDER}, b AS (
+      SELECT *, (row_number() OVER (PARTITION BY shard_idx ORDER BY seq_len, global_idx) - 1) // greatest(8, least(64, count(*) OVER (PARTITION BY shard_idx))) AS bucket FROM ordered),
+      o AS (SELECT *, row_number() OVER (PARTITION BY shard_idx ORDER BY md5(concat_ws(':', '42', '2', shard_idx, bucket)), md5(concat_ws(':', '42', '2', shard_idx, global_idx, bucket)), global_idx) AS k FROM b),
+      r AS (SELECT *, row_number() OVER (ORDER BY shard_idx, k) - 1 AS pos FROM o WHERE global_idx % 4 = 2),
+      p AS (SELECT *, pos // 4 AS batch, CAST(ceil(max(seq_len) OVER (PARTITION BY pos // 4) / 8.0) * 8 AS INTEGER) AS padded_len FROM r)
+      SELECT pos, batch, shard_idx, global_idx, p.doc_id, padded_len, CAST(seq_len AS INTEGER) AS n_real, md5(array_to_string(list_concat(ids, list_transform(range(seq_len, padded_len), lambda x: 0)), ',')) AS ids_md5,
+        md5(array_to_string(list_concat(ids, list_transform(range(seq_len, padded_len), lambda x: -100)), ',')) AS labels_md5 FROM p JOIN plain USING (doc_id)""",
     "ngram_counts": f"WITH {_PHRASES} SELECT phrase, CAST(sum(n) AS BIGINT) AS cnt FROM ph GROUP BY phrase HAVING sum(n) >= 2",
     "code_lines": f"WITH {_SCAN}, {_LINES} SELECT phrase, CAST(sum(n) AS BIGINT) AS cnt FROM cl GROUP BY phrase HAVING sum(n) >= 2",
     "code_line_topk": f"WITH {_SCAN}, {_LINES} SELECT phrase, CAST(sum(n) AS BIGINT) AS cnt FROM cl GROUP BY phrase HAVING sum(n) >= 2 ORDER BY cnt DESC, length(phrase) DESC, phrase LIMIT 400",

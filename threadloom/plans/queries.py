@@ -162,10 +162,18 @@ def sample_signature(spark, d):
     return got.select("id", shards.signature(F.col("input_ids"), F.col("labels")).alias("signature"))
 
 
-def _ordered(spark, d, *more: str):
-    """Plain samples in buffered order: ``doc_id, seq_len`` and what else is asked for, so that ids are only made where they are used."""
+def _ordered(spark, d):
+    """Plain samples in buffered order, as lengths alone."""
     docs = samples.pack_plain(S.table(spark, d, "documents").select("doc_id", "text"), WINDOW)
-    return shards.buffered_order(shards.number_kept(docs.select("doc_id", "seq_len", *more), ["doc_id"]), SHARD)
+    return shards.buffered_order(shards.number_kept(docs.select("doc_id", "seq_len"), ["doc_id"]), SHARD)
+
+
+def _ordered_samples(spark, d):
+    """Plain samples with their ids, written once and named by ``uid``, and their buffered order by it, which no id goes through."""
+    docs = samples.pack_plain(S.table(spark, d, "documents").select("doc_id", "text"), WINDOW)
+    docs = written(docs.select("doc_id", "seq_len", "input_ids").withColumn("uid", F.monotonically_increasing_id()), "samples")
+    ordered = shards.buffered_order(shards.number_kept(docs.select("uid", "doc_id", "seq_len"), ["doc_id"]), SHARD)
+    return docs.select("uid", "input_ids", F.col("input_ids").alias("labels")), ordered
 
 
 def buffered_sort_order(spark, d):
@@ -196,10 +204,19 @@ def rank_partition(spark, d):
 
 
 def padded_batches(spark, d):
-    got = shards.batches(_ordered(spark, d, "input_ids", "labels"), 8, "global_idx")
+    docs, ordered = _ordered_samples(spark, d)
+    got = shards.padded(shards.padded_lengths(ordered, 8, "global_idx").join(docs, "uid"))
     return got.select("global_idx", "batch", "padded_len", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"), F.size("labels").alias("n_labels"), F.size("input_ids").alias("n_ids"))
 
 
+def epoch_batches(spark, d):
+    """What the second worker of the first of two ranks reads in its third epoch, as padded batches of four."""
+    docs, ordered = _ordered_samples(spark, d)
+    got = shards.padded(shards.epoch(ordered, world=2, rank=0, batch_size=4, epoch=2, workers=2, worker=1).join(docs, "uid"))
+    ones = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    return got.select("pos", "batch", "shard_idx", "global_idx", "doc_id", "padded_len", ones.alias("n_real"), F.md5(_ids("input_ids")).alias("ids_md5"), F.md5(_ids("labels")).alias("labels_md5"))
+
+
 def bucketed_shuffle_hash(spark, d):
     return shards.shuffled_hash(_ordered(spark, d), 42, 0).select("shard_idx", "global_idx", "bucket", "order_in_shard")
 
@@ -209,11 +226,13 @@ def bucketed_shuffle_exact(spark, d):
 
 
 def _mined(spark, d):
-    return ngrams.scan(_docs(spark, d), MINED)
+    """Texts to mine; without a limit on their number any name of a text does, so they aren't numbered in order."""
+    rows = S.table(spark, d, "documents").select(X.norm_text(F.col("text")).alias("text")).where("text != ''")
+    return ngrams.scan(rows.withColumn("seq", F.monotonically_increasing_id()), MINED)
 
 
 def ngram_counts(spark, d):
-    return ngrams.counts(ngrams.phrases(_mined(spark, d), MINED), MINED.min_count)
+    return ngrams.repeated(_mined(spark, d), MINED)
 
 
 def code_lines(spark, d):
@@ -481,7 +500,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_pack_lengths, plain_token_ids, column_scan_lengths, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
     training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, all_previews, inference_prompts, inference_masks, pack_whole_turns,
     pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, shard_write_read, similarity_sort_order, rank_partition, padded_batches,
-    bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, phrase_conflicts, ngram_tokens,
+    epoch_batches, bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, phrase_conflicts, ngram_tokens,
     vocabulary_extension, tokenizer_preparation, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, scheduler_updates, token_throughput, epoch_tail,
     log_tail, log_since, ring_retention, visible_lines, status_last_non_null, ordered_dedup_union, latest_valid_model, runs_with_config,
     row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, pumped_lines, record_fields, event_times, final_states, lora_targets, lora_defaults,
