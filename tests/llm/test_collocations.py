@@ -44,14 +44,14 @@ def _rows(seed):
 
 def _got(spark, rows, **more):
     df = spark.createDataFrame([(lang, t, 1) for lang, t in rows], "lang string, text string, rank int").repartition(5)
-    return sorted(tuple(r) for r in C.mine_phrases(df, **more).collect())
+    return sorted(tuple(r) for r in C.mine_phrases(df, **({"log": 18} | more)).collect())
 
 
 def test_against_plain_counts(spark):
     rows = _rows(1)
     want = _plain(rows)
     assert len(want) > 50 and _got(spark, rows) == want
-    assert _got(spark, rows, most_log=10) == want  # every cell is full: nothing is pruned, nothing lost
+    assert _got(spark, rows, log=10) == want  # every cell is full: nothing is pruned, nothing lost
     assert _got(spark, rows, words=4, min_count=5, top=20, share=80) == _plain(rows, 4, 5, 80, 20)
     assert _got(spark, rows, min_count=300) == _plain(rows, least=300)  # cells beyond a byte
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import _words as W
 from threadloom.llm._batches import sliced
-from threadloom.llm._store import forget, written
+from threadloom.llm._store import written
 
 _U = np.uint64
 #: What ends a piece, and what stands between words.
@@ -79,7 +79,7 @@ class Words:
         return b" ".join(self.data[self.start[first] : self.end[first + n - 1]].split()).decode("utf-8", "surrogatepass")
 
 
-def _by_lang(batches, most: int = 1 << 23) -> Iterator[Words]:
+def _by_lang(batches, most: int = 1 << 22) -> Iterator[Words]:
     """Words of the texts of each language, by about ``most`` characters."""
     held: dict[str, list[str]] = {}
     chars = 0
@@ -102,44 +102,30 @@ def _packed(cells: np.ndarray) -> bytes:
     return pa.compress(cells.tobytes(), "zstd", asbytes=True)
 
 
-def _sketcher(words: int, log: int, top: int, grams: int = 1 << 22):
-    """Arrow function: sketches of about ``grams`` n-grams each, cut into slices, and the words of each language.
-
-    A cell counts up to ``top``, which is all that the threshold asks for.
-    """
+def _sketcher(words: int, log: int, top: int):
+    """Arrow function: the sketch of all n-grams of a task, cut into slices. A cell counts up to ``top``, which is all that the threshold asks for."""
     size, width = 1 << log, 1 << min(log, _SLICE)
 
-    def flush(held: list[list[np.ndarray]], source: int) -> pa.RecordBatch:
-        rows = []
-        for r in range(_ROWS):
-            cells = np.sort(np.concatenate(held[r]))
-            first = np.flatnonzero(np.diff(cells, prepend=~cells[:1]))
-            dense = np.zeros(size, _kind(top))
-            dense[cells[first]] = np.minimum(np.diff(first, append=len(cells)), top)
-            rows += [(r, s, _packed(dense[s * width : (s + 1) * width])) for s in range(size // width)]
-        at, piece, data = zip(*rows, strict=True)
-        n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(piece, pa.int32()), pa.array(data, pa.binary()), pa.array([source] * n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], _SKETCH)
-
     def run(batches):
         from pyspark import TaskContext
 
-        source, held, n = TaskContext.get().partitionId() << 20, [[] for _ in range(_ROWS)], 0
+        rows = []
         for w in _by_lang(batches):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([w.lang]), pa.array([len(w.start)], pa.int64())], _SKETCH)
+            rows = rows or [np.zeros(size, _kind(top)) for _ in range(_ROWS)]
             for _, _, g, _ in w.grams(words):
-                for r, c in enumerate(_cells(g, log)):
-                    held[r].append(c)
-                n += len(g)
-            if n >= grams:
-                yield flush(held, source)
-                source, held, n = source + 1, [[] for _ in range(_ROWS)], 0
-        if n:
-            yield flush(held, source)
+                for row, cells in zip(rows, _cells(g, log), strict=True):
+                    cells.sort()
+                    first = np.flatnonzero(np.diff(cells, prepend=~cells[:1]))
+                    at = cells[first]
+                    row[at] = np.minimum(row[at] + np.diff(first, append=len(cells)), top)
+        source = TaskContext.get().partitionId()
+        for r, row in enumerate(rows):
+            for s in range(size // width):
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([s], pa.int32()), pa.array([_packed(row[s * width : (s + 1) * width])], pa.binary()), pa.array([source], pa.int64())], _SKETCH)
     return run
 
 
-_SKETCH = ["row", "slice", "cells", "source", "lang", "n"]
+_SKETCH = ["row", "slice", "cells", "source"]
 
 
 def _kind(top: int):
@@ -160,9 +146,8 @@ def _merge(log: int, top: int):
 
 
 def merged_sketch(parts: DataFrame, log: int, top: int, sources: int, fan: int = 64) -> DataFrame:
-    """``row, slice, cells`` of the sum of all sketches; no task sums more than about ``fan`` slices at a time."""
-    got = parts.where("row is not null").select("row", "slice", "cells", "source")
-    groups = max(1, sources)
+    """``row, slice, cells, source`` of the sum of all sketches; no task sums more than about ``fan`` slices at a time."""
+    got, groups = parts, max(1, sources)
     while True:
         groups = -(-groups // fan)
         got = got.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(groups)).cast("long")).groupBy("row", "slice", "source").applyInArrow(_merge(log, top), "row int, slice int, cells binary, source long")
@@ -176,6 +161,7 @@ def _survivors(shared, words: int, log: int):
     def run(batches):
         bits = shared.value
         for w in _by_lang(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([w.lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(w.start)], pa.int64())], ["lang", "k", "phrase", "f"])
             for n, at, g, g2 in w.grams(words):
                 ok = np.ones(len(g), bool)
                 for often, cell in zip(bits, _cells(g, log), strict=True):
@@ -195,29 +181,24 @@ def _survivors(shared, words: int, log: int):
     return run
 
 
-def phrase_counts(texts: DataFrame, words: int, min_count: int, most_log: int = 28) -> tuple[DataFrame, DataFrame]:
-    """Exact counts ``lang, k, phrase, f`` of all phrases of 1 to ``words`` words that occur ``min_count`` times or more, and words of each language (``lang, n``).
+def phrase_counts(texts: DataFrame, words: int, min_count: int, log: int = 26) -> DataFrame:
+    """Exact counts ``lang, k, phrase, f`` of all phrases of 1 to ``words`` words that occur ``min_count`` times or more; ``k`` 0 has a language's number of words.
 
     A count-min sketch counts every n-gram too high or right, so what it puts below the threshold is rare for certain, and only the rest
-    is counted. Sketches have a cell for every 24 bytes of text, at most ``2**most_log``; as a bit for each cell they are
-    at most ``2 * 2**most_log / 8`` bytes (64 MB), which go to every executor. A fuller sketch lets more rare phrases through and loses none.
+    is counted. It has two rows of ``2**log`` cells, whatever the size of the texts; as a bit for each cell (16 MB in all) it goes to
+    every executor. A fuller sketch lets more rare phrases through to the exact count and loses none.
     """
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    log = min(most_log, max(10, (size // 24).bit_length()))
     top = max(1, min_count)
-    parts = written(texts.mapInArrow(_sketcher(words, log, top), "row int, slice int, cells binary, source long, lang string, n long"), "sketches")
-    sources = parts.select("source").where("source is not null").distinct().count()
-    merged = merged_sketch(parts, log, top, sources).select("row", "slice", "cells")
+    sketches = texts.mapInArrow(_sketcher(words, log, top), "row int, slice int, cells binary, source long")
+    merged = merged_sketch(sketches, log, top, texts.rdd.getNumPartitions())
     width, bits = 1 << min(log, _SLICE), [np.zeros(-(-(1 << log) // 8), np.uint8) for _ in range(_ROWS)]
-    thin = merged.mapInArrow(_to_bits(log, top), "row int, slice int, cells binary")
+    thin = merged.select("row", "slice", "cells").mapInArrow(_to_bits(log, top), "row int, slice int, cells binary")
     for r in thin.toLocalIterator():
         mine = np.frombuffer(bytes(r["cells"]), np.uint8)
         bits[r["row"]][r["slice"] * width // 8 : r["slice"] * width // 8 + len(mine)] = mine
     shared = texts.sparkSession.sparkContext.broadcast(bits)
-    n = written(parts.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "langs")
-    forget(parts)
     found = texts.mapInArrow(_survivors(shared, words, log), "lang string, k int, phrase string, f long")
-    return written(found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), "phrases"), n
+    return written(found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= min_count) | (F.col("k") == 0)), "phrases")
 
 
 def _to_bits(log: int, top: int):
@@ -241,7 +222,7 @@ def scored(counts: DataFrame) -> DataFrame:
     """
     c = counts.where("k >= 2").withColumn("w", F.split("phrase", " ")).withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
     c = c.select("lang", "k", "phrase", F.col("f").alias("a"), "cut", _part("w", 1, F.col("cut")).alias("left"), _part("w", F.col("cut") + 1, F.col("k") - F.col("cut")).alias("right"))
-    part = lambda name, f: counts.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
+    part = lambda name, f: counts.where("k > 0").select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     both = c.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"])
     score = F.expr("(cast(a as decimal(38,0)) * a * 1000000) div (cast(l as decimal(38,0)) * r)").cast("long")
     best = both.groupBy("lang", "k", "phrase").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("b"), F.first("a").alias("a"))
@@ -265,7 +246,7 @@ def best(rows: DataFrame, top: int, by: str = "lang", salts: int = 16) -> DataFr
     return few.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
-def mine_phrases(docs: DataFrame, words: int = 3, min_count: int = 10, share: int = 50, top: int = 2000, text: str = "text", lang: str = "lang", most_log: int = 28) -> DataFrame:
+def mine_phrases(docs: DataFrame, words: int = 3, min_count: int = 10, share: int = 50, top: int = 2000, text: str = "text", lang: str = "lang", log: int = 26) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best ``top`` phrases of 2 to ``words`` words of each language.
 
     Texts (null: empty; A-Z lower-cased) are divided at ``. , ; : ! ?`` and line ends into pieces and those at blanks and tabs into words. A phrase lies
@@ -275,6 +256,7 @@ def mine_phrases(docs: DataFrame, words: int = 3, min_count: int = 10, share: in
     ``a``, then the phrase by its bytes. An empty table gives no row; other columns are ignored.
     """
     texts = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts, n = phrase_counts(texts, words, min_count, most_log)
+    counts = phrase_counts(texts, words, min_count, log)
+    n = counts.where("k = 0").select("lang", F.col("f").alias("n"))
     kept = not_subsumed(scored(counts), counts, share)
     return best(kept, top).join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
