@@ -53,9 +53,32 @@ def test_branches_fall_where_rows_lie_in_clusters():
     x = np.floor(centres[rng.integers(0, 40, 8192)] + rng.normal(0, 4, (8192, 32)))
     ids = np.arange(8192)
     tree = topk_search.BallTree(x, ids, ids)
-    scores, found = tree.search(x[:200], ids[:200], 20, np.full(200, -np.inf))
+    scores, found = topk_search.search_trees([tree], x[:200], ids[:200], 20, np.full(200, -np.inf))
     exact = x[:200] @ x.T
     exact[np.arange(200), np.arange(200)] = -np.inf
     best = np.lexsort((np.broadcast_to(ids, exact.shape), -exact), axis=1)[:, :20]
     assert (found == best).all() and (scores == np.take_along_axis(exact, best, 1)).all()
     assert tree.computed < 0.25 * 200 * 8192  # of all products
+
+
+def test_kth_scores_go_on_from_tree_to_tree(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 64, (32, 32))
+    x = np.floor(np.repeat(centres, 256, axis=0) + rng.normal(0, 4, (8192, 32)))
+    ids, q = np.arange(8192), x[::100]
+    grow = lambda: [topk_search.BallTree(x[a : a + 256], ids[a : a + 256], ids[a : a + 256]) for a in range(0, 8192, 256)]
+    alone, together, bars = grow(), grow(), np.full(len(q), -np.inf)
+    for tree in alone:
+        topk_search.search_trees([tree], q, ids[::100], 20, bars)
+    scores, found = topk_search.search_trees(together, q, ids[::100], 20, bars)
+    exact = q @ x.T
+    exact[np.arange(len(q)), ids[::100]] = -np.inf
+    best = np.lexsort((np.broadcast_to(ids, exact.shape), -exact), axis=1)[:, :20]
+    assert (found == best).all() and (scores == np.take_along_axis(exact, best, 1)).all()
+    assert sum(t.computed for t in together) < 0.5 * sum(t.computed for t in alone)
+
+    class Shared:
+        value = ids[::100], ids[::100], q, bars
+
+    blobs = [topk_search.pa.record_batch([topk_search.pa.array([topk_search.pickle.dumps(t)])], ["tree"]) for t in grow()]
+    assert sum(b.num_rows for b in topk_search._searcher(Shared, 20)(iter(blobs))) == 20 * len(q)  # rows of a task, whatever its trees

@@ -52,13 +52,15 @@ class BallTree:
         self.reach = np.sqrt((self.centre**2).sum(axis=1)) + self.radius
         self.computed = 0
 
-    def search(self, q: np.ndarray, uids: np.ndarray, k: int, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best (scores, ids) of each query that reach its bar, best first, ties to the smaller id; a query's own row is left out."""
-        n = len(q)
-        scores, found = np.full((n, k), _NONE), np.full((n, k), _NOBODY)
+    def search(self, q: np.ndarray, uids: np.ndarray, bars: np.ndarray, scores: np.ndarray, found: np.ndarray) -> None:
+        """Merges what this tree adds to each query's best (``scores``, ``found``: best first, ties to the smaller id).
+
+        The two arrays hold what the trees before gave, so their kth scores bound this tree too; ``bars`` are scores that a
+        row has to reach anyway. A query's own row is left out.
+        """
         norm = np.sqrt((q * q).sum(axis=1))
         bound = q @ self.centre.T + norm[:, None] * (self.radius + 1e-9 * self.reach) + 1e-6
-        alive = bound >= bars[:, None]
+        alive = bound >= np.maximum(scores[:, -1], bars)[:, None]
         for node, (left, right) in enumerate(self.kids):  # parents come before children
             if left >= 0:
                 alive[:, left] &= alive[:, node]
@@ -88,7 +90,6 @@ class BallTree:
                 parts.append((mine[i], np.rint(got[i, j]).astype(np.int64), self.ids[a + j]))
             self._merge(scores, found, *(np.concatenate(c) for c in zip(*parts, strict=True)))
             at, width = at + width, 2 * width
-        return scores, found
 
     @staticmethod
     def _merge(scores: np.ndarray, found: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
@@ -163,16 +164,27 @@ def _planter(shard_rows: int, width: int):
     return run
 
 
+def search_trees(trees, q: np.ndarray, uids: np.ndarray, k: int, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best (scores, ids) of each query over all ``trees``; the kth score found so far goes on from tree to tree."""
+    scores, found = np.full((len(q), k), _NONE), np.full((len(q), k), _NOBODY)
+    for tree in trees:
+        for a in range(0, len(q), 1024):
+            part = slice(a, a + 1024)
+            tree.search(q[part], uids[part], bars[part], scores[part], found[part])
+    return scores, found
+
+
 def _searcher(shared, k: int):
+    """Arrow function: a task's trees one after the other, then at most ``k`` rows a query for all of them."""
+
     def run(batches):
         uids, ids, q, bars = shared.value
-        for batch in batches:
-            for blob in batch.column("tree").to_pylist():
-                tree = pickle.loads(blob)
-                for a in range(0, len(q), 1024):
-                    scores, found = tree.search(q[a : a + 1024], uids[a : a + 1024], k, bars[a : a + 1024])
-                    row, _ = np.nonzero(found != _NOBODY)
-                    yield _rows(uids[a + row], ids[a + row], found[found != _NOBODY], scores[found != _NOBODY].tolist())
+        scores, found = search_trees((pickle.loads(blob) for batch in batches for blob in batch.column("tree").to_pylist()), q, uids, k, bars)
+        for a in range(0, len(q), 1024):
+            part = found[a : a + 1024]
+            row, _ = np.nonzero(part != _NOBODY)
+            if len(row):
+                yield _rows(uids[a + row], ids[a + row], part[part != _NOBODY], scores[a : a + 1024][part != _NOBODY].tolist())
     return run
 
 
@@ -242,8 +254,9 @@ def top_k(
     64 bits is given as the nearest long. An empty table gives no row; other columns are ignored.
 
     Candidates in the order of a locality code are cut into shards of ``shard_rows`` rows; a shard's ball tree is built and written once,
-    and no candidate moves again. The queries go to all trees in blocks of at most ``query_bytes``: first to an eighth
-    of the shards, whose kth scores are the bars that branches of all others have to reach. Rows whose products floats can't hold
+    and no candidate moves again. The queries go to all trees in blocks of at most ``query_bytes`` with their results: first to an eighth
+    of the shards, whose kth scores are the bars that branches of all others have to reach. Inside a task the kth score goes on from
+    tree to tree, and the task gives at most ``k`` rows a query, however many trees it has. Rows whose products floats can't hold
     exactly meet all rows in unbounded integers, in blocks of ``wild_rows``.
     """
     x = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e"))
@@ -256,7 +269,7 @@ def top_k(
         shards = -(-size["n"] // shard_rows)
         ranged = x.where(~F.col("wild")).repartitionByRange(shards, "code", "uid")
         trees = written(ranged.mapInArrow(_planter(shard_rows, width), "tree binary").withColumn("seed", F.spark_partition_id() % 8 == 0), "trees")
-        for block in _blocks(x.where(~F.col("wild") & asks).select("uid", "vec_id", "x"), size["q"], max(1, query_bytes // (8 * width))):
+        for block in _blocks(x.where(~F.col("wild") & asks).select("uid", "vec_id", "x"), size["q"], max(1, query_bytes // (8 * (width + 2 * k)))):
             uids, ids = (block.column(c).to_numpy() for c in ("uid", "vec_id"))
             q, bars = _matrix(block.column("x").to_pylist(), width), np.full(len(uids), float(_NONE))
             for seed in (True, False):
