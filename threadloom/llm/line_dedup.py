@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -64,15 +65,20 @@ class PerfectHash:
 
 
 class LineIndex:
-    """One shard: perfect hash over line hashes, with fingerprints and document counts in its order."""
+    """One shard: perfect hash over its distinct line hashes, with fingerprints and document counts in its order.
+
+    Rows that repeat a line add up in the line's place of the count array.
+    """
 
     def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray):
         # the key joins both hashes, so lines that share one of them stay apart
-        self.hash = PerfectHash(_key(h1, h2))
-        at = self.hash.place(_key(h1, h2))
-        self.prints, self.counts = np.zeros(self.hash.n, _U), np.zeros(self.hash.n, np.uint32)
+        key = _key(h1, h2)
+        self.hash = PerfectHash(key)
+        at = self.hash.place(key)
+        self.prints, total = np.zeros(self.hash.n, _U), np.zeros(self.hash.n, np.int64)
         self.prints[at] = h2
-        self.counts[at] = np.minimum(counts, 0xFFFFFFFF)
+        np.add.at(total, at, counts)
+        self.counts = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
 
     def count(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Number of documents that hold each line; 0 for lines outside the index."""
@@ -99,39 +105,85 @@ def line_keys(text: str | None) -> list[bytes]:
 
 def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each key."""
-    raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(k) for k in keys]), ">u8").astype(_U).reshape(-1, 2)
+    return _halves([xxhash.xxh3_128_digest(k) for k in keys])
+
+
+def _halves(digests) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(digests), ">u8").astype(_U).reshape(-1, 2)
     return raw[:, 0], raw[:, 1]
 
 
-def _emit(min_chars: int):
+def _emit(min_chars: int, most: int = 1 << 18):
+    """Arrow function: (h1, h2, n) of lines, rows that hold a line added up over up to ``most`` lines, so that a hot line is sent once for them."""
+
     def run(batches):
+        held: Counter[bytes] = Counter()
         for batch in sliced(batches):
-            out = []
             for text in batch.column(0).to_pylist():
-                out += {k for k in line_keys(text) if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode("utf-8", "surrogatepass")) >= min_chars)}
-                if len(out) > 1 << 17:
-                    yield _pairs(out)
-                    out = []
-            if out:
-                yield _pairs(out)
+                held.update({xxhash.xxh3_128_digest(k) for k in set(line_keys(text)) if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode("utf-8", "surrogatepass")) >= min_chars)})
+                if len(held) >= most:
+                    yield _counted(*_halves(held), np.fromiter(held.values(), np.int64, len(held)))
+                    held = Counter()
+        if held:
+            yield _counted(*_halves(held), np.fromiter(held.values(), np.int64, len(held)))
     return run
 
 
-def _pairs(keys: list[bytes]) -> pa.RecordBatch:
-    h1, h2 = _hashes(keys)
-    return pa.RecordBatch.from_arrays([pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64))], ["h1", "h2"])
+def _counted(h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n.astype(np.int64))], ["h1", "h2", "n"])
+
+
+def _unsigned(batch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy().astype(np.int64).view(_U) for c in names]
+
+
+def count_shard(h1: np.ndarray, h2: np.ndarray, n: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, count) of a shard's lines that at least ``min_docs`` rows hold; all its lines are counted in the arrays of its perfect hash."""
+    shard = LineIndex(h1, h2, n)
+    first = np.zeros(shard.hash.n, _U)
+    first[shard.hash.place(_key(h1, h2))] = h1
+    often = shard.counts >= min_docs
+    return first[often], shard.prints[often], shard.counts[often]
+
+
+def _count(min_docs: int, shard_lines: int):
+    """Arrow function over rows in the order of ``bucket``: cuts them into shards of whole buckets, at least ``shard_lines`` rows each but the last."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            bucket, cols = batch.column("bucket").to_numpy(), (*_unsigned(batch, "h1", "h2"), batch.column("n").to_numpy())
+            ends = np.flatnonzero(np.diff(bucket)) + 1
+            if held and len(bucket) and bucket[0] != last:
+                ends = np.concatenate([[0], ends])
+            at = 0
+            for end in ends.tolist():
+                if size + end - at >= shard_lines:
+                    held.append([c[at:end] for c in cols])
+                    yield _counted(*count_shard(*(np.concatenate(c) for c in zip(*held, strict=True)), min_docs))
+                    held, size, at = [], 0, end
+            if len(bucket):
+                held.append([c[at:] for c in cols])
+                size, last = size + len(bucket) - at, bucket[-1]
+        if size:
+            yield _counted(*count_shard(*(np.concatenate(c) for c in zip(*held, strict=True)), min_docs))
+    return run
 
 
 def _build(key, table):
-    h1, h2 = (table.column(c).to_numpy().astype(np.int64).view(_U) for c in ("h1", "h2"))
-    index = LineIndex(h1, h2, table.column("n").to_numpy())
+    index = LineIndex(*_unsigned(table, "h1", "h2"), table.column("n").to_numpy())
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "index": pa.array([pickle.dumps(index, 5)], pa.binary())})
 
 
 def line_index(docs: DataFrame, min_docs: int, min_chars: int, text: str = "text", shard_lines: int = 1 << 20) -> tuple[DataFrame, int, int]:
-    """Index shards (``shard``, ``index``) of the lines that at least ``min_docs`` rows hold; number of shards; of lines."""
-    seen = docs.select(F.col(text).alias("text")).mapInArrow(_emit(min_chars), "h1 long, h2 long")
-    often = written(seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "lines")
+    """Index shards (``shard``, ``index``) of the lines that at least ``min_docs`` rows hold; number of shards; of lines.
+
+    Line hashes go to partitions by hash and are sorted into 65,536 buckets there. A run of buckets is a shard: its task builds a
+    perfect hash over all its distinct lines and adds up their documents in the count array; only what reaches ``min_docs`` leaves it.
+    """
+    seen = docs.select(F.col(text).alias("text")).mapInArrow(_emit(min_chars), "h1 long, h2 long, n long")
+    sharded = seen.repartition("h1").withColumn("bucket", F.shiftrightunsigned("h1", 48)).sortWithinPartitions("bucket")
+    often = written(sharded.mapInArrow(_count(min_docs, shard_lines), "h1 long, h2 long, n long"), "lines")
     lines = often.count()
     shards = max(1, -(-lines // shard_lines))
     placed = often.mapInArrow(_placer(shards), "h1 long, h2 long, n long, shard long")
