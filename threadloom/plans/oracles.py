@@ -224,6 +224,8 @@ ORACLES: dict[str, str] = {
     "lora_defaults": "SELECT unnest(['q_proj', 'k_proj', 'v_proj', 'o_proj']) AS leaf",
     "batch_previews": f"""WITH p AS (SELECT conv_id, string_agg(array_to_string({sql_words('text')}, ' '), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS w FROM conversations WHERE len({sql_words('text')}) > 0 GROUP BY conv_id)
       SELECT conv_id, md5(substr(w, 1, 4000)) AS preview_md5, md5(substr(w, 1, 20000)) AS full_md5 FROM p""",
+    "csv_documents": """SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, '')), coalesce(lang, '')) - 1 AS _rowidx, doc_id,
+      md5(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5, coalesce(lang, '') AS lang FROM documents""",
     "status_sources": """SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 4 > 0) AS phase, arg_max(event_id % 5, event_id) FILTER (event_id % 5 <> 0) AS step FROM events GROUP BY user_id""",
     "phrase_stats": f"WITH {_STATS}, {_SAVED} SELECT stats.*, coalesce(saved_samples, 0) AS saved_samples FROM stats LEFT JOIN saved USING (phrase)",
     "phrase_scores_saved": f"""WITH {_STATS}, {_SAVED}, s AS (

@@ -12,6 +12,7 @@ from threadloom.functions import text as X
 from threadloom.operators import control, ngrams, samples, schedule, shards, threads
 from threadloom.operators.ordinal import with_ordinal
 from threadloom.plans import harness
+from threadloom.sources import csv_ranges
 from threadloom.sources import tables as S
 from threadloom.sources.store import scratch, written
 
@@ -55,6 +56,15 @@ def column_scan_lengths(spark, d):
     return S.column_scan(S.table(spark, d, "conversations")).select(F.char_length("text").alias("n")).groupBy("n").agg(F.count("*").alias("rows"))
 
 
+def csv_documents(spark, d):
+    """Documents written as CSV, with all their line ends, commas and quotes, and read again in byte ranges."""
+    docs = S.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    keys, path = ["doc_id", F.md5("text"), "lang"], scratch(spark, "csv")
+    docs.repartitionByRange(*keys).sortWithinPartitions(*keys).write.csv(path, header=True, quoteAll=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    got = csv_ranges.read_csv(spark, path)
+    return got.select("_rowidx", F.col("doc_id").try_cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("lang", F.lit("")).alias("lang"))
+
+
 def squeezed_text(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.md5(X.squeeze(F.col("text"))).alias("squeezed_md5"), F.size(X.lines(F.col("text"))).cast("long").alias("n_lines"))
 
@@ -497,7 +507,7 @@ def status_sources(spark, d):
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    plain_pack_lengths, plain_token_ids, column_scan_lengths, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
+    plain_pack_lengths, plain_token_ids, column_scan_lengths, csv_documents, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
     training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, all_previews, inference_prompts, inference_masks, pack_whole_turns,
     pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, shard_write_read, similarity_sort_order, rank_partition, padded_batches,
     epoch_batches, bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, phrase_conflicts, ngram_tokens,
