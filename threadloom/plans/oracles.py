@@ -147,6 +147,7 @@ ORACLES: dict[str, str] = {
     "sample_signature": f"""{_pack(256)}, e AS (SELECT id, unnest(prompt[1:128]) AS x FROM packed WHERE reason = '')
       SELECT p.id, coalesce(CAST(xor(bit_xor((x * 2654435761) & 4294967295), count(*)) AS BIGINT), 0) AS signature FROM packed p JOIN e ON e.id = p.id WHERE reason = '' GROUP BY p.id""",
     "buffered_sort_order": f"WITH {_ORDER} SELECT doc_id, seq, buffer, global_idx, shard_idx FROM ordered",
+    "followed_shards": f"WITH {_ORDER} SELECT doc_id, CAST(seq_len AS INTEGER) AS seq_len, global_idx, shard_idx FROM ordered",
     "shard_manifest": f"WITH {_ORDER} SELECT shard_idx, shard_idx * {SHARD} AS global_start, count(*) AS num_samples FROM ordered GROUP BY shard_idx",
     "rank_partition": f"WITH {_ORDER} SELECT global_idx, doc_id FROM ordered WHERE global_idx % 4 = 3",
     "padded_batches": f"""WITH {_ORDER}, b AS (SELECT global_idx, global_idx // 8 AS batch, seq_len, CAST(ceil(max(seq_len) OVER (PARTITION BY global_idx // 8) / 8.0) * 8 AS INTEGER) AS padded_len FROM ordered)

@@ -15,6 +15,7 @@ from threadloom.plans import harness
 from threadloom.sources import csv_ranges
 from threadloom.sources import tables as S
 from threadloom.sources.store import scratch, written
+from threadloom.streaming import follow, jobs
 
 WINDOW, SHARD = 1024, 200
 MINED = ngrams.NgramConfig(use_ngrams=True, max_samples=None, max_tokens_per_text=None)
@@ -190,6 +191,18 @@ def buffered_sort_order(spark, d):
     return _ordered(spark, d).select("doc_id", "seq", "buffer", "global_idx", "shard_idx")
 
 
+def followed_shards(spark, d):
+    """Shards of a streaming producer, read by a following stream that is at work at the same time."""
+    out, sink = scratch(spark, "producer"), scratch(spark, "followed")
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    jobs.produce_shards(spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet"), out, scratch(spark, "cp"), WINDOW, shard_size=SHARD, order="doc_id").awaitTermination()
+    stream = follow.follow_shards(spark, out, "doc_id long, seq_len int, global_idx long, shard_idx long")
+    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "cp")).trigger(processingTime="1 second").start()
+    jobs.ShardProducer(out, WINDOW, SHARD, order="doc_id").finish(spark, docs.schema)
+    follow.until_done(query, spark, out)
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
 def shard_manifest(spark, d):
     return shards.manifest(_ordered(spark, d), SHARD)
 
@@ -509,7 +522,7 @@ def status_sources(spark, d):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_pack_lengths, plain_token_ids, column_scan_lengths, csv_documents, squeezed_text, thread_rows, thread_root_depth, thread_chains, example_counts,
     training_texts, chat_samples, role_blocks, history_cap, chat_render, role_violations, first_preview, all_previews, inference_prompts, inference_masks, pack_whole_turns,
-    pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, shard_manifest, shard_write_read, similarity_sort_order, rank_partition, padded_batches,
+    pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, followed_shards, shard_manifest, shard_write_read, similarity_sort_order, rank_partition, padded_batches,
     epoch_batches, bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, phrase_conflicts, ngram_tokens,
     vocabulary_extension, tokenizer_preparation, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, scheduler_updates, token_throughput, epoch_tail,
     log_tail, log_since, ring_retention, visible_lines, status_last_non_null, ordered_dedup_union, latest_valid_model, runs_with_config,

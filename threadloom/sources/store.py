@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -52,3 +53,41 @@ def forget(df: DataFrame) -> None:
         path = path.removesuffix("/t")
         target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """File system and full name of a path, by the session's own settings."""
+    raw = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = raw.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files, files.makeQualified(raw)
+
+
+def put_record(spark: SparkSession, path: str, value: object) -> None:
+    """Writes a JSON record where the session's tables lie, under a name of its own first, so readers see the old or the new one."""
+    files, target = _hadoop(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.{uuid.uuid4().hex}.tmp")
+    out = files.create(new, True)
+    out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2).encode()))
+    out.close()
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(new, target, options)
+
+
+def get_record(spark: SparkSession, path: str) -> dict | None:
+    """A JSON record of ``put_record``, or None if there is none."""
+    files, target = _hadoop(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it doesn't exist."""
+    files, target = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(target)) if files.exists(target) else []

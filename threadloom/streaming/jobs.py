@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 
 import pandas as pd
@@ -12,8 +11,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from threadloom.operators import samples, shards
 from threadloom.operators.ordinal import with_ordinal
-from threadloom.sources.json_files import atomic_json, read_json
-from threadloom.sources.store import written
+from threadloom.sources.store import get_record, names_in, put_record, written
 
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -34,17 +32,27 @@ class ShardProducer:
     What isn't a whole buffer yet, and what isn't a whole shard yet, lies in a folder of the micro-batch that left it, with the
     counters; a repeated micro-batch starts again from the one before and replaces what it wrote, and a new process goes on
     where the last one stopped. ``order`` names a column that orders texts inside a micro-batch. ``finish`` writes what is left.
+    All records lie beside the shards on the file system of the session: ``producer_meta.json`` names the shards that are whole after each micro-batch,
+    ``producer_done.json`` follows the last one, ``producer_error.json`` a failure, until a later micro-batch succeeds.
     """
 
     def __init__(self, out: str, window: int, shard_size: int = 5000, text: str = "text", order: str | None = None, progress: str | None = None):
         self.out, self.window, self.shard_size, self.text, self.order, self.progress = out.rstrip("/"), window, max(1, shard_size), text, order, progress
         self.buffer = shards.buffer_size(self.shard_size)
 
-    def _state(self, batch_id: int) -> dict:
-        return read_json(f"{self.out}/_state/{batch_id}.json") or {"seen": 0, "kept": 0, "flushed": 0, "shards": 0, "rest": None, "tail": None}
+    def _state(self, spark: SparkSession, batch_id: int) -> dict:
+        return get_record(spark, f"{self.out}/_state/{batch_id}.json") or {"seen": 0, "kept": 0, "flushed": 0, "shards": 0, "rest": None, "tail": None}
 
     def __call__(self, batch: DataFrame, batch_id: int, last: bool = False) -> None:
-        spark, before = batch.sparkSession, self._state(batch_id - 1)
+        try:
+            self._take(batch, batch_id, last)
+        except Exception as e:
+            put_record(batch.sparkSession, f"{self.out}/producer_error.json", {"batch": batch_id, "error": f"{type(e).__name__}: {e}"[:4000]})
+            raise
+
+    def _take(self, batch: DataFrame, batch_id: int, last: bool) -> None:
+        spark = batch.sparkSession
+        before = self._state(spark, batch_id - 1)
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         columns = batch.columns
         batch = written(batch.withColumn("_b", F.lit(batch_id).cast("long")), "batch")
@@ -64,30 +72,34 @@ class ShardProducer:
         rest.write.mode("overwrite").parquet(f"{folder}/rest")
         ordered.where(F.col("shard_idx") >= whole).write.mode("overwrite").parquet(f"{folder}/tail")
         state = {"seen": before["seen"] + batch.count(), "kept": before["kept"] + fresh.count(), "flushed": done, "shards": whole, "rest": f"{folder}/rest", "tail": f"{folder}/tail", "columns": columns}
-        atomic_json(f"{self.out}/_state/{batch_id}.json", state)
-        self._tell(state, last)
+        put_record(spark, f"{self.out}/_state/{batch_id}.json", state)
+        put_record(spark, f"{self.out}/producer_meta.json", {"done": False, "num_shards": whole})
+        if get_record(spark, f"{self.out}/producer_error.json"):
+            put_record(spark, f"{self.out}/producer_error.json", None)  # an earlier try failed, this one didn't
+        self._tell(spark, state, last)
 
-    def _tell(self, state: dict, last: bool) -> None:
+    def _tell(self, spark: SparkSession, state: dict, last: bool) -> None:
         if self.progress:
-            atomic_json(self.progress, {
+            put_record(spark, self.progress, {
                 "seen_samples": state["seen"], "tokenized_samples": state["kept"], "skipped_samples": state["seen"] - state["kept"],
                 "num_shards_written": state["shards"], "done": last, "updated_at": time.time()})
 
     def finish(self, spark: SparkSession, schema, config: dict | None = None) -> dict:
         """Writes the rest as last shards, the metadata and the mark that all is done; returns the metadata."""
-        ids = [int(f[:-5]) for f in os.listdir(f"{self.out}/_state") if f.endswith(".json")]
-        self(spark.createDataFrame([], schema), max(ids) + 1, last=True)
-        state = self._state(max(ids) + 1)
+        ids = [int(f[:-5]) for f in names_in(spark, f"{self.out}/_state") if f.endswith(".json")]
+        end = max(ids, default=-1) + 1
+        self(spark.createDataFrame([], schema), end, last=True)
+        state = self._state(spark, end)
         meta = {
             **(config or {}), "done": True, "num_shards": state["shards"], "total_samples": state["kept"], "seen_samples": state["seen"], "skipped_samples": state["seen"] - state["kept"],
             "max_seq_length": self.window, "strict_whole_turns": True, "sort_by_length": True, "sort_buffer_size": self.buffer, "bucketed_shuffle": True}
-        atomic_json(f"{self.out}/producer_meta.json", meta)
-        atomic_json(f"{self.out}/producer_done.json", {"done": True})
+        put_record(spark, f"{self.out}/producer_meta.json", meta)
+        put_record(spark, f"{self.out}/producer_done.json", {"done": True})
         return meta
 
 
 def produce_shards(stream: DataFrame, out: str, checkpoint: str, window: int, progress: str | None = None, text: str = "text", shard_size: int = 5000, order: str | None = None):
-    """Starts a ``ShardProducer`` on a stream; it ends once all that is there has been read. The state's folder must be one that the driver reads as files."""
+    """Starts a ``ShardProducer`` on a stream; it ends once all that is there has been read."""
     return stream.writeStream.foreachBatch(ShardProducer(out, window, shard_size, text, order, progress)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
