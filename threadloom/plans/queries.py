@@ -195,7 +195,8 @@ def followed_shards(spark, d):
     """Shards of a streaming producer, read by a following stream that is at work at the same time."""
     out, sink = scratch(spark, "producer"), scratch(spark, "followed")
     docs = S.table(spark, d, "documents").select("doc_id", "text")
-    jobs.produce_shards(spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet"), out, scratch(spark, "cp"), WINDOW, shard_size=SHARD, order="doc_id").awaitTermination()
+    source = jobs.follow(spark, f"{d}/documents.parque[t]", docs.schema)  # a pattern, since a stream takes no single file by its name
+    jobs.produce_shards(source, out, scratch(spark, "cp"), WINDOW, shard_size=SHARD, order="doc_id").awaitTermination()
     stream = follow.follow_shards(spark, out, "doc_id long, seq_len int, global_idx long, shard_idx long")
     query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "cp")).trigger(processingTime="1 second").start()
     jobs.ShardProducer(out, WINDOW, SHARD, order="doc_id").finish(spark, docs.schema)
