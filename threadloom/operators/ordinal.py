@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.sources.store import written
+from threadloom.sources.store import forget, written
 
 
 def with_ordinal(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
@@ -20,6 +20,7 @@ def with_ordinal(df: DataFrame, order: list[str], name: str = "seq") -> DataFram
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.withColumn("_tie", F.rand(7)).repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie")
     rows = written(ranged.withColumns({"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).drop("_tie"), "ranges")
+    forget(df)
     before = F.sum("n").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy(F.col("_p").alias("q")).agg(F.count("*").alias("n")).select("q", F.coalesce(before, F.lit(0)).alias("_start"))
     placed = rows.join(F.broadcast(starts), F.col("_p") == F.col("q"))  # a row a partition

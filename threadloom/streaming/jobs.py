@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from threadloom.operators import samples, shards
 from threadloom.operators.ordinal import with_ordinal
-from threadloom.sources.store import get_record, names_in, put_record, written
+from threadloom.sources.store import forget, get_record, names_in, put_record, written
 
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -62,6 +62,7 @@ class ShardProducer:
         flush = n if last else n // self.buffer * self.buffer
         keys = ["_b", self.order or "_b"]
         placed = with_ordinal(waiting, list(dict.fromkeys(keys)), "seq").withColumn("seq", F.col("seq") + before["flushed"])
+        forget(waiting)  # numbering wrote its own
         go, rest = placed.where(F.col("seq") < before["flushed"] + flush), placed.where(F.col("seq") >= before["flushed"] + flush).drop("seq")
         ordered = shards.buffered_order(go, self.shard_size).drop("buffer", "seq")
         ordered = written(_union(spark, [before["tail"]] if before["tail"] else [], ordered), "ordered")
@@ -77,6 +78,8 @@ class ShardProducer:
         if get_record(spark, f"{self.out}/producer_error.json"):
             put_record(spark, f"{self.out}/producer_error.json", None)  # an earlier try failed, this one didn't
         self._tell(spark, state, last)
+        forget(batch)
+        forget(ordered)
 
     def _tell(self, spark: SparkSession, state: dict, last: bool) -> None:
         if self.progress:
