@@ -227,6 +227,12 @@ ORACLES: dict[str, str] = {
       SELECT conv_id, md5(substr(w, 1, 4000)) AS preview_md5, md5(substr(w, 1, 20000)) AS full_md5 FROM p""",
     "csv_documents": """SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, '')), coalesce(lang, '')) - 1 AS _rowidx, doc_id,
       md5(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5, coalesce(lang, '') AS lang FROM documents""",
+    "replayed_status": """WITH c AS (SELECT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+        i AS (SELECT client_id, click_id FROM c WHERE click_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY ts DESC, click_id DESC) = 1),
+        k AS (SELECT client_id, kind FROM c WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY ts DESC, kind DESC) = 1),
+        p AS (SELECT client_id, props FROM c WHERE props IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY ts DESC, props DESC) = 1),
+        t AS (SELECT client_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts FROM c GROUP BY client_id)
+        SELECT client_id, last_ts, click_id, kind, props FROM t LEFT JOIN i USING (client_id) LEFT JOIN k USING (client_id) LEFT JOIN p USING (client_id)""",
     "status_sources": """SELECT user_id, arg_max(event_type, event_id) FILTER (event_id % 4 > 0) AS phase, arg_max(event_id % 5, event_id) FILTER (event_id % 5 <> 0) AS step FROM events GROUP BY user_id""",
     "phrase_stats": f"WITH {_STATS}, {_SAVED} SELECT stats.*, coalesce(saved_samples, 0) AS saved_samples FROM stats LEFT JOIN saved USING (phrase)",
     "phrase_scores_saved": f"""WITH {_STATS}, {_SAVED}, s AS (

@@ -15,7 +15,7 @@ from threadloom.plans import harness
 from threadloom.sources import csv_ranges
 from threadloom.sources import tables as S
 from threadloom.sources.store import scratch, written
-from threadloom.streaming import follow, jobs
+from threadloom.streaming import follow, jobs, status
 
 WINDOW, SHARD = 1024, 200
 MINED = ngrams.NgramConfig(use_ngrams=True, max_samples=None, max_tokens_per_text=None)
@@ -389,6 +389,20 @@ def status_last_non_null(spark, d):
     return control.last_known(e, "user_id", "event_id", ["phase"], ["step"])
 
 
+def replayed_status(spark, d):
+    """Clicks replayed as a stream in order of arrival: each client's last time and last known click, kind and props, late rows included."""
+    clicks = S.table(spark, d, "clicks").select("client_id", "ts", "click_id", "kind", "props", "arrived_at")
+    path, sink, steps = scratch(spark, "arrivals"), scratch(spark, "status"), 4
+    parts = max(steps, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    clicks.repartitionByRange(parts, "arrived_at").write.parquet(path)
+    merged = status.merge_status(jobs.follow(spark, path, clicks.schema, -(-parts // steps)), "client_id", "ts", ["click_id", "kind", "props"])
+    keep = lambda df, i: df.write.mode("overwrite").parquet(f"{sink}/batch={i}")
+    merged.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema(merged.schema.add("batch", "long")).parquet(sink)
+    last = told.groupBy("client_id").agg(F.max_by(F.struct("ts", "click_id", "kind", "props"), "batch").alias("s")).select("client_id", "s.*")
+    return last.select("client_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"), "click_id", "kind", "props")
+
+
 def ordered_dedup_union(spark, d):
     a = S.table(spark, d, "customer").select(F.col("c_mktsegment").alias("name"))
     b = S.table(spark, d, "part").select(F.col("p_type").alias("name"))
@@ -526,6 +540,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pack_skip_summary, pack_prompt_loss, pack_label_digest, sample_signature, buffered_sort_order, followed_shards, shard_manifest, shard_write_read, similarity_sort_order, rank_partition, padded_batches,
     epoch_batches, bucketed_shuffle_hash, bucketed_shuffle_exact, ngram_counts, code_lines, code_line_topk, phrase_stats, phrase_hits, phrase_scores, phrase_scores_saved, ngram_select, phrase_conflicts, ngram_tokens,
     vocabulary_extension, tokenizer_preparation, scan_cap, lr_curve, lr_running_min, step_estimate, projected_samples, scheduler_extension, scheduler_updates, token_throughput, epoch_tail,
-    log_tail, log_since, ring_retention, visible_lines, status_last_non_null, ordered_dedup_union, latest_valid_model, runs_with_config,
+    log_tail, log_since, ring_retention, visible_lines, status_last_non_null, replayed_status, ordered_dedup_union, latest_valid_model, runs_with_config,
     row_flatten_text, eta_format, run_dir_names, id_normalise, sampling_clamp, stop_strings, usage_counts, gpu_lines, pumped_lines, record_fields, event_times, final_states, lora_targets, lora_defaults,
     producer_counters, epoch_losses, rank_reduction, decode_previews, batch_previews, status_sources)} | harness.QUERIES
