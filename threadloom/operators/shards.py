@@ -46,9 +46,15 @@ def manifest(ordered: DataFrame, shard_size: int) -> DataFrame:
     return ordered.groupBy("shard_idx").agg(F.count("*").alias("num_samples")).select("shard_idx", (F.col("shard_idx") * shard_size).alias("global_start"), "num_samples")
 
 
-def write_shards(ordered: DataFrame, path: str, mode: str = "error") -> None:
-    """Shards as Parquet partitions; the commit protocol makes each write atomic and leaves a done marker."""
-    ordered.repartition("shard_idx").sortWithinPartitions("shard_idx", "global_idx").write.mode(mode).partitionBy("shard_idx").parquet(path)
+def write_shards(ordered: DataFrame, path: str, mode: str = "error", labels: bool = False) -> None:
+    """Shards as Parquet partitions; the commit protocol makes each write atomic and leaves a done marker.
+
+    With ``labels`` these are made of the ids behind the shuffle, as plain texts have them.
+    """
+    rows = ordered.repartition("shard_idx")
+    if labels:
+        rows = rows.withColumn("labels", F.col("input_ids"))
+    rows.sortWithinPartitions("shard_idx", "global_idx").write.mode(mode).partitionBy("shard_idx").parquet(path)
 
 
 def of_rank(ordered: DataFrame, world: int, rank: int, workers: int = 1, worker: int = 0) -> DataFrame:

@@ -1,17 +1,17 @@
-"""The same transforms over growing folders: shard producer, follow-along reader, log cursor and state merge."""
+"""The same transforms over growing folders: shard producer, follow-along reader, log cursor; the state merge is in ``status``."""
 
 from __future__ import annotations
 
 import time
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from threadloom.operators import samples, shards
 from threadloom.operators.ordinal import with_ordinal
 from threadloom.sources.store import forget, get_record, names_in, put_record, written
+from threadloom.streaming.status import merge_status  # noqa: F401
 
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -31,7 +31,7 @@ class ShardProducer:
 
     What isn't a whole buffer yet, and what isn't a whole shard yet, lies in a folder of the micro-batch that left it, with the
     counters; a repeated micro-batch starts again from the one before and replaces what it wrote, and a new process goes on
-    where the last one stopped. ``order`` names a column that orders texts inside a micro-batch. ``finish`` writes what is left.
+    where the last one stopped. Shards hold ids, labels and the other columns, not the text; rows are counted while they are packed. ``order`` names a column that orders texts inside a micro-batch. ``finish`` writes what is left.
     All records lie beside the shards on the file system of the session: ``producer_meta.json`` names the shards that are whole after each micro-batch,
     ``producer_done.json`` follows the last one, ``producer_error.json`` a failure, until a later micro-batch succeeds.
     """
@@ -54,32 +54,36 @@ class ShardProducer:
         spark = batch.sparkSession
         before = self._state(spark, batch_id - 1)
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        columns = batch.columns
-        batch = written(batch.withColumn("_b", F.lit(batch_id).cast("long")), "batch")
-        fresh = samples.pack_plain(batch, self.window, self.text)
-        waiting = written(_union(spark, [before["rest"]] if before["rest"] else [], fresh), "waiting")
-        n = waiting.count()
+        seen, kept = Observation(), Observation()
+        rows = batch.observe(seen, F.count(F.lit(1)).alias("n"))
+        packed = samples.pack_plain(rows, self.window, self.text).drop(self.text, "labels").observe(kept, F.count(F.lit(1)).alias("n"))
+        # ids are written once; only lengths are numbered and sorted
+        fresh = written(packed.withColumns({"_b": F.lit(batch_id).cast("long"), "_u": F.monotonically_increasing_id()}), "batch")
+        waiting = _union(spark, [before["rest"]] if before["rest"] else [], fresh)
+        n = before["kept"] - before["flushed"] + kept.get["n"]
         flush = n if last else n // self.buffer * self.buffer
-        keys = ["_b", self.order or "_b"]
-        placed = with_ordinal(waiting, list(dict.fromkeys(keys)), "seq").withColumn("seq", F.col("seq") + before["flushed"])
-        forget(waiting)  # numbering wrote its own
-        go, rest = placed.where(F.col("seq") < before["flushed"] + flush), placed.where(F.col("seq") >= before["flushed"] + flush).drop("seq")
-        ordered = shards.buffered_order(go, self.shard_size).drop("buffer", "seq")
-        ordered = written(_union(spark, [before["tail"]] if before["tail"] else [], ordered), "ordered")
         done = before["flushed"] + flush
         whole = -(-done // self.shard_size) if last else done // self.shard_size
-        shards.write_shards(ordered.where(F.col("shard_idx") < whole).drop("_b"), f"{self.out}/shards", "overwrite")
+        keys = list(dict.fromkeys(["_b", self.order or "_b"]))
+        lengths = waiting.select(*dict.fromkeys(["_b", "_u", *keys]), "seq_len")
+        placed = with_ordinal(lengths, keys, "seq").withColumn("seq", F.col("seq") + before["flushed"])
+        go, rest = placed.where(F.col("seq") < done), placed.where(F.col("seq") >= done).select("_b", "_u")
+        ordered = shards.buffered_order(go, self.shard_size).select("_b", "_u", "global_idx", "shard_idx")
+        ordered = waiting.join(ordered, ["_b", "_u"])
         folder = f"{self.out}/_state/{batch_id}"
-        rest.write.mode("overwrite").parquet(f"{folder}/rest")
+        if before["tail"]:
+            ordered = ordered.unionByName(spark.read.schema(ordered.schema).parquet(before["tail"]))
+        out = ordered.where(F.col("shard_idx") < whole).drop("_b", "_u")
+        shards.write_shards(out, f"{self.out}/shards", "overwrite", labels=True)
+        waiting.join(rest, ["_b", "_u"], "left_semi").select(fresh.columns).write.mode("overwrite").parquet(f"{folder}/rest")
         ordered.where(F.col("shard_idx") >= whole).write.mode("overwrite").parquet(f"{folder}/tail")
-        state = {"seen": before["seen"] + batch.count(), "kept": before["kept"] + fresh.count(), "flushed": done, "shards": whole, "rest": f"{folder}/rest", "tail": f"{folder}/tail", "columns": columns}
+        state = {"seen": before["seen"] + seen.get["n"], "kept": before["kept"] + kept.get["n"], "flushed": done, "shards": whole, "rest": f"{folder}/rest", "tail": f"{folder}/tail"}
         put_record(spark, f"{self.out}/_state/{batch_id}.json", state)
         put_record(spark, f"{self.out}/producer_meta.json", {"done": False, "num_shards": whole})
         if get_record(spark, f"{self.out}/producer_error.json"):
             put_record(spark, f"{self.out}/producer_error.json", None)  # an earlier try failed, this one didn't
         self._tell(spark, state, last)
-        forget(batch)
-        forget(ordered)
+        forget(fresh)
 
     def _tell(self, spark: SparkSession, state: dict, last: bool) -> None:
         if self.progress:
@@ -132,33 +136,6 @@ def log_lines(stream: DataFrame, cursor: int, line_id: str = "line_id") -> DataF
     return stream.where(F.col(line_id) > cursor)
 
 
-class MergeState:
-    """Last known fields of each run, kept as state: null never replaces a value, an earlier event never a later one."""
-
-    def __init__(self, key: str, order: str, fields: list[str]):
-        self.key, self.order, self.fields = key, order, fields
-
-    def __call__(self, key, frames, state):
-        held = list(state.get) if state.exists else [None, *[None] * (2 * len(self.fields))]
-        for pdf in frames:
-            pdf = pdf.sort_values(self.order, kind="stable")
-            for i, f in enumerate(self.fields):
-                known = pdf[pdf[f].notna()]
-                if len(known) and (held[1 + 2 * i] is None or int(known[self.order].iloc[-1]) >= held[1 + 2 * i]):
-                    held[1 + 2 * i], held[2 + 2 * i] = int(known[self.order].iloc[-1]), str(known[f].iloc[-1])
-            held[0] = int(max(held[0] or 0, pdf[self.order].max()))
-        state.update(tuple(held))
-        yield pd.DataFrame([[key[0], held[0], *held[2::2]]], columns=[self.key, self.order, *self.fields])
-
-
-def merge_status(stream: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
-    """A row for each run whenever its events arrive: the run, its last event, and the last known value of each field as text."""
-    kind = stream.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, {order} long, " + ", ".join(f"{f} string" for f in fields)
-    held = f"{order} long, " + ", ".join(f"o{i} long, v{i} string" for i in range(len(fields)))
-    return stream.select(key, order, *fields).groupBy(key).applyInPandasWithState(MergeState(key, order, fields), out, held, "update", "NoTimeout")
-
-
 def event_windows(stream: DataFrame, ts: str = "ts", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and their value by type and time window, with a watermark for late ones (harness breadth)."""
     got = stream.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
