@@ -120,3 +120,16 @@ def test_every_corner_is_kept():
     t = texture(np.random.default_rng(1), 256, 40)
     assert len(media.describe(t)[0]) > 1000 and len(media.describe(t, 32)[0]) == 32
     assert media.describe(t)[0][:, 2].min() <= 0.75**6
+
+
+def test_keys_inside_one_class_are_not_compared_again(spark, monkeypatch):
+    """Rows of a large group of copies fall away once a few keys have made it a class; classes stay those of all pairs."""
+    rng, seen = np.random.default_rng(11), []
+    t, u = texture(rng), texture(rng)
+    rows = [(i, pgm(t + rng.normal(0, 2, t.shape))) for i in range(40)] + [(40 + i, pgm(u + rng.normal(0, 2, u.shape))) for i in range(3)] + [(50 + i, pgm(texture(rng))) for i in range(5)]
+    of_buckets = media.link_buckets
+    monkeypatch.setattr(media, "link_buckets", lambda members, *a, **b: seen.append(members.count()) or of_buckets(members, *a, **b))
+    got = {r["image_id"]: r["class_id"] for r in media.image_copies(frame(spark, rows)).collect()}
+    assert got == by_all_pairs(rows)
+    n_keys = [len(media.table_keys(*media._unpack(media._pack(*media.describe(media.decode_image(x))))[:2], 5)) for _, x in rows]
+    assert seen[0] < 0.1 * sum(n_keys)

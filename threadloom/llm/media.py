@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm._store import connected_components, written
 from threadloom.llm._words import mix
-from threadloom.llm.minhash import link_buckets
+from threadloom.llm.minhash import link_buckets, pivot_links
 
 _STEP = 0.75
 _PATCH, _BITS = 12, 128
@@ -291,6 +291,8 @@ def _describer(corners: int | None):
 # -- Hamming tables -----------------------------------------------------------
 
 _NEAR, _APART, _TAKEN, _TURNS, _FARTHER = 3, 4.0, 28, 16, 1.3
+#: Keys of an image that give first classes.
+_FEW = 8
 
 
 def table_keys(points: np.ndarray, codes: np.ndarray, tables: int) -> np.ndarray:
@@ -330,23 +332,40 @@ def table_keys(points: np.ndarray, codes: np.ndarray, tables: int) -> np.ndarray
     return np.unique(np.concatenate(out)).astype(np.int64)
 
 
-def _keys(tables: int, counted: bool = False):
-    """Arrow function: the keys of each image; ``counted`` gives how many images of a batch have each, so a key of a large group travels once a batch."""
+def _keys(tables: int, lowest: int | None = None):
+    """Arrow function: the keys of each image, or the ``lowest`` so many of them."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                keys = [table_keys(*_unpack(data)[:2], tables) for data in part.column("features").to_pylist()]
-                if counted:
-                    each, n = np.unique(np.concatenate(keys), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n.astype(np.int32))], ["key", "n"])
-                    continue
+                keys = [table_keys(*_unpack(data)[:2], tables)[:lowest] for data in part.column("features").to_pylist()]
                 which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("digest").take(pa.array(which))], ["key", "id"])
     return run
 
 
+def _holders(tables: int):
+    """Arrow function: who holds each key, ``alone`` images of no class so far and classes of some; a key that many of a batch hold travels once for each."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                keys = [table_keys(*_unpack(data)[:2], tables) for data in part.column("features").to_pylist()]
+                of_class, size = np.asarray(part.column("class").is_valid()), np.array([len(k) for k in keys])
+                single = [k for k, c in zip(keys, of_class, strict=True) if not c]
+                if single:
+                    each, n = np.unique(np.concatenate(single), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n.astype(np.int32)), pa.nulls(len(each), pa.int64())], ["key", "alone", "class"])
+                if of_class.any():
+                    key = np.concatenate([k for k, c in zip(keys, of_class, strict=True) if c])
+                    label = np.repeat(part.column("class").drop_null().to_numpy(), size[of_class])
+                    both = np.unique(np.stack([key, label], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(np.zeros(len(both), np.int32)), pa.array(both[:, 1].copy())], ["key", "alone", "class"])
+    return run
+
+
 def _checker(most_bits: int, least: int, share: float):
     def run(batches):
         for batch in batches:
@@ -373,7 +392,8 @@ def image_copies(
     Images are linked if their bytes have one 64-bit hash, or if geometric consensus finds at least ``least_matches``
     descriptor matches at different places (of at most ``most_bits`` unlike bits of 128) under one turn, size and shift, and
     these are at least ``least_share`` of the keypoints that both should show; classes are connected components. Candidates
-    share a key of ``tables`` Hamming tables over pairs of neighbouring corners (``table_keys``); every candidate is checked.
+    share a key of ``tables`` Hamming tables over pairs of neighbouring corners (``table_keys``); every candidate is checked
+    that isn't of one class already: a few keys of each image give first classes, and keys that one class alone holds fall away.
     Buckets are first compared with one of their images, and those that then still mix classes in blocks inside tasks, so no
     bucket is cut.
 
@@ -385,14 +405,6 @@ def image_copies(
     # from here on an image is its digest
     one = x.where(F.col("digest").isNotNull() & (F.col("n_points") >= least_matches)).select("digest", "features").dropDuplicates(["digest"])
     one = written(one, "one")
-    keyed = one.mapInArrow(_keys(tables), "key long, id long")
-    # an image has a key once and most keys occur once, so counts before the shuffle are made by batches, not by whole tasks
-    n_keys = (x.agg(F.sum(F.col("n_points").cast("long"))).first()[0] or 0) * _NEAR * tables
-    parts = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // 1_000_000)
-    counts = one.mapInArrow(_keys(tables, counted=True), "key long, n int").repartition(parts, "key")
-    shared = written(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "shared")
-    small = shared.count() <= broadcast_keys  # numbers of eight bytes
-    members = written(keyed.join(F.broadcast(shared) if small else shared, "key", "left_semi"), "members")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(one.select(F.col("digest").alias("a"), F.col("features").alias("fa")), "a").join(one.select(F.col("digest").alias("b"), F.col("features").alias("fb")), "b")
@@ -401,7 +413,20 @@ def image_copies(
     def payload(ids: DataFrame) -> DataFrame:
         return ids.join(one.select(F.col("digest").alias("id"), F.col("features").alias("data")), "id")
 
-    links = link_buckets(members, verify, payload, _within(most_bits, least_matches, least_share), few_pivots=True)
+    # copies that are told by a few keys become classes first, so that what follows compares classes and not each two of a large group
+    found = pivot_links(one.mapInArrow(_keys(1, _FEW), "key long, id long"), verify)
+    label = connected_components(found, "a", "b").select(F.col("node").alias("digest"), F.col("component").alias("class"))
+    told = label.where("digest != class").select(F.col("class").alias("a"), F.col("digest").alias("b"))
+    classed = written(one.join(label, "digest", "left"), "classed")
+    # an image has a key once and most keys occur once, so counts before the shuffle are made by batches, not by whole tasks
+    n_keys = (x.agg(F.sum(F.col("n_points").cast("long"))).first()[0] or 0) * _NEAR * tables
+    parts = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // 1_000_000)
+    holders = classed.mapInArrow(_holders(tables), "key long, alone int, class long").repartition(parts, "key")
+    holders = holders.groupBy("key").agg(F.sum("alone").alias("alone"), F.min("class").alias("low"), F.max("class").alias("high"))
+    shared = written(holders.where("alone > 1 or alone = 1 and low is not null or low < high").select("key"), "shared")
+    small = shared.count() <= broadcast_keys  # numbers of eight bytes
+    members = one.mapInArrow(_keys(tables), "key long, id long").join(F.broadcast(shared) if small else shared, "key", "left_semi")
+    links = link_buckets(written(members, "members"), verify, payload, _within(most_bits, least_matches, least_share), few_pivots=True, known=told)
     ids = x.where("id is not null and digest is not null")
     first = ids.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a < z").select("id", "a")
     again = ids.select("id", "digest").join(first, "id").where("a != digest").select("a", F.col("digest").alias("b")).distinct()

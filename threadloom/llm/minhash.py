@@ -134,7 +134,29 @@ def _verifier(similarity: float, size: int):
     return run
 
 
-def link_buckets(members: DataFrame, verify, payload, within, block: int = 1024, few_pivots: bool = False) -> DataFrame:
+def _active(members: DataFrame, few_pivots: bool) -> DataFrame:
+    """``key, id, n, p``: rows of buckets of two or more beside the bucket's size and its pivot, which has no row itself."""
+    keyed = members.select("key", "id").distinct()
+    order = F.struct((F.xxhash64("id") if few_pivots else F.xxhash64("id", "key")).alias("h"), F.col("id").alias("id"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("low")).where("n > 1").select("key", "n", F.col("low.id").alias("p"))
+    return keyed.join(sizes, "key").where("id != p")
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) that ``links`` leave in two classes; other columns stay."""
+    label = written(connected_components(links, "a", "b"), "label")
+    known = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    both = pairs.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    return both.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
+
+
+def pivot_links(members: DataFrame, verify) -> DataFrame:
+    """Links between rows (``key``, ``id``) and their buckets' pivots alone: a cheap start for ``link_buckets``, which does the rest."""
+    ends = F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")
+    return written(verify(written(_active(members, True).select(*ends).distinct(), "pairs")), "links")
+
+
+def link_buckets(members: DataFrame, verify, payload, within, block: int = 1024, few_pivots: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Links (``a``, ``b``) that join the ids of each class, from rows (``key``, ``id``) that share a bucket.
 
     First each bucket's rows are compared with one of them, its pivot: ``verify`` turns pairs (``a``, ``b``) into
@@ -146,23 +168,22 @@ def link_buckets(members: DataFrame, verify, payload, within, block: int = 1024,
 
     Where rows of a large group share many buckets, most pairs of row and pivot say what others said before:
     ``few_pivots`` takes the same ids as pivots wherever they occur, compares each row with one of them, and of all other
-    pairs only those that are still of two classes.
+    pairs only those that are still of two classes. ``known`` are links found before: pairs of one class are not compared again.
     """
-    keyed = members.select("key", "id").distinct()
-    order = F.struct((F.xxhash64("id") if few_pivots else F.xxhash64("id", "key")).alias("h"), F.col("id").alias("id"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("low")).where("n > 1").select("key", "n", F.col("low.id").alias("p"))
-    active = written(keyed.join(sizes, "key").where("id != p"), "active")
+    active = written(_active(members, few_pivots), "active")
     ends = F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")
+    pairs = active.select(*(("id", "p") if few_pivots else ()), *ends).distinct()
+    if known is not None:
+        pairs = written(_apart(pairs, known), "pairs")
     if few_pivots:
-        one = active.groupBy("id").agg(F.min(F.struct(F.xxhash64("p").alias("h"), "p")).alias("low")).select("id", F.col("low.p").alias("p"))
-        links = written(verify(written(one.select(*ends).distinct(), "pairs")), "links")
-        label = written(connected_components(links, "a", "b"), "label")
-        known = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-        rest = active.select("id", "p", *ends).distinct().join(one, ["id", "p"], "left_anti").join(known("a"), "a", "left").join(known("b"), "b", "left")
-        rest = rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b").distinct()
+        one = pairs.groupBy("id").agg(F.min(F.struct(F.xxhash64("p").alias("h"), "p")).alias("low")).select("id", F.col("low.p").alias("p"))
+        links = verify(written(one.select(*ends).distinct(), "pairs"))
+        links = written(links if known is None else links.unionByName(known), "links")
+        rest = _apart(pairs.join(one, ["id", "p"], "left_anti"), links).select("a", "b").distinct()
         links = written(links.unionByName(verify(written(rest, "pairs"))), "links")
     else:
-        links = written(verify(written(active.select(*ends).distinct(), "pairs")), "links")
+        links = verify(written(pairs, "pairs"))
+        links = written(links if known is None else links.unionByName(known), "links")
     classes = connected_components(links, "a", "b")
     open_rows = active.where("n > 2").join(classes, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
     mixed = open_rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
